@@ -16,7 +16,7 @@ from lodestar.llm.store import small_side, written
 PERCENT = 75
 #: Shingles found in FREQUENT_FROM or more of one document in SAMPLE are ordered last, MAX_FREQUENT of them at most.
 #: This sets only the order in which members are tried, and so the speed: any order gives the same links.
-SAMPLE, FREQUENT_FROM, MAX_FREQUENT = 32, 3, 200_000
+SAMPLE, FREQUENT_FROM, MAX_FREQUENT = 8, 3, 1_000_000
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -72,14 +72,17 @@ def _tiles(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     x = written(x, "tiles")
     # A shingle whose documents are all tied together already has nothing to add.
     open_ = x.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
-    sizes = firsts.select("doc_id", _band(F.col("n_shingles"), percent).alias("band"))
+    sizes = firsts.select("doc_id", F.col("n_shingles").alias("n"), _band(F.col("n_shingles"), percent).alias("band"))
     x = written(x.join(open_, "h").join(sizes, "doc_id"), "tiles")
-    left = x.select("h", F.col("band").alias("tile"), F.col("label").alias("la"), F.col("doc_id").alias("a"))
-    right = x.select("h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), "band")
+    left = x.select("h", F.col("band").alias("tile"), F.col("label").alias("la"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    right = x.select("h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "band")
     # Which labels meet in a tile comes first, so that documents of one label are never paired.
     meet = left.select("h", "tile", "la").distinct().join(right.select("h", "tile", "lb").distinct(), ["h", "tile"]).filter("la <> lb")
     pairs = meet.join(left, ["h", "tile", "la"]).join(right, ["h", "tile", "lb"]).filter("band < tile or a < b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.max(F.greatest("na", "nb")).alias("most"), F.max(F.col("na") + F.col("nb")).alias("both"))
+    # What is common is in both prefixes or behind the prefix that ends first, so `shared` bounds it from above.
+    behind = F.ceil(F.col("most") * percent / 100) - 1
+    return pairs.filter((100 + percent) * (F.col("shared") + behind) >= percent * F.col("both")).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
