@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestar.llm.bpe import byte_of_char
 from lodestar.llm.recent import Recent
 from lodestar.llm.store import written
 
@@ -22,34 +25,50 @@ LENGTH, END = 2048, 0
 GROUP = 8192
 
 
+#: Words whose ids the library's merges give directly: composed Latin letters in lower case, then stops and commas.
+_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,]*)")
+
+
 class WordTokenizer:
-    """Token ids of texts by a tokenizers file whose tokens never reach over ASCII white space and do not depend on what is
-    beyond it. Words met lately are kept; the others of a text go to the library in one call."""
+    """Token ids of texts by a tokenizers file of this kind: lower case, no token over white space or between letters
+    and marks, nothing dependent on what lies beyond white space. Ids of the words met lately are kept, in two
+    generations of about `size` words. A new plain word needs only the merges, any other the whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 400_000, longest: int = 48):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Recent(lambda w: self.many([w])[0], size=500_000)
-
-    def many(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        made = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-        ids = np.array(made.ids, np.uint32)
-        at = np.array([o[0] for o in made.offsets], np.int64)
-        ends = np.searchsorted(at, starts[1:], "left")
-        raw = ids.tobytes()
-        return [raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        self.merge = self.tokenizer.model.tokenize
+        self.characters = {b: c for c, b in byte_of_char().items() if b >= 0x80}
+        self.marks = Recent(lambda m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes(), size=1000)
+        self.size, self.longest, self.now, self.old = size, longest, {}, {}
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text.lower())
+        if not plain:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        core, marks = plain.groups()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.characters)
+        ids = array("I", [t.id for t in self.merge(core)]).tobytes()
+        return ids + self.marks[marks] if marks else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        words = self.words
-        fresh = [w for w in set().union(*split) if len(w) <= words.longest and w not in words and w not in words.old] if split else []
-        for i in range(0, len(fresh), 5000):
-            for w, ids in zip(fresh[i : i + 5000], self.many(fresh[i : i + 5000]), strict=True):
-                words.put(w, ids)
-        return [b"".join(map(words.__getitem__, s)) for s in split]
+        if len(self.now) >= self.size:
+            self.old, self.now = self.now, {}
+        now, old = self.now, self.old
+        new: set[bytes] = set()
+        for words in split:
+            new |= set(words).difference(now)
+        for w in new:
+            now[w] = old.get(w) or self.word(w)
+        made = [b"".join(map(now.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > self.longest:
+                del now[w]
+        return made
 
 
 @lru_cache(maxsize=2)
