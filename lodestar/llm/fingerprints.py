@@ -20,7 +20,7 @@ STRETCH = 64
 
 
 def fingerprints(docs: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """One row per row of docs: its keys and, for each result name and text column of `texts`, a struct (lanes, votes, phrases).
+    """One row per row of docs: its keys and, for each result name and text column of `texts`, a struct (lanes, packed, phrases).
 
     The fingerprint of a text is the sum of wide vectors, one from each of its paragraphs (lines with other than
     white space): lanes from the paragraph's hashes, summed modulo 2**32, and votes from the hashes of its phrases.
@@ -42,30 +42,39 @@ def fingerprints(docs: DataFrame, keys: list[str], texts: dict[str, str]) -> Dat
     summed = hashed.groupBy("rid", *keys, "which").agg(*sums, *votes, F.count_if(~F.col("whole")).alias("phrases"))
     lanes = F.array(*[F.col(f"e{i}_{j}").bitwiseAND(low) for i in range(HASHES) for j in (0, 1)])
     packed = F.array(*[F.col(f"p{i}_{k}") for i in range(VOTE_HASHES) for k in range(PLACES)])
-    counters = F.flatten(F.transform(packed, lambda p: F.array(*[F.shiftrightunsigned(p, 21 * f).bitwiseAND(F.lit(FIELD)) for f in range(3)])))
-    one = F.struct(lanes.alias("lanes"), counters.alias("votes"), "phrases")
+    one = F.struct(lanes.alias("lanes"), packed.alias("packed"), "phrases")
     made = summed.select("rid", *keys, "which", one.alias("f"))
     return made.groupBy("rid", *keys).agg(*[F.max(F.when(F.col("which") == i, F.col("f"))).alias(name) for i, name in enumerate(texts)]).drop("rid")
 
 
+def votes(f: Column) -> Column:
+    """The counters of a fingerprint's votes."""
+    return F.flatten(F.transform(f["packed"], lambda p: F.array(*[F.shiftrightunsigned(p, 21 * i).bitwiseAND(F.lit(FIELD)) for i in range(3)])))
+
+
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of the paragraphs of a and of b together; with sign -1 of a's without b's."""
+
+    def fields(x: Column, y: Column) -> Column:
+        part = [F.pmod(F.shiftrightunsigned(x, 21 * i).bitwiseAND(F.lit(FIELD)) + sign * F.shiftrightunsigned(y, 21 * i).bitwiseAND(F.lit(FIELD)), F.lit(FIELD + 1)) for i in range(3)]
+        return part[0].bitwiseOR(F.shiftleft(part[1], 21)).bitwiseOR(F.shiftleft(part[2], 42))
+
     return F.struct(
         F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32))).alias("lanes"),
-        F.zip_with(a["votes"], b["votes"], lambda x, y: F.pmod(x + sign * y, F.lit(FIELD + 1))).alias("votes"),
+        F.zip_with(a["packed"], b["packed"], fields).alias("packed"),
         (a["phrases"] + sign * b["phrases"]).alias("phrases"),
     )
 
 
 def as_text(f: Column) -> Column:
     """A fingerprint as hexadecimal text."""
-    return F.concat_ws(".", F.array_join(F.transform(f["lanes"], lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.array_join(F.transform(f["votes"], lambda x: F.hex(x)), "-"), F.hex(f["phrases"]))
+    return F.concat_ws(".", F.array_join(F.transform(f["lanes"], lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.array_join(F.transform(f["packed"], lambda x: F.hex(x)), "-"), F.hex(f["phrases"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 for equal fingerprints, else the cosine of the vote vectors (each phrase votes +1 or -1 at each
     place), at least 0. It estimates the share of common phrases with a standard error of about 0.09."""
-    signed = lambda f: F.transform(f["votes"], lambda v: (2 * v - f["phrases"]).cast("double"))
+    signed = lambda f: F.transform(votes(f), lambda v: (2 * v - f["phrases"]).cast("double"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
     dot = total(F.zip_with(signed(a), signed(b), lambda x, y: x * y))
     norm = F.sqrt(total(F.transform(signed(a), lambda x: x * x)) * total(F.transform(signed(b), lambda x: x * x)))
