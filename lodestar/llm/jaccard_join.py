@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +21,9 @@ PERCENT = 75
 #: This sets only the order in which members are tried, and so the speed: any order gives the same links.
 SAMPLE, FREQUENT_FROM, MAX_FREQUENT = 8, 3, 1_000_000
 
+#: Shingles of so many documents make tiles in which coarse bitmaps are compared.
+CROWD = 64
+
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     seen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(S.counted, "h long, df long")
@@ -64,21 +70,26 @@ def _stars(firsts: DataFrame) -> DataFrame:
 
 def _tiles(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs that no chain of star links ties together yet, that share a tile: a shingle of both prefixes, and a
-    band of sizes or the next one."""
+    band of sizes or one of the next."""
     rare = firsts.select("doc_id", F.explode("rare").alias("h")).repartition("h")
     twice = rare.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
     x = rare.join(twice.hint("shuffle_hash"), "h").union(firsts.select("doc_id", F.explode("common").alias("h")).select("h", "doc_id"))
     x = x.join(labels, x.doc_id == labels.node, "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     x = written(x, "tiles")
-    # A shingle whose documents are all tied together already has nothing to add.
-    open_ = x.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
-    sizes = firsts.select("doc_id", F.col("n_shingles").alias("n"), _band(F.col("n_shingles"), percent).alias("band"))
-    x = written(x.join(open_, "h").join(sizes, "doc_id"), "tiles")
-    left = x.select("h", F.col("band").alias("tile"), F.col("label").alias("la"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    right = x.select("h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "band")
-    # Which labels meet in a tile comes first, so that documents of one label are never paired.
-    meet = left.select("h", "tile", "la").distinct().join(right.select("h", "tile", "lb").distinct(), ["h", "tile"]).filter("la <> lb")
-    pairs = meet.join(left, ["h", "tile", "la"]).join(right, ["h", "tile", "lb"]).filter("band < tile or a < b")
+    # A shingle whose documents are all tied together already has nothing to add; in the others the label that most
+    # documents have is named, as these need not be compared among themselves.
+    per = x.groupBy("h", "label").agg(F.count("*").alias("c"))
+    open_ = per.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("main"), (F.sum("c") >= CROWD).alias("crowd")).filter("labels > 1").select("h", F.col("main.label").alias("main"), "crowd")
+    sizes = firsts.select("doc_id", F.col("n_shingles").alias("n"), _band(F.col("n_shingles"), percent).alias("band"), "coarse")
+    x = x.join(open_, "h").join(sizes, "doc_id")
+    x = written(x.select("h", "doc_id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "band", *[F.when(F.col("crowd"), F.col("coarse")[i]).otherwise(F.lit(0)).alias(f"w{i}") for i in range(S.COARSE)]), "tiles")
+    words = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(S.COARSE)]
+    left = x.filter("not main").select("h", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("tile"), F.col("label").alias("la"), F.col("doc_id").alias("a"), F.col("n").alias("na"), *words("x"))
+    right = x.select("h", F.col("band").alias("tile"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "main", *words("y"))
+    # Sizes, and in crowded tiles the bit counts of coarse bitmaps, bound the overlap inside the join.
+    differ = reduce(add, [F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(S.COARSE)])
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ((100 + percent) * (F.col("na") + F.col("nb") - differ) >= 2 * percent * (F.col("na") + F.col("nb")))
+    pairs = left.join(right, ["h", "tile"]).filter((F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits)
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.max(F.greatest("na", "nb")).alias("most"), F.max(F.col("na") + F.col("nb")).alias("both"))
     # What is common is in both prefixes or behind the prefix that ends first, so `shared` bounds it from above.
     behind = F.ceil(F.col("most") * percent / 100) - 1

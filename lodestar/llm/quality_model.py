@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.recent import Recent
-from lodestar.llm.sampling import fold, sampled
+from lodestar.llm.sampling import arrays, fold, sampled
 
 #: Rows of documents with this remainder are never learned from.
 FOLDS, HELD = 3, 1
@@ -124,7 +124,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     few, shares = sampled(known.filter(fold(F.col("doc_id"), FOLDS) != HELD), "quality", fit_each)
     got = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(few, "doc_id").select("quality", "text")
     got = got.mapInArrow(_bags, "label int, bag array<float>").toArrow()
-    rows = [(label, np.array(bag, np.float32).reshape(-1, FEATURES)) for label, bag in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if bag]
+    rows = [(label, bag.reshape(-1, FEATURES)) for label, bag in zip(got.column(0).to_pylist(), arrays(got.column(1)), strict=True) if len(bag)]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     y = np.array([r[0] for r in rows], np.float32)
     w = np.array([1 / shares[int(x)] for x in y], np.float32)

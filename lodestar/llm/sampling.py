@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,12 @@ def sampled(labelled: DataFrame, label: str, each: int, classes: int = 200) -> t
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.coalesce(F.try_element_at(share, F.col(label)), F.lit(0.0)) * _PARTS
     return labelled.filter(chosen), shares
+
+
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a collected column as numpy arrays, without Python objects in between."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.flatten().to_numpy(zero_copy_only=False), np.asarray(chunk.offsets) - chunk.offsets[0].as_py()
+        out += [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return out

@@ -12,11 +12,13 @@ from lodestar.llm.recent import Recent
 
 SHINGLE = 5
 BITS = 2048
+#: Longs of the coarse bitmap: the bitmap folded by exclusive or.
+COARSE = 8
 N_STARS = 8
 #: Odd multipliers of the word roll, of the final mixing and of the star permutations (fixed values).
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 STARS = np.array([xxhash.xxh3_64_intdigest(f"star {i}") | 1 for i in range(N_STARS)], np.uint64)
-_hashes = Recent(xxhash.xxh3_64_intdigest)
+_hashes = Recent(xxhash.xxh3_64_intdigest, size=150_000)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -58,7 +60,7 @@ def described(frequent: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                n, digest, rare, common, stars, bits = [], [], [], [], [], []
+                n, digest, rare, common, stars, bits, coarse = [], [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
@@ -72,16 +74,17 @@ def described(frequent: np.ndarray, percent: int):
                     common.append(s[late][: max(0, p - len(early))].view(np.int64))
                     stars.append((s[:, None] * STARS).min(0).view(np.int64) if len(s) else [])
                     bits.append(parity_bits(s))
+                    coarse.append(np.bitwise_xor.reduce(np.frombuffer(bits[-1], np.int64).reshape(-1, COARSE)))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, longs), pa.array(common, longs), pa.array(stars, longs), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "rare", "common", "stars", "bits"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, longs), pa.array(common, longs), pa.array(stars, longs), pa.array(bits, pa.binary()), pa.array(coarse, longs)],
+                    names=["doc_id", "n_shingles", "digest", "rare", "common", "stars", "bits", "coarse"],
                 )
 
     return run
 
 
-DESCRIBED = "doc_id long, n_shingles long, digest binary, rare array<long>, common array<long>, stars array<long>, bits binary"
+DESCRIBED = "doc_id long, n_shingles long, digest binary, rare array<long>, common array<long>, stars array<long>, bits binary, coarse array<long>"
 
 
 def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
