@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.recent import Recent
+from lodestar.llm.sampling import arrays
+
+#: Two ids, or a rank and an id, are held in one integer; what pairs that do not merge have.
+WIDE, MASK, NEVER = 32, (1 << 32) - 1, 1 << 64
 
 #: White space as the tokenizer's pattern has it, and that pattern (fixed values).
 _S = r"\t-\r \x85\xa0  -     　"
@@ -48,8 +53,11 @@ class ByteBPE:
             self.bytes[i] = bytes(of[c] for c in token) if token not in self.added else token.encode()
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        self.of_byte = {of[t]: i for t, i in vocab.items() if len(t) == 1}
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        self.tokens = np.array(self.bytes, object)
+        single = {of[t]: i for t, i in vocab.items() if len(t) == 1}
+        self.of_byte = [single[b] for b in range(256)]
+        # A pair of ids as one integer -> its rank and the id that it becomes, also as one integer, in order of rank.
+        self.merges = {vocab[a] << WIDE | vocab[b]: rank << WIDE | vocab[a + b] for rank, (a, b) in enumerate(spec["model"]["merges"])}
         self.pattern = regex.compile(PATTERN)
         self.fragments = Recent(self.encode_fragment)
         joined = np.zeros((256, 256), bool)
@@ -68,34 +76,40 @@ class ByteBPE:
 
     def merged(self, piece: bytes) -> list[int]:
         """Merge the pair of least rank, the leftmost at a tie, until no pair is left."""
-        ids = [self.of_byte[b] for b in piece]
+        ids = list(map(self.of_byte.__getitem__, piece))
         get, n = self.merges.get, len(ids)
-        if n < 40:
-            while len(ids) > 1:
-                best = min(((m[0], i, m[1]) for i in range(len(ids) - 1) if (m := get((ids[i], ids[i + 1])))), default=None)
-                if best is None:
-                    break
-                ids[best[1] : best[1] + 2] = [best[2]]
+        if n < 64:
+            pairs = [get(a << WIDE | b, NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
+            while pairs and (best := min(pairs)) != NEVER:
+                i = pairs.index(best)
+                ids[i] = best & MASK
+                del ids[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = get(ids[i - 1] << WIDE | ids[i], NEVER)
+                if i < len(pairs):
+                    pairs[i] = get(ids[i] << WIDE | ids[i + 1], NEVER)
             return ids
         after, before, gone = [*range(1, n), -1], [*range(-1, n - 1)], [False] * n
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << WIDE | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if gone[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], gone[j], after[i] = new, True, after[j]
+            ids[i], gone[j], after[i] = m & MASK, True, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, m[1], ids[left], ids[right]))
+                if left >= 0 and right >= 0 and (m := get(ids[left] << WIDE | ids[right])):
+                    heapq.heappush(heap, (m, left, ids[left], ids[right]))
         return [x for x, g in zip(ids, gone, strict=True) if not g]
 
     def encode_fragment(self, fragment: bytes) -> bytes:
+        if fragment.isalpha() or (fragment[:1] == b" " and fragment[1:].isalpha()):  # ASCII letters: one piece
+            return array("i", self.merged(fragment)).tobytes()
         ids = [i for piece in self.pattern.findall(fragment.decode("utf-8", "surrogatepass")) for i in self.merged(piece.encode("utf-8", "surrogatepass"))]
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def _encode(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
@@ -114,9 +128,9 @@ class ByteBPE:
             return self._encode(text)
         return b"".join(np.int32(self.added[part]).tobytes() if part in self.added else self._encode(part) for part in self.added_pattern.split(text))
 
-    def decode(self, ids: list[int] | None) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes.__getitem__, ids or ())).decode("utf-8", "replace")
+        return b"".join(self.tokens[ids].tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -143,13 +157,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """One row per row of encoded: doc_id, ids, decoded (the text of the ids; null ids make an empty one)."""
+    """One row per row of encoded: doc_id, ids, decoded (the text of the ids; a null array makes an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [bpe.decode(x) for x in part.column(1).to_pylist()]
+                texts = [bpe.decode(x) for x in arrays(pa.chunked_array([part.column(1)]))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
