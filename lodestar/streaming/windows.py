@@ -19,4 +19,29 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def _counted(counts: DataFrame, mode: str) -> DataFrame:
+    spark, name = counts.sparkSession, f"stream_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, n) of sessions that end after 30 idle minutes; equal to the batch sessions."""
+    return _counted(_events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")), "complete").select("user_id", "n")
+
+
+def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, event_type), each event once though the stream brings it twice; state is dropped at the watermark."""
+    x = _events(spark, sf_dir)
+    return _counted(x.union(x).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+
+
+SESSIONS_SQL = """SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+ FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s"""
+DISTINCT_SQL = "SELECT DISTINCT event_id, event_type FROM events"
 DAILY_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"

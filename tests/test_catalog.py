@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lodestar.operators import facets, fusion
 from lodestar.operators import predicates as P
-from lodestar.plans.queries import ORACLES, QUERIES
+from lodestar.plans import parsing
+from lodestar.sources import sinks
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,10 +28,10 @@ def value(v):
     return float(f"{v:.9g}") if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(__spark_entry__._base()))
 def test_same_as_sql(spark, duck, name):
-    df = QUERIES[name](spark, AT)
-    rel = duck.sql(ORACLES[name])
+    df = __spark_entry__._base()[name](spark, AT)
+    rel = duck.sql(__spark_entry__.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     got = sorted(repr([value(r[c]) for c in sorted(df.columns)]) for r in df.collect())
     rows = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
@@ -68,3 +69,19 @@ def test_fusion_never_merges_one_source(spark):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.label) for r in fusion.connected(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+@pytest.mark.parametrize(
+    ("sentence", "least", "years", "wanted", "unwanted"),
+    [("open orders, at least 1.5k", 1500.0, (None, None), {"f": ["O"]}, {}), ("not open 2024+", None, (2024, None), {}, {"f": ["O"]}), ("排除open, in 2020", None, (2020, 2020), {}, {"f": ["O"]}), ("reopened", None, (None, None), {}, {})],
+)
+def test_rule_parser(sentence, least, years, wanted, unwanted):
+    q = parsing.parse(sentence, {"f": {"open": ["O"]}}, {})
+    assert (q.least, q.years, q.wanted, q.unwanted) == (least, years, wanted, unwanted)
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "i int, s array<string>")
+    sinks.to_release(df, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r/parquet")).count() == 2
+    assert {r.s for r in spark.read.option("header", True).csv(str(tmp_path / "r/csv")).collect()} == {"a; b", None}
