@@ -15,6 +15,14 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)).cast("int")
 
 
+def chosen(label: str, shares: dict) -> Column:
+    """Whether sampled() takes a row of (doc_id, label), given the shares it returned."""
+    if not shares:
+        return F.lit(False)
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    return F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.coalesce(F.try_element_at(share, F.col(label)), F.lit(0.0)) * _PARTS
+
+
 def sampled(labelled: DataFrame, label: str, each: int, classes: int = 200) -> tuple[DataFrame, dict]:
     """About `each` rows of each of the `classes` most frequent labels (all rows of a rare one), chosen by a hash of
     doc_id, and each label's sampled share. labelled has doc_id and the label, not null."""
@@ -22,9 +30,7 @@ def sampled(labelled: DataFrame, label: str, each: int, classes: int = 200) -> t
     shares = {r[0]: min(1.0, each / r[1]) for r in counts}
     if not shares:
         return labelled.limit(0), shares
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.coalesce(F.try_element_at(share, F.col(label)), F.lit(0.0)) * _PARTS
-    return labelled.filter(chosen), shares
+    return labelled.filter(chosen(label, shares)), shares
 
 
 def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -213,3 +213,21 @@ def test_pipeline_same_as_brute_force(spark, texts):
                 root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert set(rows.doc_id) == set(root.values())
     assert rows.groupby("sequence_id").length.sum().max() <= 2048
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+]
+
+
+def test_language_id_rejects_at_every_size(spark):
+    random.seed(3)
+    gibberish = [" ".join("".join(random.choices("bcdfghjklmnpqrstvwxzj", k=random.randint(3, 9))) for _ in range(120)) for _ in range(3)]
+    planted = [(-1 - i, " ".join([t] * 3), None) for i, t in enumerate(FOREIGN + gibberish)] + [(-9, "de " + "1234 5678 %% " * 200, None)]
+    for at in (AT, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", "lang")
+        rows = langid.identify(docs.union(spark.createDataFrame(planted, docs.schema))).collect()
+        assert all(r.rejected for r in rows if r.doc_id < 0), at
+        assert np.mean([r.rejected for r in rows if r.doc_id >= 0]) < 0.01, at
