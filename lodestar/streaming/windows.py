@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import shared_dir
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -14,15 +16,26 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, event_type, n) counted by a stream that takes all files there are and ends; equal to the batch count."""
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    name = f"daily_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return _counted(counts, "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def _counted(counts: DataFrame, mode: str) -> DataFrame:
-    spark, name = counts.sparkSession, f"stream_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """What the stream gives, written by the executors as Parquet in the shared folder and read back. append: the file
+    sink; complete: each batch replaces the result of the one before, in a folder of its own."""
+    spark, at = counts.sparkSession, f"{shared_dir(counts.sparkSession)}/streams/{uuid.uuid4().hex}"
+    stream = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        stream.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+        return spark.read.schema(counts.schema).parquet(f"{at}/rows")
+    last = []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        path = f"{at}/rows-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    stream.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(*last) if last else spark.createDataFrame([], counts.schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

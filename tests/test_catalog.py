@@ -85,3 +85,9 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.to_release(df, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/parquet")).count() == 2
     assert {r.s for r in spark.read.option("header", True).csv(str(tmp_path / "r/csv")).collect()} == {"a; b", None}
+
+
+@pytest.mark.parametrize("name", ["stream_dedup_late", "stream_sessions", "stream_tumbling"])
+def test_streams_are_written_by_executors(spark, name):
+    files = __spark_entry__.queries()[name](spark, AT).inputFiles()
+    assert files and all(f.endswith(".parquet") and "/streams/" in f for f in files)
