@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ MARK, UNKNOWN_PENALTY = "▁", 10.0
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
     """Pieces of a sentencepiece model with scores falling by rank as -ln(rank + 2); control, unknown and byte pieces
-    are left out. (The public file ranks its pieces; it has no log probabilities.)"""
+    are left out of the matches. (The public file ranks its pieces; it has no log probabilities.)"""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     return [(p, -math.log(i + 2)) for i, p in enumerate(pieces)]
@@ -54,10 +55,13 @@ class Counter:
                 if top is None or score + best[start] > top:
                     top, pieces[end + 1], last_unknown[end + 1] = score + best[start], pieces[start] + 1, False
             if not single and (top is None or self.unknown + best[end] > top):
-                top, pieces[end + 1], last_unknown[end + 1] = self.unknown + best[end], pieces[end] + (not last_unknown[end]), True
+                top, pieces[end + 1], last_unknown[end + 1] = self.unknown + best[end], pieces[end] + self.unknown_pieces(word[end], last_unknown[end]), True
             best[end + 1] = top
         return pieces[n]
 
+    def unknown_pieces(self, char: str, after_unknown: bool) -> int:
+        return int(not after_unknown)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
@@ -66,16 +70,34 @@ class Counter:
         return sum(map(self.words.__getitem__, [MARK + w for w in words]))
 
 
+class TextCounter(Counter):
+    """Piece counts of whole marked texts. A text is cut only before marks over which no piece of the vocabulary
+    reaches, so runs of spaces meet the pieces of several marks; an unknown character is as many pieces as it has bytes."""
+
+    def __init__(self, vocabulary: list[tuple[str, float]]):
+        super().__init__(vocabulary)
+        over = sorted({a for piece, _ in vocabulary for a, b in zip(piece, piece[1:], strict=False) if b == MARK})
+        self.cut = re.compile(f"(?<=[^{''.join(map(re.escape, over))}])(?={MARK})" if over else f"(?<=.)(?={MARK})", re.DOTALL)
+
+    def unknown_pieces(self, char: str, after_unknown: bool) -> int:
+        return len(char.encode("utf-8", "surrogatepass"))
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        return sum(map(self.words.__getitem__, self.cut.split(MARK + text.replace(" ", MARK))))
+
+
 @lru_cache(maxsize=2)
-def _counter(path: str) -> Counter:
-    return Counter(unigram_vocabulary(path))
+def _counter(path: str) -> TextCounter:
+    return TextCounter(unigram_vocabulary(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, the number of unigram pieces of the whole text.
 
-    vocabulary: path of a sentencepiece model that all executors can read. Each space starts a word with the mark;
-    a first word has it too. Null and empty texts have 0 pieces. Long words cost time in proportion to their
+    vocabulary: path of a sentencepiece model that all executors can read, with the 256 byte pieces. Each space is a mark, and
+    one stands before the text; see TextCounter. Null and empty texts have 0 pieces. Long words cost time in proportion to their
     length. Null doc_ids and repeated rows come back as they are. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

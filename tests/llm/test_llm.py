@@ -231,3 +231,16 @@ def test_language_id_rejects_at_every_size(spark):
         rows = langid.identify(docs.union(spark.createDataFrame(planted, docs.schema))).collect()
         assert all(r.rejected for r in rows if r.doc_id < 0), at
         assert np.mean([r.rejected for r in rows if r.doc_id >= 0]) < 0.01, at
+
+
+def test_token_counts_of_whole_texts(spark):
+    vocabulary = token_counts.unigram_vocabulary(PIECES)
+    least = min(s for _, s in vocabulary)
+    exact = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary, *((f"<0x{i:02X}>", least) for i in range(256))], unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="never", split=False)
+    own = ["def f():\n" + " " * 16 + "return 1\n\n\n", "a  b   c", "🫠🫠", "\n\n\n", "x\t\ty  ", *fuzz()]
+    rows = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    want = [len(exact.encode("▁" + t).ids) if t else 0 for t in own]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, PIECES).collect()}
+    assert [got[i] for i in range(len(own))] == want
+    assert got[3] == 4 and got[2] == 9
