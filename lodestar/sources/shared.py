@@ -8,10 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local mode) a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster must name its
+    own, as its machines share no temporary folder."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         sc.setCheckpointDir(at)
     return at
