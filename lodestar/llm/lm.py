@@ -2,197 +2,324 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.sampling import fold
-from lodestar.llm.store import written
+from lodestar.llm.store import dropped, most_frequent, written
 
 #: Rows of documents with this remainder are never learned from.
 FOLDS, HELD = 7, 2
-#: Words that are symbols of the model; words whose counts every task holds (both the most frequent, none longer than
-#: LONGEST bytes). All other words' counts are joined, however many there are.
-HEAD, KNOWN, LONGEST = 1000, 300_000, 64
-DIM, NOISE, STEPS = 48, 8, 400
-#: Tokens by which each context's counts are drawn towards the unigram distribution before training.
-PRIOR = 100.0
-#: Classes of the words that are not symbols: by last character, by letters beyond ASCII, by length.
-CLASSES, ENDINGS, SIZES = 48, b".,", (5, 8, 12)
-
-
-def word_class(word: bytes) -> int:
-    """The class of a word outside the head, from its form alone, so unseen words have one too."""
-    end = ENDINGS.find(word[-1:]) + 1
-    kind = 0 if word.isascii() else 1 + max(c for c in word if c >= 0x80) % 3
-    size = sum(len(word) > s for s in SIZES)
-    return (end * 4 + kind) * 4 + size
-
-
-def _symbols(head: list[bytes]) -> dict[bytes, int]:
-    """Symbols: 0 the end of a text, then the head, then the classes."""
-    return {w: i + 1 for i, w in enumerate(head)}
-
-
-def train(pairs: np.ndarray, seed: int = 11) -> np.ndarray:
-    """The table of log10 probabilities (context, next) of the trained model.
-
-    pairs: counts of (context, next) over all learned tokens. The score of next w after u is q_w . (r_u C) + b_w. The
-    objective is that of noise-contrastive estimation with NOISE noise tokens a token from the unigram distribution,
-    taken as its exact expectation over the counted pairs instead of drawing. Products of whole matrices then give
-    each context's scores, normalised over all symbols."""
-    n = len(pairs)
-    if not pairs.sum():
-        return np.full((n, n), -np.log10(n))
-    rng = np.random.default_rng(seed)
-    noise = (pairs.sum(0) + 1) / (pairs.sum() + n)
-    pairs = pairs + PRIOR * noise
-    total = pairs.sum()
-    context = pairs.sum(1)
-    share = (pairs / total).astype(np.float32)
-    drawn = (NOISE * (context / total)[:, None] * noise[None, :]).astype(np.float32)
-    shift = np.log(NOISE * noise).astype(np.float32)
-    p = {"r": rng.normal(0, 0.1, (n, DIM)), "C": np.eye(DIM), "q": rng.normal(0, 0.1, (n, DIM)), "b": np.log(noise)}
-    p = {k: x.astype(np.float32) for k, x in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    for step in range(1, STEPS + 1):
-        h = p["r"] @ p["C"]
-        d = 1 / (1 + np.exp(-np.clip(h @ p["q"].T + p["b"] - shift, -30, 30)))
-        g = drawn * d - share * (1 - d)
-        dh = g @ p["q"]
-        grad = {"r": dh @ p["C"].T, "C": p["r"].T @ dh, "q": g.T @ h, "b": g.sum(0)}
-        rate = 0.03 * (1 - step / (STEPS + 1))
-        for k in p:
-            m[k] += 0.1 * (grad[k] - m[k])
-            v[k] += 0.001 * (grad[k] ** 2 - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-12)
-    scores = ((p["r"] @ p["C"]) @ p["q"].T + p["b"]).astype(np.float64)
-    top = scores.max(1, keepdims=True)
-    return (scores - top - np.log(np.exp(scores - top).sum(1, keepdims=True))) / np.log(10)
+#: Words with an embedding of their own (the most frequent), and embeddings that all other words share by a hash.
+WORDS, BUCKETS = 32_000, 512
+#: Words whose counts every task holds (the most frequent); words over LONGEST bytes are known by their digest.
+KNOWN, LONGEST = 300_000, 64
+#: Words before a token that predict it; size of the embeddings; symbols in a class.
+CONTEXT, DIM, WIDTH = 3, 24, 128
+#: Noise symbols and noise classes that the tokens of a batch share; tokens in a batch; step size.
+NOISE, CLASS_NOISE, BATCH, RATE = 64, 16, 2048, 0.08
+#: A task goes over its tokens again, PASSES times at most, until it has met LEAST of them.
+LEAST, PASSES = 500_000, 6
+
+
+def word_key(word: bytes) -> bytes:
+    """A word, or for one over LONGEST bytes its digest behind a byte that no UTF-8 text has."""
+    return word if len(word) <= LONGEST else b"\xff" + hashlib.md5(word).digest()
 
 
 @dataclass
 class Stats:
-    """What the scoring tasks hold: the head, counts of the KNOWN words, sums by class, totals and the table."""
+    """Counts of the KNOWN words, sums by bucket, totals, and the symbols: the end of a text, words, buckets of the other
+    words. Symbols are numbered by falling counts, and WIDTH that follow each other are a class."""
 
-    head: list[bytes]
     known: list[bytes]
     counts: np.ndarray
-    class_mass: np.ndarray
+    words: int
+    bucket_mass: np.ndarray
     tokens: int
     distinct: int
     texts: int
-    table: np.ndarray | None = None
     made: dict = field(default_factory=dict)
 
+    def __getstate__(self):
+        return self.__dict__ | {"made": {}}
+
+    def __post_init__(self):
+        mass = np.concatenate([[self.texts], self.counts[: self.words], self.bucket_mass]).astype(np.float64)
+        order = np.argsort(-mass, kind="stable")
+        self.rank = np.empty(len(mass), np.int32)
+        self.rank[order] = np.arange(len(mass))
+        self.share = (mass[order] + 1e-3) / (mass.sum() + 1e-3 * len(mass))
+        self.classes = -(-len(mass) // WIDTH)
+        self.class_share = np.add.reduceat(self.share, np.arange(0, len(mass), WIDTH))
+        self.end = int(self.rank[0])
+
+    def bucket(self, key: bytes) -> int:
+        return int(self.rank[1 + self.words + zlib.crc32(key) % BUCKETS])
+
     def lookups(self) -> tuple[dict, np.ndarray, np.ndarray]:
-        """word -> place, and per place its symbol and log10(count + 1). Made once a process."""
+        """word key -> place, and per place its symbol and log10(count + 1). Made once a process."""
         if not self.made:
-            symbols, first = _symbols(self.head), 1 + len(self.head)
-            symbol = np.array([symbols.get(w) or first + word_class(w) for w in self.known], np.int32)
+            symbol = np.array([self.rank[1 + i] if i < self.words else self.bucket(w) for i, w in enumerate(self.known)], np.int32)
             self.made.update(of={w: i for i, w in enumerate(self.known)}, symbol=symbol, log=np.log10(self.counts + 1.0))
         return self.made["of"], self.made["symbol"], self.made["log"]
 
-    def __getstate__(self):
-        return self.__dict__ | {"made": {}}
+    def start(self, seed: int = 11) -> dict[str, np.ndarray]:
+        """Parameters before training, the same in every task: position matrices C, embeddings r of symbols that predict;
+        embeddings and biases q of symbols and k of classes that are predicted. Biases are logarithms of shares."""
+        rng, n = np.random.default_rng(seed), len(self.share)
+        made = lambda rows, share: np.column_stack([rng.normal(0, 0.05, (rows, DIM)), np.log(share)]).astype(np.float32)
+        near = np.stack([np.eye(DIM) * 0.7**j for j in range(CONTEXT)]).astype(np.float32)
+        return {"r": rng.normal(0, 0.3, (n, DIM)).astype(np.float32), "C": near, "q": made(n, self.share), "k": made(self.classes, self.class_share)}
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _symbol_ids(head: list[bytes]):
-    symbols, first = _symbols(head), 1 + len(head)
+def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[starts], np.add.reduceat(grads[order], starts)
+
+
+class Trainer:
+    """Stochastic gradient steps of noise-contrastive estimation over batches of (context, token)."""
+
+    def __init__(self, stats: Stats, seed: int):
+        self.p, self.rng = stats.start(), np.random.default_rng(seed)
+        self.sums = {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
+        self.met = {k: np.zeros(len(x)) for k, x in self.p.items()}
+        self.draws = {"q": (np.cumsum(stats.share), np.log(NOISE * stats.share).astype(np.float32), NOISE), "k": (np.cumsum(stats.class_share), np.log(CLASS_NOISE * stats.class_share).astype(np.float32), CLASS_NOISE)}
+
+    def _moved(self, name: str, rows, grad: np.ndarray) -> None:
+        total = self.sums[name][rows] + grad * grad
+        self.sums[name][rows] = total
+        self.p[name][rows] -= RATE * grad / np.sqrt(total)
+
+    def gradients(self, name: str, h: np.ndarray, right: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a batch's loss, by h (with a column of ones), by the rows of the right symbols and by those of the noise.
+
+        The loss is -log s(right) - sum log(1 - s(noise)), s the logistic function of score - log(noise tokens * share)."""
+        table, shift = self.p[name], self.draws[name][1]
+        own, others = table[right], table[noise]
+        a = 1 / (1 + np.exp(-np.clip((h * own).sum(1) - shift[right], -30, 30))) - 1
+        b = 1 / (1 + np.exp(-np.clip(h @ others.T - shift[noise], -30, 30)))
+        return a[:, None] * own + b @ others, a[:, None] * h, b.T @ h
+
+    def step(self, context: np.ndarray, token: np.ndarray) -> None:
+        p, n = self.p, len(token)
+        before = [p["r"][context[:, j]] for j in range(CONTEXT)]
+        h = np.ones((n, DIM + 1), np.float32)
+        h[:, :DIM] = sum(x @ c for x, c in zip(before, p["C"], strict=True))
+        dh = np.zeros_like(h)
+        for name, right in (("q", token), ("k", token // WIDTH)):
+            cdf, _, m = self.draws[name]
+            noise = np.minimum(np.searchsorted(cdf, self.rng.random(m)), len(cdf) - 1)
+            g, own, others = self.gradients(name, h, right, noise)
+            dh += g
+            rows, grad = _merged(np.concatenate([right, noise]), np.concatenate([own, others]))
+            self._moved(name, rows, grad)
+            self.met[name][rows] += 1
+        dh = dh[:, :DIM]
+        rows, grad = _merged(context.T.reshape(-1), np.concatenate([dh @ c.T for c in p["C"]]))
+        self._moved("C", slice(None), np.stack([x.T @ dh for x in before]))
+        self._moved("r", rows, grad)
+        self.met["r"][rows] += 1
+        self.met["C"] += 1
+
+    def batches(self, context: np.ndarray, token: np.ndarray) -> None:
+        for i in range(0, len(token), BATCH):
+            self.step(context[i : i + BATCH], token[i : i + BATCH])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, times met, values) of the rows that were met; keys number the rows of all parameters in turn."""
+        keys, met, values, first = [], [], [], 0
+        for name, x in self.p.items():
+            flat, times = x.reshape(-1, x.shape[-1]), np.repeat(self.met[name], x[0].size // x.shape[-1])
+            at = np.flatnonzero(times)
+            keys.append(first + at)
+            met.append(times[at])
+            values.append(np.pad(flat[at], ((0, 0), (0, DIM + 1 - flat.shape[1]))))
+            first += len(flat)
+        return np.concatenate(keys), np.concatenate(met), np.concatenate(values)
+
+
+def examples(symbols: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, token) of texts given as symbols without their end: the CONTEXT symbols before, the nearest first, ends
+    before the first word."""
+    pad = np.full(CONTEXT, end, np.int32)
+    stream = np.concatenate([x for s in symbols for x in (pad, s, pad[:1])] or [pad[:0]])
+    sizes = np.array([len(s) + 1 for s in symbols], np.int64)
+    at = np.arange(sizes.sum()) + np.repeat(CONTEXT * np.arange(1, len(symbols) + 1), sizes)
+    return np.stack([stream[at - 1 - j] for j in range(CONTEXT)], 1) if len(at) else np.empty((0, CONTEXT), np.int32), stream[at]
+
+
+def _symbols_of(stats: Stats):
+    of, symbol, _ = stats.lookups()
 
     class Ids(dict):
         def __missing__(self, w: bytes) -> int:
-            i = first + word_class(w)
-            if len(w) <= LONGEST and len(self) < 300_000:
-                self[w] = i
-            return i
+            key = word_key(w)
+            i = of.get(key)
+            s = int(symbol[i]) if i is not None else stats.bucket(key)
+            if len(w) <= LONGEST and len(self) < KNOWN:
+                self[w] = s
+            return s
 
-    return Ids(symbols)
+    return Ids()
 
 
-def _pairs(head: list[bytes]):
-    size = 1 + len(head) + CLASSES
-
+def _trained(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _symbol_ids(head)
-        total = np.zeros(size * size, np.int64)
+        stats = held.value
+        ids, trainer, kept, n = _symbols_of(stats), Trainer(stats, TaskContext.get().partitionId()), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = _words(text)
-                s = np.zeros(len(w) + 2, np.int64)
-                s[1:-1] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-                np.add.at(total, s[:-1] * size + s[1:], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
+                words = [_words(t) for t in part.column(0).to_pylist()]
+                got = examples([np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) for w in words], stats.end)
+                trainer.batches(*got)
+                n += len(got[1])
+                if n < LEAST:
+                    kept.append(got)
+        for _ in range(min(PASSES, -(-LEAST // n)) - 1 if n else 0):
+            for got in kept:
+                trainer.batches(*got)
+        keys, met, values = trainer.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(met), *(pa.array(values[:, i]) for i in range(DIM + 1))], names=["key", "met", *(f"v{i}" for i in range(DIM + 1))])
 
     return run
 
 
-def _class_sums(head: list[bytes]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken = set(head)
-        for x in frames:
-            keep = [w not in taken for w in map(bytes, x["word"])]
-            x = x[keep]
-            yield pd.DataFrame({"cls": [word_class(bytes(w)) for w in x["word"]], "mass": x["c"].to_numpy(), "kinds": np.ones(len(x), np.int64)}).groupby("cls", as_index=False).sum()
+def train(learned: DataFrame, stats: Stats, held) -> dict[str, np.ndarray]:
+    """Parameters trained over all learned texts: every task goes over its own from the same start, and each row is the
+    mean over the tasks that met it, weighted by how often. What comes to the driver has the size of the model."""
+    columns = [f"v{i}" for i in range(DIM + 1)]
+    rows = learned.mapInArrow(_trained(held), "key long, met double, " + ", ".join(f"{c} float" for c in columns))
+    mean = [(F.sum(F.col("met") * F.col(c)) / F.sum("met")).alias(c) for c in columns]
+    got = rows.groupBy("key").agg(*mean).toArrow()
+    p = stats.start()
+    keys, values = got.column("key").to_numpy(), np.column_stack([got.column(c).to_numpy() for c in columns]).astype(np.float32)
+    first = 0
+    for x in p.values():
+        flat = x.reshape(-1, x.shape[-1])
+        own = (keys >= first) & (keys < first + len(flat))
+        flat[keys[own] - first] = values[own][:, : flat.shape[1]]
+        first += len(flat)
+    return p
 
-    return run
+
+@dataclass
+class Scorer:
+    """Normalised log10 probabilities: of a token's class among all classes, then of the token within its class."""
+
+    context: list[np.ndarray]
+    classes: np.ndarray
+    symbols: np.ndarray
+
+    @staticmethod
+    def of(p: dict[str, np.ndarray]) -> Scorer:
+        n = len(p["k"])
+        q = np.zeros((n * WIDTH, DIM + 1), np.float32)
+        q[:, DIM] = -1e4
+        q[: len(p["q"])] = p["q"]
+        return Scorer([p["r"] @ c for c in p["C"]], p["k"], q.reshape(n, WIDTH, DIM + 1))
+
+    def log10(self, context: np.ndarray, token: np.ndarray, chunk: int = 16384) -> np.ndarray:
+        out = np.empty(len(token))
+        for i in range(0, len(token), chunk):
+            c, t = context[i : i + chunk], token[i : i + chunk]
+            h = sum(x[c[:, j]] for j, x in enumerate(self.context))
+            kind = t // WIDTH
+            order = np.argsort(kind, kind="stable")
+            h, kind, t = h[order], kind[order], t[order]
+            got = _log_softmax(h @ self.classes[:, :DIM].T + self.classes[:, DIM], kind)
+            starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+            for a, b in zip(starts, [*starts[1:], len(kind)], strict=True):
+                q = self.symbols[kind[a]]
+                got[a:b] += _log_softmax(h[a:b] @ q[:, :DIM].T + q[:, DIM], t[a:b] % WIDTH)
+            out[i : i + chunk][order] = got
+        return out / np.log(10)
+
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    own = scores[np.arange(len(at)), at] - top
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(1))
 
 
 def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
-    """Stats of the learned texts (a column `text`, no nulls), without the table, and the written counts (word, c) of all words."""
+    """Stats of the learned texts (a column `text`, no nulls), and the written counts (word, c) of all word keys."""
     words = F.split(F.btrim(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    raw = F.encode("word", "utf-8")
+    key = F.when(F.length(raw) <= LONGEST, raw).otherwise(F.concat(F.unhex(F.lit("FF")), F.unhex(F.md5(raw))))
     counts = texts.select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
-    counts = written(counts.select(F.encode("word", "utf-8").alias("word"), "c"), "counts")
+    counts = written(counts.select(key.alias("word"), "c"), "counts")
     n_texts = texts.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    known, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.float64)
-    head = known[:HEAD]
-    by_class = counts.mapInPandas(_class_sums(head), "cls long, mass long, kinds long").groupBy("cls").agg(F.sum("mass"), F.sum("kinds")).collect()
-    mass = np.ones(CLASSES)
-    for cls, m, k in by_class:
-        mass[cls] += m + k
-    return Stats(head, known, c, mass, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts), counts
-
-
-def _scored(stats: Stats):
-    size = 1 + len(stats.head) + CLASSES
-
+    top = most_frequent(counts, "c", KNOWN).toArrow()
+    known, c = top.column(0).to_pylist(), top.column(1).to_numpy()
+    order = sorted(range(len(known)), key=lambda i: (-c[i], known[i]))
+    known, c = [known[i] for i in order], c[order].astype(np.float64)
+    words = min(WORDS, len(known))
+    mass = np.ones(BUCKETS)
+    for b, m, k in counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS))).agg(F.sum("c"), F.count("*")).collect():
+        mass[b] += m + k
+    for w, m in zip(known[:words], c, strict=False):
+        mass[zlib.crc32(w) % BUCKETS] -= m + 1
+    return Stats(known, c, words, mass, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts), counts
+
+
+def _scored(held, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, scorer = held.value, Scorer.of(model.value)
         of, symbol, log = stats.lookups()
-        ids, first, end = _symbol_ids(stats.head), 1 + len(stats.head), np.log10(stats.texts + 1.0)
-        table, mass = stats.table.reshape(-1), np.log10(stats.class_mass)
+        end, shared = np.log10(stats.texts + 1.0), np.zeros(len(stats.rank))
+        shared[stats.rank[1 + stats.words :]] = np.log10(stats.bucket_mass)
+        hashed = np.zeros(len(stats.rank), bool)
+        hashed[stats.rank[1 + stats.words :]] = True
         get = of.get
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                out = []
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                out, symbols, more = [], [], []
                 for text in part.column(3).to_pylist():
                     w = _words(text)
                     at = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+                    rest = []
+                    for i in np.flatnonzero(at < 0).tolist():
+                        key = word_key(w[i])
+                        at[i] = get(key, -1) if len(key) < len(w[i]) else -1
+                        if at[i] < 0:
+                            rest.append(key)
                     there = at >= 0
-                    rest = [w[i] for i in np.flatnonzero(~there)]
-                    s = np.zeros(len(w) + 2, np.int64)
-                    s[1:-1][there] = symbol[at[there]]
-                    s[1:-1][~there] = [ids[x] for x in rest]
+                    s = np.empty(len(w), np.int32)
+                    s[there] = symbol[at[there]]
+                    s[~there] = [stats.bucket(x) for x in rest]
                     logs = np.zeros(len(w))
                     logs[there] = log[at[there]]
-                    classed = s[1:-1] >= first
-                    score = table[s[:-1] * size + s[1:]].sum() + logs[classed].sum() - mass[s[1:-1][classed] - first].sum()
+                    own = hashed[s]
+                    symbols.append(s)
+                    more.append(logs[own].sum() - shared[s[own]].sum())
                     few, n = np.unique(np.array(rest, object), return_counts=True) if rest else ([], [])
-                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), float(score), list(few), list(n)))
-                c = list(zip(*out, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest", "times"])
+                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), list(few), list(n)))
+                each = scorer.log10(*examples(symbols, stats.end))
+                starts = np.cumsum([0, *(len(s) + 1 for s in symbols[:-1])])
+                score = np.add.reduceat(each, starts) + np.array(more)
+                c = list(zip(*out, strict=True))
+                made = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(score), pa.array(c[3], pa.list_(pa.binary())), pa.array(c[4], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest", "times"])
 
     return run
 
@@ -201,36 +328,32 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the whole text, A-Z in lower case, and one end. Counts are exact and over all documents
-    that are not held out. base_score is the add-one unigram log10 probability. score is the model's: each token is a
-    symbol (end, one of the HEAD most frequent words, or a class of words) that the log-bilinear model predicts from the symbol
-    before, times, for a class, (c + 1) / (tokens + distinct words + 1) of the class, the last 1 being all unseen words. So
-    the model's probabilities of all words sum to at most 1 in each context. Counts of the KNOWN most frequent words are in every task;
-    the other words of each document are joined with the table of counts, whatever its size.
+    that are not held out. base_score is the add-one unigram log10 probability. score is the model's: the CONTEXT
+    symbols before a token (words, buckets of rare words, ends) predict it as the sum of their embeddings, each
+    through the matrix of its position, first its class, then the symbol in the class, both normalised; for a word
+    of a bucket this is multiplied by (c + 1) / (tokens + distinct words + 1) of the bucket, the last 1 being all unseen words.
+    So the probabilities of all words sum to at most 1 in each context. Training goes over all tokens not held out, where they
+    lie (see train). Counts of the KNOWN most frequent words are in every task; the other words of each document are
+    joined with the table of counts, whatever its size.
     Null texts are empty ones. A null doc_id is held out. Repeated rows come back repeated and count repeatedly.
     Without learned documents all counts are 0. Other columns are not read."""
     key = F.col(doc_id).cast("long")
     rows = docs.select(key.alias("doc_id"), F.coalesce(fold(key, FOLDS) == HELD, F.lit(True)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learned = rows.filter(~F.col("held_out")).select("text")
     stats, counts = corpus_stats(learned)
-    size = 1 + len(stats.head) + CLASSES
-    got = learned.mapInArrow(_pairs(stats.head), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(size * size)
-    pairs[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    stats.table = train(pairs.reshape(size, size))
+    # Both broadcasts have a fixed bound: KNOWN keys of LONGEST bytes with their counts, and the model's parameters.
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast(stats)
+    model = sc.broadcast(train(learned, stats, held))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<binary>, times array<long>"
-    held = _broadcast(docs, stats)
-    part = written(rows.select(F.monotonically_increasing_id().alias("rid"), "*").mapInArrow(lambda it: _scored(held.value)(it), schema), "scores")
+    part = written(rows.select(F.monotonically_increasing_id().alias("rid"), "*").mapInArrow(_scored(held, model), schema), "scores")
     rest = part.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     found = rest.join(counts, "word").groupBy("rid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
-    x = part.drop("rest", "times").join(found, "rid", "left")
+    x = part.drop("rest", "times").join(written(found, "rest"), "rid", "left")
+    dropped(counts)
     known, more = F.coalesce("known", F.lit(0).cast("long")), F.coalesce("more", F.lit(0.0))
     each = float(np.log10(stats.tokens + stats.distinct + 1))
     return x.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(stats.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * each).alias("base_score"), (F.col("score") + more).alias("score"),
     )
-
-
-def _broadcast(docs: DataFrame, stats: Stats):
-    """Broadcast stats: at most KNOWN words of LONGEST bytes and their counts, and the table of fixed size."""
-    return docs.sparkSession.sparkContext.broadcast(stats)

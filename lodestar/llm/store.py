@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources.shared import shared_dir
@@ -13,15 +13,51 @@ from lodestar.sources.shared import shared_dir
 BROADCAST_ROWS = 1_000_000
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+    Tables lie in one folder per application; see dropped() and clear()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written. Call it when the results are taken: they read these tables."""
+    _delete(spark, _run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it counts at most `limit` rows; otherwise as it is, for a shuffled join.
     df should be a written table: it is counted here."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the largest counts (positive), at most `limit` of them: all rows over the least eighth of an octave that
+    still fits. A histogram by eighths of octaves comes to the driver, a few hundred rows; no rows meet in one task."""
+    part = F.floor(F.log2(F.col(count).cast("double")) * 8).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.part):
+        total += r.n
+        if total > limit:
+            break
+        least = r.part
+    return counts.limit(0) if least is None else counts.filter(part >= least)
