@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.sampling import fold
-from lodestar.llm.store import dropped, most_frequent, written
+from lodestar.llm.store import dropped, most_frequent, one_thread, written
 
 #: Rows of documents with this remainder are never learned from.
 FOLDS, HELD = 7, 2
 #: Words with an embedding of their own (the most frequent), and embeddings that all other words share by a hash.
-WORDS, BUCKETS = 32_000, 512
+WORDS, BUCKETS = 16_000, 384
 #: Words whose counts every task holds (the most frequent); words over LONGEST bytes are known by their digest.
 KNOWN, LONGEST = 300_000, 64
 #: Words before a token that predict it; size of the embeddings; symbols in a class.
@@ -87,7 +87,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], np.add.reduceat(grads[order], starts)
@@ -253,11 +253,14 @@ class Scorer:
 
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    own = scores[np.arange(len(at)), at] - top
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return own - np.log(scores.sum(1))
+    own = scores[np.arange(len(at)), at]
+    with np.errstate(over="ignore", divide="ignore"):
+        total = np.log(np.exp(scores).sum(1))
+    odd = ~np.isfinite(total)
+    if odd.any():  # scores too large or small for their exponentials
+        top = scores[odd].max(1)
+        total[odd] = top + np.log(np.exp(scores[odd] - top[:, None]).sum(1))
+    return own - total
 
 
 def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
@@ -343,6 +346,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     stats, counts = corpus_stats(learned)
     # Both broadcasts have a fixed bound: KNOWN keys of LONGEST bytes with their counts, and the model's parameters.
     sc = docs.sparkSession.sparkContext
+    one_thread(docs.sparkSession)
     held = sc.broadcast(stats)
     model = sc.broadcast(train(learned, stats, held))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<binary>, times array<long>"

@@ -61,3 +61,9 @@ def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
             break
         least = r.part
     return counts.limit(0) if least is None else counts.filter(part >= least)
+
+
+def one_thread(spark: SparkSession) -> None:
+    """From now on matrix products in Python tasks run in the task's own thread: Spark has a task for each core already,
+    and idle helper threads would take turns with them."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
