@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +24,13 @@ WORDS, BUCKETS = 16_000, 384
 #: Words whose counts every task holds (the most frequent); words over LONGEST bytes are known by their digest.
 KNOWN, LONGEST = 300_000, 64
 #: Words before a token that predict it; size of the embeddings; symbols in a class.
-CONTEXT, DIM, WIDTH = 3, 24, 128
+CONTEXT, DIM, WIDTH = 2, 16, 128
 #: Noise symbols and noise classes that the tokens of a batch share; tokens in a batch; step size.
-NOISE, CLASS_NOISE, BATCH, RATE = 64, 16, 2048, 0.08
+NOISE, CLASS_NOISE, BATCH, RATE = 32, 16, 2048, 0.08
 #: A task goes over its tokens again, PASSES times at most, until it has met LEAST of them.
 LEAST, PASSES = 500_000, 6
+#: Distinct words that a task counts before it gives them out.
+FLUSH = 200_000
 
 
 def word_key(word: bytes) -> bytes:
@@ -165,6 +168,23 @@ def examples(symbols: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarra
     return np.stack([stream[at - 1 - j] for j in range(CONTEXT)], 1) if len(at) else np.empty((0, CONTEXT), np.int32), stream[at]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word key, count) of texts, given out whenever FLUSH keys have gathered."""
+    seen: Counter[bytes] = Counter()
+
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(map(word_key, seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+        seen.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(_words(text))
+            if len(seen) >= FLUSH:
+                yield given()
+    yield given()
+
+
 def _symbols_of(stats: Stats):
     of, symbol, _ = stats.lookups()
 
@@ -265,11 +285,7 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
     """Stats of the learned texts (a column `text`, no nulls), and the written counts (word, c) of all word keys."""
-    words = F.split(F.btrim(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    raw = F.encode("word", "utf-8")
-    key = F.when(F.length(raw) <= LONGEST, raw).otherwise(F.concat(F.unhex(F.lit("FF")), F.unhex(F.md5(raw))))
-    counts = texts.select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
-    counts = written(counts.select(key.alias("word"), "c"), "counts")
+    counts = written(texts.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_texts = texts.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, "c", KNOWN).toArrow()
@@ -290,33 +306,29 @@ def _scored(held, model):
         stats, scorer = held.value, Scorer.of(model.value)
         of, symbol, log = stats.lookups()
         end, shared = np.log10(stats.texts + 1.0), np.zeros(len(stats.rank))
-        shared[stats.rank[1 + stats.words :]] = np.log10(stats.bucket_mass)
-        hashed = np.zeros(len(stats.rank), bool)
-        hashed[stats.rank[1 + stats.words :]] = True
-        get = of.get
+        hashed, buckets, get = np.zeros(len(stats.rank), bool), stats.rank[1 + stats.words :], of.get
+        shared[buckets], hashed[buckets] = np.log10(stats.bucket_mass), True
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 out, symbols, more = [], [], []
                 for text in part.column(3).to_pylist():
                     w = _words(text)
                     at = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-                    rest = []
                     for i in np.flatnonzero(at < 0).tolist():
-                        key = word_key(w[i])
-                        at[i] = get(key, -1) if len(key) < len(w[i]) else -1
-                        if at[i] < 0:
-                            rest.append(key)
+                        if len(w[i]) > LONGEST:
+                            at[i] = get(word_key(w[i]), -1)
                     there = at >= 0
+                    rest = [word_key(w[i]) for i in np.flatnonzero(~there).tolist()]
                     s = np.empty(len(w), np.int32)
                     s[there] = symbol[at[there]]
-                    s[~there] = [stats.bucket(x) for x in rest]
+                    s[~there] = buckets[np.fromiter((zlib.crc32(x) for x in rest), np.int64, len(rest)) % BUCKETS]
                     logs = np.zeros(len(w))
                     logs[there] = log[at[there]]
                     own = hashed[s]
                     symbols.append(s)
                     more.append(logs[own].sum() - shared[s[own]].sum())
-                    few, n = np.unique(np.array(rest, object), return_counts=True) if rest else ([], [])
-                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), list(few), list(n)))
+                    few = Counter(rest)
+                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), list(few), list(few.values())))
                 each = scorer.log10(*examples(symbols, stats.end))
                 starts = np.cumsum([0, *(len(s) + 1 for s in symbols[:-1])])
                 score = np.add.reduceat(each, starts) + np.array(more)
