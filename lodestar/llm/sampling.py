@@ -23,11 +23,15 @@ def chosen(label: str, shares: dict) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)) < F.coalesce(F.try_element_at(share, F.col(label)), F.lit(0.0)) * _PARTS
 
 
-def sampled(labelled: DataFrame, label: str, each: int, classes: int = 200) -> tuple[DataFrame, dict]:
-    """About `each` rows of each of the `classes` most frequent labels (all rows of a rare one), chosen by a hash of
-    doc_id, and each label's sampled share. labelled has doc_id and the label, not null."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
-    shares = {r[0]: min(1.0, each / r[1]) for r in counts}
+def sampled(labelled: DataFrame, label: str, each: int, rows: int = 50_000, most_labels: int = 2_000) -> tuple[DataFrame, dict]:
+    """About `each` rows of each label (all rows of a rarer one), chosen by a hash of doc_id, and each label's sampled share.
+    With so many labels that this would be over `rows` in all, each label gets an equal part of `rows`. labelled has
+    doc_id and the label, not null. More than most_labels labels are an error: a model of this kind would not hold them."""
+    counts = labelled.groupBy(label).count().limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"column {label} has more than {most_labels} values")
+    each = min(each, rows // max(1, len(counts)))
+    shares = {r[0]: min(1.0, each / r[1]) for r in sorted(counts)}
     if not shares:
         return labelled.limit(0), shares
     return labelled.filter(chosen(label, shares)), shares
