@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.store import written
+from lodestar.llm.store import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
             .join(own, F.col("label") == F.col("up"), "left")
             .select("node", "old", F.least("label", F.coalesce("up_label", "label")).alias("label"))
         )
-        new = written(new, "labels")
-        labels = new.select("node", "label")
-        if new.filter("label <> old").limit(1).count() == 0:
-            return labels
+        before, labels = labels, written(new, "labels")
+        dropped(before)
+        if labels.filter("label <> old").limit(1).count() == 0:
+            dropped(both)
+            return labels.select("node", "label")

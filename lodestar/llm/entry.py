@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fingerprints, jaccard_join, langid, licenses, lm, packing, quality_model, quality_rules, token_counts
+from lodestar.llm import bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, packing, quality_model, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("broken")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("broken", "source_row")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    return langid.identify(_table(spark, sf_dir, "documents")).drop("source_row")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,19 +87,25 @@ LEFT JOIN (SELECT doc_id, min(other) AS least_other FROM reach GROUP BY 1) m ON
 
 
 def _op4() -> str:
-    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
-    grams = "CASE WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)]) END"
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_texts.templates())
+    grams = "CASE WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)] END"
     words = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    least = licenses.LEAST
     return f"""
-WITH t0 AS (SELECT i, license, {words.format("t")} AS w FROM (VALUES {rows}) v(i, license, t)),
-t AS (SELECT i, license, {grams} AS b FROM t0),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-w0 AS (SELECT doc_id, line_no, {words.format("line")} AS w FROM lines),
-b AS (SELECT doc_id, line_no, {grams} AS b FROM w0 WHERE len(w) BETWEEN 1 AND 200),
-scored AS (SELECT doc_id, line_no, license, 2 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t ON list_has_any(b.b, t.b)),
-best AS (SELECT doc_id, line_no, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM scored WHERE dice >= {licenses.LEAST} GROUP BY 1, 2),
-docs AS (SELECT doc_id, count(*) AS n_matches, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM best GROUP BY 1)
-SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, license, coalesce(dice, 0.0)::DOUBLE AS dice FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN docs USING (doc_id)
+WITH t0 AS (SELECT license, w, row_number() OVER (ORDER BY license, w) AS t FROM (SELECT DISTINCT license, {words.format("t")} AS w FROM (VALUES {rows}) v(license, t))),
+t1 AS (SELECT t, license, len(w) AS words, {grams} AS b FROM t0),
+tg AS (SELECT t, g, min(i) AS place FROM (SELECT t, unnest(b) AS g, generate_subscripts(b, 1) - 1 AS i FROM t1) GROUP BY t, g),
+tn AS (SELECT t, license, words, count(*) AS n, ceil(count(*) * {least} / (2 - {least})) AS fewest, greatest(1, words // {licenses.SPAN}) AS width FROM t1 JOIN tg USING (t) GROUP BY t, license, words),
+d0 AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+d AS (SELECT doc_id, unnest(b) AS g, generate_subscripts(b, 1) - 1 AS i FROM (SELECT doc_id, {grams} AS b FROM d0 WHERE len(w) > 0)),
+hit AS (SELECT doc_id, t, g, i - place AS s FROM d JOIN tg USING (g)),
+cand AS (SELECT doc_id, t FROM hit JOIN tn USING (t) GROUP BY doc_id, t, fewest HAVING count(DISTINCT g) >= fewest),
+starts AS (SELECT doc_id, t, floor(s / width) AS bin, s, count(*) AS c FROM hit JOIN cand USING (doc_id, t) JOIN tn USING (t) GROUP BY ALL),
+bins AS (SELECT doc_id, t, bin, arg_min(s, (-c, s)) AS s FROM starts JOIN tn USING (t) GROUP BY doc_id, t, bin, n HAVING sum(c) >= {licenses.VOTES} * n),
+win AS (SELECT doc_id, t, bin, license, n, greatest(s, 0) AS a, greatest(1, words - 1 - (greatest(s, 0) - s)) AS size FROM bins JOIN tn USING (t)),
+like_ AS (SELECT win.doc_id, win.t, bin, license, 2 * count(DISTINCT tg.g) / (count(DISTINCT d.g) + n) AS dice FROM win JOIN d ON d.doc_id = win.doc_id AND i >= a AND i < a + size LEFT JOIN tg ON tg.t = win.t AND tg.g = d.g GROUP BY win.doc_id, win.t, bin, license, n),
+best AS (SELECT doc_id, count(*) AS n_matches, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM like_ WHERE dice >= {least} GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, license, coalesce(dice, 0.0)::DOUBLE AS dice FROM documents LEFT JOIN best USING (doc_id)
 """
 
 
@@ -110,7 +116,7 @@ def _op5() -> str:
     p = quality_rules.RISK / len(rules)
     return f"""
 WITH w AS (SELECT doc_id, lang, text, CASE WHEN trim(text, e' \\t\\n\\x0b\\x0c\\r') = '' THEN []::VARCHAR[] ELSE string_split_regex(trim(text, e' \\t\\n\\x0b\\x0c\\r'), '[\\x20\\x09-\\x0D]+') END AS w,
-  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)),
 pos AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM tri, (VALUES (0), (1), (2)) o(j) WHERE n > 1 GROUP BY 1),
@@ -123,10 +129,10 @@ g AS (SELECT * FROM (VALUES {grid}) x(rule, place, cutoff)),
 lab AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1),
 held AS (SELECT lang, rule, place, cutoff, quality > 0 AS good, {value} > cutoff AS over FROM v JOIN lab USING (doc_id), g WHERE NOT base_failed),
 counts AS (SELECT lang, rule, place, cutoff, count_if(good)::BIGINT AS n, count_if(good AND over)::BIGINT AS k, count_if(NOT good AND over)::BIGINT AS caught FROM held GROUP BY ALL),
-tested AS (SELECT *, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM unnest(generate_series(0, k)) s(i)) <= {quality_rules.MISS / len(rules)} / (SELECT count(DISTINCT lang) FROM counts) AND k <= n * {p} AS passed FROM counts),
+tested AS (SELECT *, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM unnest(generate_series(0, k)) s(i)) <= {quality_rules.MISS / len(rules)} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM counts)) AND k <= n * {p} AS passed FROM counts),
 run AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY place) AS upto, caught - {quality_rules.PRICE} * k AS gain FROM tested),
 best AS (SELECT lang, rule, arg_min(cutoff, (-gain, place)) AS cutoff FROM run WHERE upto AND gain > 0 GROUP BY 1, 2),
-broken AS (SELECT DISTINCT v.doc_id FROM v JOIN best ON best.lang = v.lang WHERE {value} > best.cutoff)
+broken AS (SELECT DISTINCT v.doc_id FROM v JOIN best ON best.lang IS NOT DISTINCT FROM v.lang WHERE {value} > best.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM v
 """
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from lodestar.llm import shingles as S
 from lodestar.llm.components import components
-from lodestar.llm.store import small_side, written
+from lodestar.llm.store import dropped, most_frequent, small_side, written
 
 #: Similarity in percent.
 PERCENT = 75
@@ -23,11 +23,15 @@ SAMPLE, FREQUENT_FROM, MAX_FREQUENT = 8, 3, 1_000_000
 
 #: Shingles of so many documents make tiles in which coarse bitmaps are compared.
 CROWD = 64
+#: The left side of a tile is dealt out in parts of about so many rows, each with a copy of the right side's ids and bitmaps.
+PART = 2048
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
     seen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(S.counted, "h long, df long")
-    top = seen.groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") >= FREQUENT_FROM).orderBy(F.desc("df"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    counts = written(seen.groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") >= FREQUENT_FROM), "frequent")
+    top = most_frequent(counts, "df", MAX_FREQUENT).select("h").toArrow()
+    dropped(counts)
     return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -57,7 +61,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
     ids = written(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     whole = written(docs.join(small_side(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(S.members, "doc_id long, members array<long>"), "members")
     y = left.join(whole.toDF("a", "in_a"), "a").join(whole.toDF("b", "in_b"), "b")
-    return written(y.filter(reaches(_common("in_a", "in_b"))).select("a", "b").distinct(), "links")
+    links = written(y.filter(reaches(_common("in_a", "in_b"))).select("a", "b").distinct(), "links")
+    dropped(left, ids, whole)
+    return links
 
 
 def _stars(firsts: DataFrame) -> DataFrame:
@@ -79,17 +85,17 @@ def _tiles(firsts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     # A shingle whose documents are all tied together already has nothing to add; in the others the label that most
     # documents have is named, as these need not be compared among themselves.
     per = x.groupBy("h", "label").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("main"), (F.sum("c") >= CROWD).alias("crowd")).filter("labels > 1").select("h", F.col("main.label").alias("main"), "crowd")
+    open_ = per.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("c")).filter("labels > 1").select("h", F.col("main.label").alias("main"), (F.col("c") >= CROWD).alias("crowd"), F.ceil(F.col("c") / PART).cast("int").alias("parts"))
     sizes = firsts.select("doc_id", F.col("n_shingles").alias("n"), _band(F.col("n_shingles"), percent).alias("band"), "coarse")
     x = x.join(open_, "h").join(sizes, "doc_id")
-    x = written(x.select("h", "doc_id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "band", *[F.when(F.col("crowd"), F.col("coarse")[i]).otherwise(F.lit(0)).alias(f"w{i}") for i in range(S.COARSE)]), "tiles")
+    x = written(x.select("h", "doc_id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "band", "parts", *[F.when(F.col("crowd"), F.col("coarse")[i]).otherwise(F.lit(0)).alias(f"w{i}") for i in range(S.COARSE)]), "tiles")
     words = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(S.COARSE)]
-    left = x.filter("not main").select("h", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("tile"), F.col("label").alias("la"), F.col("doc_id").alias("a"), F.col("n").alias("na"), *words("x"))
-    right = x.select("h", F.col("band").alias("tile"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "main", *words("y"))
+    left = x.filter("not main").select("h", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("tile"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.col("label").alias("la"), F.col("doc_id").alias("a"), F.col("n").alias("na"), *words("x"))
+    right = x.select("h", F.col("band").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("label").alias("lb"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "main", *words("y"))
     # Sizes, and in crowded tiles the bit counts of coarse bitmaps, bound the overlap inside the join.
     differ = reduce(add, [F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(S.COARSE)])
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ((100 + percent) * (F.col("na") + F.col("nb") - differ) >= 2 * percent * (F.col("na") + F.col("nb")))
-    pairs = left.join(right, ["h", "tile"]).filter((F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits)
+    pairs = left.join(right, ["h", "tile", "part"]).filter((F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & fits)
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.max(F.greatest("na", "nb")).alias("most"), F.max(F.col("na") + F.col("nb")).alias("both"))
     # What is common is in both prefixes or behind the prefix that ends first, so `shared` bounds it from above.
     behind = F.ceil(F.col("most") * percent / 100) - 1
@@ -105,6 +111,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both have, within a band of sizes or two neighbouring ones; bitmaps bound the overlap from above before the
     sorted sets are intersected. Documents that verified links already tie together are not compared again, so a
     large group of near copies costs a few links per member instead of all pairs, and no group is held in one task.
+    So groups and copies are given, not every link or the number of a document's links.
 
     Null, empty and blank texts: n_shingles 0, component of their own. Null doc_id: component_id and copy_of null,
     linked with nothing. Repeated rows come back repeated. doc_id is expected to name one text; rows that give it
@@ -114,17 +121,17 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(docs.mapInArrow(S.described(_frequent(named), percent), S.DESCRIBED), "sets")
     known = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")), "classes")
-    copies = written(known.select("digest", "doc_id").join(classes.filter("n > 1"), "digest").filter("doc_id <> copy_of").select("doc_id").distinct(), "copies")
-    firsts = known.join(small_side(copies), "doc_id", "left_anti").drop("digest")
+    copies = written(known.select("digest", "doc_id").join(classes.filter("n > 1"), "digest").filter("doc_id <> copy_of").select("digest", "doc_id").distinct(), "copies")
+    firsts = known.join(small_side(copies), ["digest", "doc_id"], "left_anti").drop("digest")
     near = _linked(_stars(firsts), sets, named, percent)
     far = _linked(_tiles(firsts, components(near), percent), sets, named, percent)
     labels = components(near.union(far))
     groups = classes.join(labels, classes.copy_of == labels.node, "left").select("digest", "copy_of", F.coalesce("label", "copy_of").alias("label"))
-    out = sets.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+    groups = written(groups, "groups")
+    dropped(classes, copies)
+    # Texts without words share a digest but no class: they don't go through the join.
+    out = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     own = F.col("doc_id").isNotNull()
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(own, F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))).alias("component_id"),
-        F.when(own, F.when(F.col("n_shingles") > 0, F.col("copy_of")).otherwise(F.col("doc_id"))).alias("copy_of"),
-    )
+    out = out.select("doc_id", "n_shingles", F.when(own, F.col("label")).alias("component_id"), F.when(own, F.col("copy_of")).alias("copy_of"))
+    blank = sets.filter("n_shingles = 0")
+    return out.union(blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("copy_of")))

@@ -151,14 +151,14 @@ def _role() -> Column:
 
 
 def language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_each: int = FIT_EACH) -> tuple[Model, Column]:
-    """A model fitted on about fit_each documents of each of the 200 most frequent languages, of those with a text, a
-    lang and a doc_id not held out; and a condition on rows (doc_id, held_out, lang) that holds for labelled ones that
+    """A model fitted on about fit_each documents of each language (see sampled() for many languages), of those with a
+    lang and a doc_id not held out, of several texts of a doc_id the least; and a condition on rows (doc_id, held_out, lang) that holds for labelled ones that
     had no part in it. Only bags of hashed subwords, of bounded size, come to the driver."""
     x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     x = x.filter((fold(F.col("doc_id"), FOLDS) != HELD) & F.col("lang").isNotNull())
     bound = _role().between(1, BOUND)
     few, shares = sampled(x.filter(~bound), "lang", fit_each)
-    few = few.select(F.struct("lang", (_role() == 0).alias("kept")).alias("label"), "text")
+    few = few.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(F.struct("lang", (_role() == 0).alias("kept")).alias("label"), "text")
     got = few.mapInArrow(_bags, "label struct<lang: string, kept: boolean>, buckets array<int>, counts array<int>").toArrow()
     names = got.column(0).to_pylist()
     model = fit([(n["lang"], b, c, n["kept"]) for n, b, c in zip(names, arrays(got.column(1)), arrays(got.column(2)), strict=True)])
@@ -195,22 +195,26 @@ def bounds(right: DataFrame, reject: float = REJECT) -> dict[str | None, tuple[f
     return found | {None: tuple(min(b[i] for b in found.values()) for i in range(len(STATS)))}
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_each: int = FIT_EACH) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score, rejected.
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_each: int = FIT_EACH, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score, rejected, and source_row, a struct of the columns `keep`.
 
     lang_pred is the likeliest learned language of the whole text, `und` with score 0 if the text is null or has no
     letter (or if nothing was learned); score is its calibrated probability. rejected: `und`, or a statistic (STATS)
     under its bound, see bounds(). A null doc_id is held out. Repeated rows come back repeated. Predictions use the
     text alone."""
     model, apart = language_model(docs, doc_id, text, lang, fit_each)
-    schema = "doc_id long, held_out boolean, apart string, lang_pred string, score double, " + ", ".join(f"{x} double" for x in STATS)
+    row = F.struct(*(keep or [])) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    key = F.col(doc_id).cast("long")
+    x = docs.select(key.alias("doc_id"), F.coalesce(fold(key, FOLDS) == HELD, F.lit(True)).alias("held_out"), F.col(lang).alias("lang"), row.alias("source_row"), F.col(text).alias("text"))
+    x = x.select("doc_id", "held_out", F.when(apart, F.col("lang")).alias("apart"), "source_row", "text")
+    schema = f"doc_id long, held_out boolean, apart string, source_row {x.schema['source_row'].dataType.simpleString()}, lang_pred string, score double, " + ", ".join(f"{c} double" for c in STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 out = []
-                for t in part.column(3).to_pylist():
+                for t in part.column(4).to_pylist():
                     words = words_of(t) if model.labels else []
                     if not words:
                         out.append((NONE, 0.0, None, None, None))
@@ -222,11 +226,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                     out.append((model.labels[top], float(p[top]), float(likely[top]), odds, math.log(sum(map(len, words)) / len("".join(t.split())))))
                 c = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.string(), *[pa.float64()] * 4)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], names=["doc_id", "held_out", "apart", "lang_pred", "score", *STATS])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], names=["doc_id", "held_out", "apart", "source_row", "lang_pred", "score", *STATS])
 
-    key = F.col(doc_id).cast("long")
-    x = docs.select(key.alias("doc_id"), F.coalesce(fold(key, FOLDS) == HELD, F.lit(True)).alias("held_out"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    scored = written(x.select("doc_id", "held_out", F.when(apart, F.col("lang")).alias("apart"), "text").mapInArrow(run, schema), "languages")
+    scored = written(x.mapInArrow(run, schema), "languages")
     least = bounds(scored.filter("apart = lang_pred"))
     under = F.lit(False)
     if least:
@@ -235,4 +237,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         for i, x in enumerate(STATS):
             of = F.create_map(*[F.lit(v) for pair in named.items() for v in (pair[0], pair[1][i])])
             under = under | (F.col(x) < F.coalesce(F.try_element_at(of, F.col("lang_pred")), F.lit(rest[i])))
-    return scored.select("doc_id", "held_out", "lang_pred", "score", ((F.col("lang_pred") == NONE) | F.coalesce(under, F.lit(False))).alias("rejected"))
+    return scored.select("doc_id", "held_out", "lang_pred", "score", ((F.col("lang_pred") == NONE) | F.coalesce(under, F.lit(False))).alias("rejected"), "source_row")

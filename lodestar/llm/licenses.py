@@ -1,81 +1,105 @@
-"""License scans: lines of documents against license notices by Dice's coefficient; DataFrame functions only."""
+"""License scans: windows of documents' words against license templates by Dice's coefficient; DataFrame functions only."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm import license_texts
+
 #: Least Dice coefficient of the sets of word bigrams.
 LEAST = 0.75
-#: Notices by license (fixed values: the usual wording of each).
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("Proprietary", "All rights reserved."),
-]
-
-
-def _bigrams(line: Column) -> tuple[Column, Callable[[Column], Column]]:
-    """The words of a line (lower case, letters and digits), and what makes the set of bigrams of such a column; a
-    single word is its own bigram."""
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return words, lambda w: F.array_distinct(
-        F.when(F.size(w) == 1, w).when(F.size(w) > 1, F.slice(F.transform(w, lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1))), F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<string>"))
-    )
-
-
-def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """One row for each line of a document and its best template: doc_id, line_no (from 0), license, dice, line.
-
-    dice = 2 * common / (bigrams of the line + bigrams of the template), over sets of word bigrams. Templates are
-    compared only with lines within the size bounds that `least` leaves them, and only through bigrams that both
-    have, so a line meets few of them. At a tie the license that comes first in alphabetical order is given.
-    Null and empty texts have no lines that match. Rows with null doc_id are left out; repeated rows count once.
-    Other columns are not read."""
-    spark: SparkSession = docs.sparkSession
-    given = spark.createDataFrame([(i, name, t) for i, (name, t) in enumerate(templates or TEMPLATES)], "template int, license string, t string")
-    words, bigrams = _bigrams(F.col("t"))
-    given = given.select("template", "license", words.alias("w")).select("template", "license", bigrams(F.col("w")).alias("b"))
-    sizes = [len(templates or TEMPLATES), *given.select(F.min(F.size("b")), F.max(F.size("b"))).first()]
-    given = given.select("template", "license", F.size("b").alias("n_template"), F.explode("b").alias("bigram"))
-    words, bigrams = _bigrams(F.col("line"))
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") > 0)
-    lines = lines.select("doc_id", "line_no", "line", words.alias("w"))
-    # Sizes of sets are at most the numbers of words. The conditions stand inside the projections and sizes travel with
-    # the bigrams: as filters they would be moved below, where a line would be split anew for each of its words.
-    lines = lines.select("doc_id", "line_no", "line", F.when(F.size("w") >= int(sizes[1] * least / (2 - least)), bigrams(F.col("w"))).alias("b"))
-    fits = F.size("b").between(sizes[1] * least / (2 - least), sizes[2] * (2 - least) / least)
-    lines = lines.select("doc_id", "line_no", "line", F.explode_outer(F.when(fits, F.transform("b", lambda g: F.struct(g.alias("bigram"), F.size("b").alias("n_line"))))).alias("u"))
-    lines = lines.select("doc_id", "line_no", "line", "u.bigram", "u.n_line")
-    # The templates are a fixed list of a few thousand bigrams at most.
-    bounds = F.col("n_line").between(F.col("n_template") * (least / (2 - least)), F.col("n_template") * ((2 - least) / least))
-    met = lines.join(F.broadcast(given), "bigram").filter(bounds)
-    scored = met.groupBy("doc_id", "line_no", "line", "n_line", "template", "license", "n_template").agg(F.collect_set("bigram").alias("common"))
-    scored = scored.select("doc_id", "line_no", "line", "license", (2 * F.size("common") / (F.col("n_line") + F.col("n_template"))).alias("dice")).filter(F.col("dice") >= least)
-    best = scored.groupBy("doc_id", "line_no").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "line")).alias("x"))
-    return best.select("doc_id", "line_no", F.col("x.license").alias("license"), (-F.col("x.d")).alias("dice"), F.col("x.line").alias("line"))
-
-
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """One row per distinct doc_id: doc_id, n_matches (lines that match), license (the best match's, null for none),
-    dice (its coefficient, 0 for none). See license_matches for the cases."""
-    found = license_matches(docs, doc_id, text, templates, least)
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    best = found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("x"))
-    x = ids.join(best, "doc_id", "left")
-    return x.select("doc_id", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"), F.col("x.license").alias("license"), F.coalesce(-F.col("x.d"), F.lit(0.0)).alias("dice"))
+#: Templates have at most so many words in all: they are part of every task's plan.
+MOST_WORDS = 1_000_000
+#: Beginnings of windows are gathered by this part of the template's length, from this share of its bigrams up.
+SPAN, VOTES = 8, 0.25
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _bigrams(words: Column) -> Column:
+    """Hashes of the bigrams of words in turn; a single word is its own bigram."""
+    two = lambda w: F.slice(F.transform(w, lambda a, i: F.xxhash64(a, F.get(w, i + 1))), F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
+    return two(words)
+
+
+def _given(spark: SparkSession, templates: DataFrame | None, least: float) -> tuple[str, str, int]:
+    """As JSON: the templates (number, license, distinct bigrams, their number, words, least overlap) and all their
+    bigrams; and the least overlap of any. Templates without words have nothing to compare."""
+    if templates is None:
+        templates = spark.createDataFrame(license_texts.templates(), "license string, text string")
+    x = templates.select(F.col("license").cast("string").alias("license"), _words(F.col("text")).alias("w")).filter("size(w) > 0 and license is not null")
+    total = x.agg(F.sum(F.size("w"))).first()[0] or 0
+    if total > MOST_WORDS:
+        raise ValueError(f"templates have {total} words, over {MOST_WORDS}")
+    rows = sorted(x.select("license", F.size("w").alias("words"), F.array_distinct(_bigrams(F.col("w"))).alias("first"), _bigrams(F.col("w")).alias("all")).distinct().collect())
+    made = [{"license": r.license, "words": r.words, "grams": r.first, "at": [r.all.index(g) for g in r.first], "least": -int(-len(r.first) * least // (2 - least))} for r in rows]
+    return json.dumps(made), json.dumps(sorted({g for t in made for g in t["grams"]})), min((t["least"] for t in made), default=1 << 30)
+
+
+_TEMPLATE = "struct<license: string, words: int, grams: array<bigint>, at: array<int>, least: int>"
+
+
+def _windows(g: Column, t: Column, least: float) -> Column:
+    """The windows of the bigrams g whose Dice coefficient with template t is at least `least`.
+
+    Each bigram of t in g votes for where the template would begin; votes are gathered in bins of 1 / SPAN of its length. A bin
+    with VOTES of the template's bigrams or more gives one window: from its most voted beginning (at a tie the first),
+    cut at the text's start, of as many words as the template."""
+    bin_ = lambda s: F.floor(s / F.greatest(F.lit(1), F.floor(t["words"] / SPAN))).cast("int")
+    votes = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(t["grams"], x), i - F.get(t["at"], F.array_position(t["grams"], x).cast("int") - 1))), lambda s: s.isNotNull())
+
+    def best(s: Column, b: Column) -> Column:
+        own = F.filter(s, lambda x: bin_(x) == b)
+        top = lambda o: F.array_max(F.transform(F.array_distinct(o), lambda x: F.struct(F.size(F.filter(o, lambda y: y == x)).alias("n"), (-x).alias("back"))))["back"]
+        return _let(own, lambda o: F.when(F.size(o) >= F.lit(VOTES) * F.size(t["grams"]), -top(o)))
+
+    def dice(s: Column) -> Column:
+        at = F.greatest(s, F.lit(0))
+        w = F.array_distinct(F.slice(g, at + 1, F.greatest(F.lit(1), t["words"] - 1 - (at - s))))
+        return _let(w, lambda w: F.struct(t["license"].alias("license"), at.alias("word_no"), (2 * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + F.size(t["grams"]))).alias("dice")))
+
+    starts = _let(votes, lambda s: F.filter(F.transform(F.array_distinct(F.transform(s, bin_)), lambda b: best(s, b)), lambda x: x.isNotNull()))
+    return F.filter(F.transform(starts, dice), lambda r: r["dice"] >= least)
+
+
+def license_matches(docs: DataFrame, text: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """docs with `matches`: an array of (license, word_no, dice) of the whole text's windows of words that are like a
+    template: where the window begins (from 0), and 2 * common / (bigrams of the window + bigrams of the template) over
+    sets of word bigrams, `least` or more.
+
+    Texts and templates are normalised to lower-case words of letters and digits, so wrapped lines, comment marks and
+    other words around a notice do not matter. A template is a candidate only if the text has least / (2 - least) of its
+    bigrams, as many as a window of any size needs for `least`; other templates and most texts end there. templates
+    has columns license and text (of any size up to MOST_WORDS words); rows without either or without words are not used.
+    Null and empty texts have no matches. Every row comes back, repeated ones and those without doc_id too."""
+    each, every, fewest = _given(docs.sparkSession, templates, least)
+    all_ = F.from_json(F.lit(every), "array<bigint>")
+    given = F.from_json(F.lit(each), f"array<{_TEMPLATE}>")
+    none = F.array().cast("array<struct<license: string, word_no: int, dice: double>>")
+
+    def of(g: Column, hit: Column) -> Column:
+        fit = F.filter(given, lambda t: F.size(F.array_intersect(hit, t["grams"])) >= t["least"])
+        return F.when(F.size(hit) >= fewest, F.flatten(F.transform(fit, lambda t: _windows(g, t, least)))).otherwise(none)
+
+    # One pass over a text gives its bigrams; _let keeps them from being made again for each use.
+    found = _let(_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.when(F.size(w) > 0, _let(_bigrams(w), lambda g: _let(F.array_intersect(g, all_), lambda hit: of(g, hit)))).otherwise(none))
+    return docs.select("*", found.alias("matches"))
+
+
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """One row per row of docs: doc_id, n_matches (windows that match, see license_matches), license (the best match's, at a
+    tie the first in alphabetical order; null for none), dice (its coefficient, 0 for none). Nothing is shuffled."""
+    x = license_matches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", templates, least)
+    x = x.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license")))).alias("best"))
+    return x.select("doc_id", "n_matches", F.col("best.license").alias("license"), F.coalesce(-F.col("best.d"), F.lit(0.0)).alias("dice"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.store import written
+from lodestar.llm.store import small_side, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -30,13 +30,16 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame:
-    """One row per row of docs: doc_id, stratum, the contract's counts and the values of the rules."""
-    x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    x = x.select("doc_id", "stratum", "text", _words(F.col("text")).alias("w"), F.split("text", "\n").alias("lines"))
+def measured(docs: DataFrame, doc_id: str, text: str, stratum: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, stratum, source_row (a struct of the columns `keep`), the contract's counts and
+    the values of the rules."""
+    row = F.struct(*keep) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), row.alias("source_row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    x = x.select("doc_id", "stratum", "source_row", "text", _words(F.col("text")).alias("w"), F.split("text", "\n").alias("lines"))
     x = x.select(
         "doc_id",
         "stratum",
+        "source_row",
         "w",
         F.filter("lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -56,6 +59,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame
     x = x.select(
         "doc_id",
         "stratum",
+        "source_row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -67,7 +71,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame
     )
     share = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
     return x.select(
-        *x.columns[:7],
+        *x.columns[:8],
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_upper", "n_letters").alias("upper_share"),
@@ -108,9 +112,9 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, risk: float = RISK,
         .groupBy("stratum", "t.rule", "t.place", "t.cutoff")
         .agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("t.over")).alias("k"), F.count_if(~F.col("good") & F.col("t.over")).alias("caught"))
     )
-    strata = F.size(F.collect_set("stratum").over(Window.partitionBy("one")))
-    tested = counts.withColumn("one", F.lit(1)).withColumn("strata", strata)
-    tested = tested.withColumn("passed", (_at_most(F.col("k"), F.col("n"), risk / len(rules)) <= F.lit(miss / len(rules)) / F.col("strata")).cast("int"))
+    counts = written(counts, "tried")
+    strata = max(1, counts.select("stratum").distinct().count())
+    tested = counts.withColumn("passed", (_at_most(F.col("k"), F.col("n"), risk / len(rules)) <= miss / len(rules) / strata).cast("int"))
     upto = Window.partitionBy("stratum", "rule").orderBy("place")
     gain = F.col("caught") - PRICE * F.col("k")
     fit = tested.withColumn("passed", F.min("passed").over(upto)).filter("passed = 1").withColumn("gain", gain).filter("gain > 0")
@@ -118,19 +122,20 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, risk: float = RISK,
     return fit.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("stratum", "rule", "cutoff")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, and broken, the certified rules that the document breaks.
+    kept, broken, the certified rules that the document breaks, and source_row, a struct of the columns `keep`.
 
     kept is false if base_failed (under 50 words, or over half of the words in repeated windows of three words), or
     if a rule's value is over its certified cutoff in the document's stratum. Null and empty texts have no words and
-    so fail the base rules. A null stratum is a stratum of its own. A label counts for every row with its doc_id;
-    of several labels for a doc_id the least counts, a null label or doc_id does not count. Other columns
-    are not read. Without labels only the base rules act. Windows are compared by 64-bit hashes."""
-    values = written(measured(docs, doc_id, text, stratum), "measures")
+    so fail the base rules. A null stratum is a stratum of its own, apart from the empty one. A label counts for every
+    row with its doc_id; of several labels for a doc_id the least counts, a null label or doc_id does not count.
+    Columns not named are not read. Without labels only the base rules act. Windows are compared by 64-bit hashes."""
+    values = written(measured(docs, doc_id, text, stratum, keep), "measures")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    cut = certified_cutoffs(values, known).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))
-    cut = cut.select("stratum", *[F.col(r).alias(f"{r}_most") for r in CUTOFFS])
+    cut = certified_cutoffs(values.drop("source_row"), known).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))
+    cut = cut.select(F.col("stratum").alias("of"), *[F.col(r).alias(f"{r}_most") for r in CUTOFFS])
     broken = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_most"), F.lit(r)) for r in CUTOFFS]), lambda r: r.isNotNull())
-    x = values.join(cut, "stratum", "left").withColumn("broken", broken)
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
+    x = values.join(small_side(written(cut, "cutoffs")), F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("broken", broken)
+    kept = ~F.col("base_failed") & (F.size("broken") == 0)
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "broken", "source_row")

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 
 import duckdb
@@ -15,9 +17,9 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 import __spark_entry__
 import corpus_pipeline
-from lodestar.llm import bpe, fingerprints, jaccard_join, langid, licenses, lm, packing, quality_model, quality_rules, token_counts
+from lodestar.llm import bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, packing, quality_model, quality_rules, token_counts
 
-AT = "/root/testdata/sf0.001"
+AT, MORE, MOST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 BYTES, WORDS, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, h long"
 #: Nulls, empty and blank texts, ties, repeated rows, a very long text, columns with names that operators use inside.
@@ -54,12 +56,12 @@ def fuzz(n=3000):
     return ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(n)] + ["a" * 3000, "é" * 500, "ab" * 31 + "c", "ab" * 32 + "c", "!?" * 300, " " * 50 + "x"]
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard_join", "op4_license_scan", "op5_quality_rules"])
-def test_same_as_sql(spark, name):
+@pytest.mark.parametrize(("name", "at"), [("op1_jaccard_join", AT), ("op4_license_scan", AT), ("op4_license_scan", MORE), ("op5_quality_rules", AT), ("op5_quality_rules", MOST)])
+def test_same_as_sql(spark, name, at):
     c = duckdb.connect()
     for t in ("documents", "labels"):
-        c.sql(f"create view {t} as select * from '{AT}/{t}.parquet'")
-    df, rel = __spark_entry__.queries()[name](spark, AT), c.sql(__spark_entry__.oracle_sql()[name])
+        c.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    df, rel = __spark_entry__.queries()[name](spark, at), c.sql(__spark_entry__.oracle_sql()[name])
     rows = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
     assert sorted(str(sorted(r.asDict().items())) for r in df.collect()) == sorted(str(sorted(r.items())) for r in rows)
 
@@ -114,10 +116,69 @@ def test_fingerprints_do_not_mind_order_and_add_up(spark):
     assert r.same and r.sum and r.less
 
 
-def test_licenses_edges(edge):
-    got = {r.doc_id: (r.n_matches, r.license) for r in licenses.license_scan(edge).collect()}
-    assert got[7] == (1, "MIT") and got[3] == (0, None) and None not in got
+def test_licenses_edges(spark, edge):
+    got = collections.defaultdict(list)
+    for r in licenses.license_scan(edge).collect():
+        got[r.doc_id].append((r.license, r.n_matches > 0))
+    assert got[7] == [("MIT", True)] and got[3] == got[4] == got[5] == [(None, False)] and got[1] == [(None, False)] * 2 and len(got[None]) == 1
     assert licenses.license_scan(edge.limit(0)).count() == 0
+    other = spark.createDataFrame([("B", "you may not copy this at all"), ("A", "you may not copy this at all"), (None, "word word"), ("C", None), ("D", " - ")], "license string, text string")
+    rows = spark.createDataFrame([(1, "So: you may\n not copy this at all, thanks"), (2, "nothing of the kind")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_matches, r.license, r.dice) for r in licenses.license_scan(rows, templates=other).collect()} == {1: (2, "A", 1.0), 2: (0, None, 0.0)}
+    assert licenses.license_scan(rows, templates=other.limit(0)).filter("n_matches > 0").count() == 0
+
+
+def test_licenses_wrapped_over_lines_and_amid_other_words(spark):
+    full = {}
+    for name, text in license_texts.TEXTS:
+        full.setdefault(name, text)
+    wrapped = {i: (name, "def f():\n" + "\n".join(f"    # {line}" for line in textwrap.wrap(full[name], 60)) + "\nreturn 1") for i, name in enumerate(["MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "ISC", "Zlib"])}
+    wrapped[10] = ("Proprietary", "Copyright 2020 Example Corp. All rights reserved.")
+    wrapped[11] = ("MIT", "Some prose here. Released under the MIT License. More prose.")
+    wrapped[12] = ("BSD-3-Clause", "\n".join("dnl " + line for line in textwrap.wrap(full["BSD-3-Clause"], 70)))
+    got = licenses.license_matches(spark.createDataFrame([(i, t) for i, (_, t) in wrapped.items()], "doc_id long, text string")).collect()
+    for r in got:
+        name, text = wrapped[r.doc_id]
+        assert name in {m.license for m in r.matches}
+        for m in r.matches:  # no window of more than a template's words is like it by chance
+            assert 0 <= m.word_no < len(re.findall(r"\w+", text)) and 0.75 <= m.dice <= 1
+
+
+def binomial_at_most(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_certified_cutoffs_same_as_brute_force(spark):
+    """Several strata (null and empty apart), all rules, k > 0, a failure in the middle of a sequence, ties of gain."""
+    random.seed(8)
+    rules, values = list(quality_rules.CUTOFFS), []
+    for stratum, n in (("a", 3000), ("b", 1500), (None, 900), ("", 900), ("few", 40)):
+        for _ in range(n):
+            good = random.random() < 0.7
+            v = [random.random() ** (1.2 if not good else 25 if i else 120) * (0.9 if good else 1) for i, _ in enumerate(rules)]
+            values.append((len(values), stratum, random.random() < 0.05, int(good), *v))
+    df = spark.createDataFrame(values, "doc_id long, stratum string, base_failed boolean, quality int, " + ", ".join(f"{r} double" for r in rules))
+    got = {(r.stratum, r.rule): r.cutoff for r in quality_rules.certified_cutoffs(df.drop("quality"), df.select("doc_id", "quality")).collect()}
+    want, middle, some = {}, 0, 0
+    strata = {v[1] for v in values}
+    for stratum in strata:
+        own = [v for v in values if v[1] == stratum and not v[2]]
+        n = sum(v[3] for v in own)
+        for i, rule in enumerate(rules):
+            best = None
+            for place, cutoff in enumerate(quality_rules.CUTOFFS[rule]):
+                k, caught = (sum(v[3] == q and v[4 + i] > cutoff for v in own) for q in (1, 0))
+                p = quality_rules.RISK / len(rules)
+                if k > n * p or binomial_at_most(k, n, p) > quality_rules.MISS / len(rules) / len(strata):
+                    middle += place > 0
+                    break
+                gain = caught - quality_rules.PRICE * k
+                some += k > 0
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, cutoff)
+            if best:
+                want[stratum, rule] = best[1]
+    assert got == want and middle and some and len(want) > 5 and not any(s == "few" for s, _ in want)
 
 
 def test_quality_rules(spark, edge, labels):
@@ -133,6 +194,46 @@ def test_quality_rules(spark, edge, labels):
     assert got == pytest.approx(exact, rel=1e-9)
 
 
+def naive_sum_of_squares(lengths, capacity, may_open):
+    """Bins by trying every gap; may_open: a new bin is one of the choices even if others have room."""
+    gaps, bins = collections.Counter(), 0
+    for n in sorted(lengths, reverse=True):
+        choices = [g for g in gaps if g >= n and gaps[g]]
+        if may_open or not choices:
+            choices.append(capacity + 1)
+
+        def cost(g):
+            after = collections.Counter(gaps)
+            if g <= capacity:
+                after[g] -= 1
+            left = min(g, capacity) - n
+            after[left] += left > 0
+            return sum(v * v for k, v in after.items() if k > 0), g
+
+        g = min(choices, key=cost)
+        bins += g > capacity
+        if g <= capacity:
+            gaps[g] -= 1
+        if min(g, capacity) - n > 0:
+            gaps[min(g, capacity) - n] += 1
+    return bins
+
+
+def test_packing_rule_same_as_naive():
+    """Placement by the plain rule, and both variants' numbers of sequences: that of opening late is not larger."""
+    random.seed(9)
+    for _ in range(20):
+        lengths = [random.randint(1, 40) for _ in range(random.randint(1, 150))]
+        bins, offsets = packing.sum_of_squares(np.array(lengths), 40)
+        assert len(set(bins.tolist())) == naive_sum_of_squares(lengths, 40, False)
+        full = collections.Counter()
+        for b, n in zip(bins.tolist(), lengths, strict=True):
+            full[b] += n
+        assert max(full.values()) <= 40
+    lengths = [min(2048, int(random.lognormvariate(5, 1)) + 1) for _ in range(400)]
+    assert naive_sum_of_squares(lengths, 2048, False) <= naive_sum_of_squares(lengths, 2048, True)
+
+
 def test_packing(spark, docs, edge, texts):
     exact = Tokenizer.from_file(WORDS)
     some = fuzz()
@@ -174,8 +275,50 @@ def test_lm(spark, docs, edge, texts):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w), rel=1e-9)
     assert sum(r.score for r in rows.values() if not r.held_out) > sum(r.base_score for r in rows.values() if not r.held_out)
     assert lm.lm_scores(edge).count() == len(EDGE) and lm.lm_scores(edge.limit(0)).count() == 0
-    table = lm.train(np.array([[0, 5, 1.0], [2, 0, 3.0], [9, 1, 0.0]]))
-    assert np.allclose((10**table).sum(1), 1)
+    assert sum(r.score for r in rows.values() if r.held_out) > sum(r.base_score for r in rows.values() if r.held_out)
+
+
+def test_lm_scores_are_those_of_the_definition(spark):
+    """Probabilities from the parameters by plain loops over all symbols; they sum to 1; gradients by differences."""
+    rng = np.random.default_rng(2)
+    known = [f"w{i}".encode() for i in range(300)]
+    stats = lm.Stats(known, np.arange(300.0, 0, -1), 250, np.full(lm.BUCKETS, 2.0), 45150 + 50, 301, 50)
+    trainer = lm.Trainer(stats, 1)
+    n = len(stats.share)
+    symbols = [rng.integers(0, n, size).astype(np.int32) for size in (40, 0, 3)]
+    context, token = lm.examples(symbols, stats.end)
+    assert len(token) == 46 and context[0].tolist() == [stats.end] * lm.CONTEXT and token[39:42].tolist() == [symbols[0][39], stats.end, stats.end]
+    assert context[5].tolist() == [symbols[0][4 - j] for j in range(lm.CONTEXT)]
+    trainer.batches(context, token)
+    p = {k: x.astype(np.float64) for k, x in trainer.p.items()}
+    got = lm.Scorer.of(trainer.p).log10(context, token)
+    for c, t, log in zip(context, token, got, strict=True):
+        h = sum(p["r"][c[j]] @ p["C"][j] for j in range(lm.CONTEXT))
+        classes = np.exp(p["k"][:, :-1] @ h + p["k"][:, -1])
+        each = np.exp(p["q"][:, :-1] @ h + p["q"][:, -1])
+        of = lambda s: classes[s // lm.WIDTH] / classes.sum() * each[s] / each[s // lm.WIDTH * lm.WIDTH : (s // lm.WIDTH + 1) * lm.WIDTH].sum()  # noqa: B023, E731
+        assert log == pytest.approx(math.log10(of(t)), abs=1e-4)
+        assert sum(of(s) for s in range(n)) == pytest.approx(1)
+    h = np.column_stack([rng.normal(0, 1, (5, lm.DIM)), np.ones(5)])
+    right, noise, table, shift = rng.integers(0, n, 5), rng.integers(0, n, 7), p["q"], trainer.draws["q"][1]
+    s = lambda x: 1 / (1 + np.exp(-x))
+    loss = lambda h: -np.log(s((h * table[right]).sum(1) - shift[right])).sum() - np.log(1 - s(h @ table[noise].T - shift[noise])).sum()
+    dh = trainer.gradients("q", h, right, noise)[0]
+    e = np.zeros_like(h)
+    e[2, 3] = 1e-5
+    assert dh[2, 3] == pytest.approx((loss(h + e) - loss(h - e)) / 2e-5, rel=1e-3)
+
+
+def test_lm_long_words_and_text_end(spark):
+    rows = [(i, "x" * 300 + " a b a" if i % 2 else "y" * 70 + " a") for i in range(40)]
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for i in learned for w in [*rows[i][1].split(), None])
+    n = sum(c.values())
+    for i, t in rows:
+        w = [*t.split(), None]
+        assert got[i].n_known == len(w) and got[i].base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w))
+        assert math.isfinite(got[i].score) and got[i].score < 0
 
 
 def test_quality_model(spark, docs, labels, edge):
@@ -186,6 +329,59 @@ def test_quality_model(spark, docs, labels, edge):
     assert quality_model.quality_scores(edge.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_model_same_as_definition():
+    """The forward pass by loops over passages and words, and the gradients by differences."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i * k % 90}" for i in range(150)) for k in (1, 7)] + ["", "One two $$$ three!"]
+    bags = [quality_model.passages(t) for t in texts]
+    model = quality_model.start(5)
+    p = model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    *_, a, _, _, y = model.forward(*quality_model.together(bags))
+    at = 0
+    for b, score in zip(bags, y, strict=True):
+        hs, ss = [], []
+        for i in range(len(b)):
+            words = b.words[b.starts[i] : b.starts[i + 1] if i + 1 < len(b) else None]
+            h = np.tanh(np.concatenate([b.x[i], np.mean([p["W"][w] for w in words], 0)]) @ p["E"] + p["e"])
+            hs.append(h)
+            ss.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+        weight = np.exp(ss) / np.exp(ss).sum()
+        assert np.allclose(a[at : at + len(b)], weight, atol=1e-5)
+        z = sum(w * h for w, h in zip(weight, hs, strict=True))
+        assert score == pytest.approx(1 / (1 + math.exp(-(z @ p["c"] + p["d"][0]))), abs=1e-5)
+        at += len(b)
+    labels, weights = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+    bag = quality_model.together(bags)
+
+    def loss():
+        y = model.forward(*bag)[-1]
+        return -(weights * (labels * np.log(y) + (1 - labels) * np.log(1 - y))).mean()
+
+    grad = model.gradients(bag, labels, weights)
+    for name, x in p.items():
+        i = tuple(rng.integers(0, s) for s in x.shape) if name != "W" else (int(bags[0].words[3]), 2)
+        old = x[i]
+        x[i] = old + 1e-4
+        up = loss()
+        x[i] = old - 1e-4
+        slope = (up - loss()) / 2e-4
+        x[i] = old
+        assert grad[name][i] == pytest.approx(slope, rel=1e-2, abs=1e-6), name
+    long = quality_model.passages("a " * 64 * 300)
+    thin = long.thinned(100)
+    assert len(long) == 300 and len(thin) == 100 and len(thin.words) == 6400 and thin.starts[-1] == 99 * 64
+
+
+def test_quality_model_cases(spark, edge, labels):
+    rows = quality_model.quality_scores(edge, labels).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and 0 <= r.top_passage < r.n_passages for r in rows)
+    of = collections.defaultdict(set)
+    for r in rows:
+        of[r.doc_id].add((round(r.score, 6), r.n_passages))
+    assert len(of[1]) == 1 and of[1] == of[2] == of[None] and of[3] == of[4] == of[5]
+    assert {r.held_out for r in rows if r.doc_id is None} == {True}
+
+
 def test_language_id(spark, docs, edge):
     rows = langid.identify(docs).join(docs, "doc_id").filter("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
@@ -194,6 +390,51 @@ def test_language_id(spark, docs, edge):
     assert langid.identify(edge.limit(0)).count() == 0
 
 
+def test_language_id_same_as_definition(spark):
+    """Logits of a text as the mean of its subwords' contributions, by loops; ties go to the first label."""
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 1, (langid.BUCKETS, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, (langid.BUCKETS, 3)), 2.0)
+    text = "Été à la   plage, l'été! 12 x"
+    words = langid.words_of(text)
+    assert words == ["été", "à", "la", "plage", "l", "été", "x"]
+    parts = [zlib.crc32(f"<{w}>"[i : i + n].encode()) % langid.BUCKETS for w in words for n in (2, 3, 4) for i in range(len(w) + 3 - n)]
+    logits, likely = langid._Scorer(model).sums(words)
+    assert np.allclose(logits, np.mean([model.gain[x] for x in parts], 0) + model.bias, atol=1e-5)
+    assert np.allclose(likely, np.mean([model.likely[x] for x in parts], 0), atol=1e-5)
+    e = np.exp(logits / 2)
+    assert np.allclose(model.probabilities(logits), e / e.sum())
+    rows = [(i, "same words here", "x" if i % 2 else "y") for i in range(40)] + [(100, "same words here " * 20000, None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r.lang_pred for r in got}) == 1 and len({round(r.score, 4) for r in got}) == 1 and len(got) == 41
+
+
+def test_many_languages_are_all_learned(spark):
+    random.seed(2)
+    rows = [(i, " ".join("".join(random.choices("bcdfgaeiou", k=2)) + chr(0x4E00 + i % 250) * 3 for _ in range(20)), f"l{i % 250:03}") for i in range(2500)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    of = {i: lang for i, _, lang in rows}
+    assert np.mean([r.lang_pred == of[r.doc_id] for r in got]) > 0.7 and len({r.lang_pred for r in got}) > 240
+
+
+def test_pipeline_stages_edges(spark, edge, tmp_path):
+    wide = edge.withColumn("n", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("stratum", F.lit("y")).withColumn("rejected", F.lit(2))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    prose = " ".join(f"word{i} and" for i in range(60))
+    more = spark.createDataFrame([(None, prose, "en", "s", 1, "x", 1), (20, prose, "en", "s", 1, "x", 1), (20, prose, "en", "s", 1, "x", 1), (21, prose + " end", "en", "s", 1, "x", 1)], SCHEMA)
+    both = wide.select(edge.columns).union(more)
+    for docs, size in ((wide, None), (both, None), (wide.limit(0), 0)):
+        out = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+            assert size is None or out.count() == size
+    kept = corpus_pipeline.quality(spark, more, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["20", "20", "21", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, more, "").collect()) == ["20", "None"]
+
+
 def test_pipeline_same_as_brute_force(spark, texts):
     rows = corpus_pipeline.run(spark, AT).toPandas()
     words = {i: (t or "").encode().split() for i, t in texts.items()}
