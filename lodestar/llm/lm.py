@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ KNOWN, LONGEST = 300_000, 64
 #: Words before a token that predict it; size of the embeddings; symbols in a class.
 CONTEXT, DIM, WIDTH = 2, 16, 128
 #: Noise symbols and noise classes that the tokens of a batch share; tokens in a batch; step size.
-NOISE, CLASS_NOISE, BATCH, RATE = 32, 16, 2048, 0.08
+NOISE, CLASS_NOISE, BATCH, RATE = 32, 16, 4096, 0.08
 #: A task goes over its tokens again, PASSES times at most, until it has met LEAST of them.
 LEAST, PASSES = 500_000, 6
 #: Distinct words that a task counts before it gives them out.
@@ -185,29 +186,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield given()
 
 
-def _symbols_of(stats: Stats):
+def places(stats: Stats, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of a text's words: places among the known words (-1 for none), symbols, and the keys of those without a place."""
     of, symbol, _ = stats.lookups()
-
-    class Ids(dict):
-        def __missing__(self, w: bytes) -> int:
-            key = word_key(w)
-            i = of.get(key)
-            s = int(symbol[i]) if i is not None else stats.bucket(key)
-            if len(w) <= LONGEST and len(self) < KNOWN:
-                self[w] = s
-            return s
-
-    return Ids()
+    at = np.fromiter(map(of.get, words, repeat(-1)), np.int64, len(words))
+    far = np.flatnonzero(at < 0).tolist()
+    for i in far:
+        if len(words[i]) > LONGEST:
+            at[i] = of.get(word_key(words[i]), -1)
+    rest = [word_key(words[i]) for i in far if at[i] < 0]
+    s = symbol[at]
+    s[at < 0] = stats.rank[1 + stats.words + np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)) % BUCKETS]
+    return at, s, rest
 
 
 def _trained(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = held.value
-        ids, trainer, kept, n = _symbols_of(stats), Trainer(stats, TaskContext.get().partitionId()), [], 0
+        trainer, kept, n = Trainer(stats, TaskContext.get().partitionId()), [], 0
         for batch in batches:
             for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
-                words = [_words(t) for t in part.column(0).to_pylist()]
-                got = examples([np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) for w in words], stats.end)
+                got = examples([places(stats, _words(t))[1] for t in part.column(0).to_pylist()], stats.end)
                 trainer.batches(*got)
                 n += len(got[1])
                 if n < LEAST:
@@ -253,7 +252,9 @@ class Scorer:
         q = np.zeros((n * WIDTH, DIM + 1), np.float32)
         q[:, DIM] = -1e4
         q[: len(p["q"])] = p["q"]
-        return Scorer([p["r"] @ c for c in p["C"]], p["k"], q.reshape(n, WIDTH, DIM + 1))
+        # The column of ones that biases are multiplied by comes with the nearest symbol.
+        context = [np.pad(p["r"] @ c, ((0, 0), (0, 1)), constant_values=float(j == 0)) for j, c in enumerate(p["C"])]
+        return Scorer(context, p["k"], q.reshape(n, WIDTH, DIM + 1))
 
     def log10(self, context: np.ndarray, token: np.ndarray, chunk: int = 16384) -> np.ndarray:
         out = np.empty(len(token))
@@ -263,11 +264,10 @@ class Scorer:
             kind = t // WIDTH
             order = np.argsort(kind, kind="stable")
             h, kind, t = h[order], kind[order], t[order]
-            got = _log_softmax(h @ self.classes[:, :DIM].T + self.classes[:, DIM], kind)
+            got = _log_softmax(h @ self.classes.T, kind)
             starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
             for a, b in zip(starts, [*starts[1:], len(kind)], strict=True):
-                q = self.symbols[kind[a]]
-                got[a:b] += _log_softmax(h[a:b] @ q[:, :DIM].T + q[:, DIM], t[a:b] % WIDTH)
+                got[a:b] += _log_softmax(h[a:b] @ self.symbols[kind[a]].T, t[a:b] % WIDTH)
             out[i : i + chunk][order] = got
         return out / np.log(10)
 
@@ -275,7 +275,7 @@ class Scorer:
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     own = scores[np.arange(len(at)), at]
     with np.errstate(over="ignore", divide="ignore"):
-        total = np.log(np.exp(scores).sum(1))
+        total = np.log(np.exp(scores) @ np.ones(scores.shape[1], np.float32))
     odd = ~np.isfinite(total)
     if odd.any():  # scores too large or small for their exponentials
         top = scores[odd].max(1)
@@ -304,24 +304,17 @@ def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
 def _scored(held, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, scorer = held.value, Scorer.of(model.value)
-        of, symbol, log = stats.lookups()
+        *_, log = stats.lookups()
         end, shared = np.log10(stats.texts + 1.0), np.zeros(len(stats.rank))
-        hashed, buckets, get = np.zeros(len(stats.rank), bool), stats.rank[1 + stats.words :], of.get
+        hashed, buckets = np.zeros(len(stats.rank), bool), stats.rank[1 + stats.words :]
         shared[buckets], hashed[buckets] = np.log10(stats.bucket_mass), True
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 out, symbols, more = [], [], []
                 for text in part.column(3).to_pylist():
                     w = _words(text)
-                    at = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-                    for i in np.flatnonzero(at < 0).tolist():
-                        if len(w[i]) > LONGEST:
-                            at[i] = get(word_key(w[i]), -1)
+                    at, s, rest = places(stats, w)
                     there = at >= 0
-                    rest = [word_key(w[i]) for i in np.flatnonzero(~there).tolist()]
-                    s = np.empty(len(w), np.int32)
-                    s[there] = symbol[at[there]]
-                    s[~there] = buckets[np.fromiter((zlib.crc32(x) for x in rest), np.int64, len(rest)) % BUCKETS]
                     logs = np.zeros(len(w))
                     logs[there] = log[at[there]]
                     own = hashed[s]
