@@ -23,6 +23,29 @@ def year_of(c: Column) -> Column:
     return F.regexp_extract(c, r"(19|20)\d{2}", 0).try_cast("int")
 
 
+def human_size(c: Column) -> Column:
+    """Bytes as B, KB, MB, GB or TB, in steps of 1024, with one decimal from KB up; NULL for NULL."""
+    steps = [F.when(c < 1024, F.format_string("%d B", c))]
+    for i, unit in enumerate(("KB", "MB", "GB"), 1):
+        steps.append(F.when(c < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", c / 1024**i)))
+    return F.coalesce(*steps, F.when(c.isNotNull(), F.format_string("%.1f TB", c / 1024**4)))
+
+
+def unlisted(c: Column) -> Column:
+    """A list that was stored as Python text, as its distinct items joined by commas; other text as it is."""
+    return F.when(c.rlike(r"^\[.*\]$"), F.array_join(F.array_distinct(F.regexp_extract_all(c, F.lit("'([^']*)'"), 1)), ", ")).otherwise(c)
+
+
+def safe_name(c: Column) -> Column:
+    """A name for a file: 80 characters at most, letters, digits, dots, dashes and underscores alone."""
+    return F.regexp_replace(F.left(c, F.lit(80)), "[^A-Za-z0-9._-]", "_")
+
+
+def cjk_share(c: Column) -> Column:
+    """The share of a text's characters that are Chinese ones; 0 for no text."""
+    return F.coalesce(F.length(F.regexp_replace(c, r"[^\x{4e00}-\x{9fff}]", "")) / F.nullif(F.length(c), F.lit(0)), F.lit(0.0))
+
+
 def tokens(c: Column) -> Column:
     """Words of letters and digits in lower case."""
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.sources.shared import shared_dir
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -49,13 +49,14 @@ def round_robin(df: DataFrame, source: str, order: str) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(order))).join(firsts, source)
 
 
+#: Archives' names for studies that are in several of them, and the family whose numbers they share (fixed formats).
+STUDIES = {"GEO": ["GSE", "E-GEOD-", "S-GEOD-"], "MTAB": ["E-MTAB-", "S-BSST-?"], "ANND": ["E-ANND-"]}
+
+
 def canonical_key(c: Column) -> Column:
-    """Accessions of one study in several archives get one key, others NULL."""
-    out = None
-    for pattern, family in ((r"^(GSE|E-GEOD-|S-GEOD-)\d+$", "GEO"), (r"^E-MTAB-\d+$", "MTAB"), (r"^S-BSST\d+$", "BSST")):
-        test, key = c.rlike(pattern), F.concat(F.lit(family + ":"), F.regexp_extract(c, r"(\d+)$", 1))
-        out = F.when(test, key) if out is None else out.when(test, key)
-    return out
+    """Accessions of one study in several archives get one key, whatever their case; others NULL."""
+    number = lambda names: F.regexp_extract(c, rf"(?i)^(?:{'|'.join(names)})(\d+)$", 1)
+    return F.coalesce(*[F.when(number(names) != "", F.concat(F.lit(f"{family}:"), number(names))) for family, names in STUDIES.items()])
 
 
 def mirrors(df: DataFrame, key: str, source: str, ident: str) -> DataFrame:

@@ -13,15 +13,6 @@ from lodestar.plans.queries import col, count, inline, query
 from lodestar.sources import listings, sinks
 
 
-@query("SELECT * FROM (VALUES (2, 2), (5, 5), (901, 4)) t(asked, pk)")
-def alias_guard(k: Catalog) -> DataFrame:
-    # An id of its own wins; only ids without a row are looked up as aliases.
-    asked = inline(k, "asked int", [(2,), (5,), (901,), (999,)])
-    aliases = inline(k, "asked int, pk int", [(901, 4), (2, 9)])
-    own = k.table("nation").select(col("n_nationkey").alias("asked"))
-    return asked.join(own, "asked", "left_semi").select("asked", col("asked").alias("pk")).union(asked.join(own, "asked", "left_anti").join(aliases, "asked"))
-
-
 @query("""WITH {S}, u AS (SELECT * FROM (VALUES ('old world', 'asia'), ('old world', 'europe'), ('old world', 'africa'), ('new world', 'america')) t(term, child))
  SELECT term, count(*) AS n FROM u JOIN samples ON source_database = child GROUP BY 1""")
 def onto_umbrella(k: Catalog) -> DataFrame:
@@ -30,15 +21,6 @@ def onto_umbrella(k: Catalog) -> DataFrame:
     return children.join(per, "source_database").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'ASIA'), ('b', 'qqq')) t(field, value)")
-def vocab_prune(k: Catalog) -> DataFrame:
-    # Unknown values go only where a known one of the same field remains.
-    asked = inline(k, "field string, value string", [("a", "ASIA"), ("a", "zzz"), ("b", "qqq")])
-    known = k.table("region").select(col("r_name").alias("value"), F.lit(True).alias("known"))
-    x = asked.join(known, "value", "left").withColumn("some", F.count("known").over(Window.partitionBy("field")))
-    return x.filter("known or some = 0").select("field", "value")
-
-
 _ESTIMATE = """WITH {S}, h AS (SELECT count_if(tissue_standard IN ('1-URGENT', '2-HIGH'))::DOUBLE / count(*) AS a, count_if(disease_category = 'F')::DOUBLE / count(*) AS b, count(*) AS n FROM samples), e AS (SELECT greatest(1, floor(n * (a * b)))::BIGINT AS estimate FROM h)"""
 
 
@@ -67,52 +49,6 @@ def fts_bm25_top(k: Catalog) -> DataFrame:
     return x.select("doc_id", F.round(sum(parts[1:], parts[0]), 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("SELECT * FROM (VALUES ('a', 2.0::DOUBLE), ('b', 1.5), ('c', 0.9), ('d', -0.6)) t(id, score)")
-def rank_intent(k: Catalog) -> DataFrame:
-    # Coverage of the wanted terms 2.0, all of them together 1.0, species 0.6 (a wrong one subtracts), root of mirrors 0.2.
-    wanted = F.array(F.lit("liver"), F.lit("fibrosis"))
-    x = inline(k, "id string, title string, species string, mirrors int", [("a", "Liver atlas", "human", 4), ("b", "fibrosis, whole organ", None, 6), ("c", "skin", "human", 2), ("d", "skin", "mouse", 0)])
-    hits = F.size(F.array_intersect(T.tokens(col("title")), wanted))
-    species = F.when(col("species").isNull(), 0.0).when(col("species") == "human", 0.6).otherwise(-0.6)
-    score = 2.0 * hits / F.size(wanted) + F.when(hits == F.size(wanted), 1.0).otherwise(0.0) + species + 0.2 * F.sqrt(col("mirrors").cast("double"))
-    return x.select("id", F.bround(score, 1).alias("score"))
-
-
-@query("SELECT * FROM (VALUES ('a', '2019-03-01'), ('c', NULL), ('d', 'n/a')) t(id, date)")
-def postfilter_year(k: Catalog) -> DataFrame:
-    x = inline(k, "id string, date string", [("a", "2019-03-01"), ("b", "Jan 2012"), ("c", None), ("d", "n/a")])
-    year = T.year_of(col("date"))
-    return x.filter(year.isNull() | year.between(2018, 2024))
-
-
-@query("SELECT * FROM (VALUES ('a', 'Mus musculus'), ('c', 'musculus'), ('d', NULL)) t(id, organism)")
-def postfilter_species(k: Catalog) -> DataFrame:
-    x = inline(k, "id string, organism string", [("a", "Mus musculus"), ("b", "Homo sapiens"), ("c", "musculus"), ("d", None)])
-    have, asked = F.lower("organism"), F.lit("mus musculus")
-    return x.filter(have.isNull() | have.contains(asked) | asked.contains(have))
-
-
-@query("SELECT * FROM (VALUES ('s', 'a'), ('t', 'c'), ('t', 'd')) t(source, id)")
-def postfilter_nonempty(k: Catalog) -> DataFrame:
-    # The filter acts in a source only if something of the source is left by it.
-    x = inline(k, "source string, id string, title string", [("s", "a", "single-cell RNA"), ("s", "b", "bulk RNA"), ("t", "c", "bulk"), ("t", "d", "array")])
-    x = x.withColumn("hit", col("title").rlike("(?i)single[- ]cell|scRNA"))
-    any_hit = F.coalesce(F.max("hit").over(Window.partitionBy("source")), F.lit(False))
-    return x.withColumn("any", any_hit).filter("hit or not any").select("source", "id")
-
-
-@query("SELECT * FROM (VALUES ('p', 'x.tar', 799014912::BIGINT), ('p', 'y.txt.gz', NULL)) t(page, name, bytes)")
-def parse_listing(k: Catalog) -> DataFrame:
-    html = '<a href="/up/">Parent</a> 2020-01-01 10:00 -\n<a href="x.tar">x.tar</a>  2020-01-01 10:00  762M\n<a href="y.txt.gz">y</a> 2020-01-01 10:00  -\n<a href="filelist.txt">f</a> 2020-01-01 10:00  1K\n'
-    return listings.listed_files(inline(k, "page string, html string", [("p", html), ("q", "<p>none</p>"), ("r", None)]), "page", "html")
-
-
-@query("SELECT * FROM (VALUES (1, 'it' || chr(8217) || 's'), (2, 'caf' || chr(233)), (3, chr(233) || 't' || chr(233)), (4, chr(28450) || chr(23383)), (5, NULL)) t(id, clean)")
-def mojibake(k: Catalog) -> DataFrame:
-    x = inline(k, "id int, raw string", [(1, "itâ€™s"), (2, "cafÃ©"), (3, "été"), (4, "漢字"), (5, None)])
-    return x.select("id", T.repaired("raw").alias("clean"))
-
-
 @query("SELECT event_type AS pattern, count(*) AS n, max(value) AS slowest FROM events GROUP BY 1 HAVING sum(value::DECIMAL(18,2))::DOUBLE / count(*) > 10 ORDER BY slowest DESC, pattern LIMIT 10")
 def slow_queries(k: Catalog) -> DataFrame:
     x = k.table("events").groupBy(col("event_type").alias("pattern")).agg(count(), F.max("value").alias("slowest"), (F.sum(col("value").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean"))
@@ -125,21 +61,6 @@ def group_pattern(k: Catalog) -> DataFrame:
     return k.samples().groupBy(parts.alias("pattern")).agg(count())
 
 
-@query("SELECT * FROM (VALUES ('a', 'u1', NULL), ('b', NULL, 'h5ad'), ('c', NULL, NULL)) t(id, url, unmatched)")
-def download_flatten(k: Catalog) -> DataFrame:
-    # Requested ids with the options of the requested types; without one, the types that were offered instead.
-    asked = inline(k, "id string", [("a",), ("b",), ("c",)])
-    options = inline(k, "id string, type string, url string", [("a", "fastq", "u1"), ("a", "h5ad", "u2"), ("b", "h5ad", "u3")])
-    x = asked.join(options, "id", "left").groupBy("id").agg(F.array_sort(F.collect_set(F.when(col("type") == "fastq", col("url")))).alias("urls"), F.array_sort(F.collect_set("type")).alias("types"))
-    return x.select("id", F.explode_outer("urls").alias("url"), F.when((F.size("urls") == 0) & (F.size("types") > 0), F.array_join("types", ",")).alias("unmatched"))
-
-
-@query("""SELECT 'r_regionkey' AS "column", 'int' AS type, round_even(100.0::DOUBLE * count(r_regionkey) / count(*), 2) AS filled, count(DISTINCT r_regionkey) AS distinct_values FROM region
- UNION ALL SELECT 'r_name', 'string', round_even(100.0::DOUBLE * count(NULLIF(r_name, '')) / count(*), 2), count(DISTINCT r_name) FROM region""")
-def data_dictionary(k: Catalog) -> DataFrame:
-    return sinks.data_dictionary(k.table("region"))
-
-
 _FIELDS = {"tissue_standard": {"urgent": ["1-URGENT"], "high": ["2-HIGH"], "low priority": ["5-LOW"]}, "disease_category": {"finished": ["F"], "open": ["O"]}, "source_database": {s: [s] for s in ("asia", "europe", "africa", "america")}}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,25 @@ def data_dictionary(df: DataFrame) -> DataFrame:
     value = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     one = df.agg(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.bround(100.0 * F.count(value(f.name)) / n, 2).alias("filled"), F.countDistinct(f.name).alias("distinct_values")).alias(f"c{i}") for i, f in enumerate(df.schema)])
     return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
+
+
+def csv_line(values: list) -> Column:
+    """Values of a CSV line; one is quoted, its quotation marks doubled, only if it has a comma or a quotation mark."""
+    quoted = lambda v: F.when(v.rlike('[,"]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(v, F.lit("")))
+    return F.array_join(F.array(*map(quoted, values)), ",")
+
+
+#: A file's line in each kind of manifest: columns folder, name, url, bytes in braces.
+MANIFESTS = {
+    "tsv": "{folder}\t{name}\t{bytes}",
+    "bash": "curl -fL --create-dirs -o '{folder}/{name}' '{url}'",
+    "aria2": "{url}\n  dir={folder}\n  out={name}",
+    "snakemake": '    "{folder}/{name}",',
+    "python": '    ("{url}", "{folder}/{name}"),',
+}
+
+
+def manifest_lines() -> Column:
+    """A map of the kinds of manifests to the line of a row with the columns folder, name, url and bytes."""
+    parts = lambda template: [F.col(p[1:-1]).cast("string") if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+    return F.create_map(*[x for kind, template in MANIFESTS.items() for x in (F.lit(kind), F.concat(*parts(template)))])
