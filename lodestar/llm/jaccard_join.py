@@ -126,12 +126,11 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = _linked(_stars(firsts), sets, named, percent)
     far = _linked(_tiles(firsts, components(near), percent), sets, named, percent)
     labels = components(near.union(far))
-    groups = classes.join(labels, classes.copy_of == labels.node, "left").select("digest", "copy_of", F.coalesce("label", "copy_of").alias("label"))
-    groups = written(groups, "groups")
+    groups = classes.join(labels, classes.copy_of == labels.node, "left").select("digest", "copy_of", "n", F.coalesce("label", "copy_of").alias("label"))
+    # Only classes of several documents or with links change anything; beyond a small number of them it is a shuffled join.
+    tied = written(groups.filter("n > 1 or label <> copy_of").drop("n"), "groups")
     dropped(classes, copies)
-    # Texts without words share a digest but no class: they don't go through the join.
-    out = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    own = F.col("doc_id").isNotNull()
-    out = out.select("doc_id", "n_shingles", F.when(own, F.col("label")).alias("component_id"), F.when(own, F.col("copy_of")).alias("copy_of"))
-    blank = sets.filter("n_shingles = 0")
-    return out.union(blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("copy_of")))
+    own, some = F.col("doc_id").isNotNull(), F.col("n_shingles") > 0
+    key = F.when(some, F.col("digest")).otherwise(F.encode(F.col("doc_id").cast("string"), "utf-8"))  # texts without words are no class
+    out = sets.select("doc_id", "n_shingles", key.alias("digest")).join(small_side(tied), "digest", "left")
+    return out.select("doc_id", "n_shingles", *[F.when(own, F.coalesce(c, "doc_id")).alias(n) for c, n in (("label", "component_id"), ("copy_of", "copy_of"))])
