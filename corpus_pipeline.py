@@ -16,13 +16,29 @@ from lodestar.llm.store import small_side, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the certified rules keep, each judged by itself: repeated rows and rows without doc_id too. Null and
     empty texts go. An empty table stays empty; columns of any names pass through."""
-    verdicts = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return verdicts.filter("kept").select("source_row.*")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality_rules(_keyed(docs), labels, keep=[KEY]).filter("not kept"), "rejected")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is identified and not rejected, each judged by itself, as in quality()."""
-    return identify(docs, keep=docs.columns).filter("not rejected").select("source_row.*")
+    return _without(docs, identify(_keyed(docs), keep=[KEY]).filter("rejected"), "rejected")
+
+
+#: A hash of what the verdicts on a row depend on, under a name that no table has.
+KEY = "corpus_pipeline_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", F.xxhash64("text", "lang").alias(KEY))
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """docs without the rows of the verdicts. Texts stay where they are: only the rejected rows' doc_ids and keys are
+    written, and broadcast if there are few enough of them; beyond that it is a shuffled join."""
+    gone = small_side(written(verdicts.select(F.col("doc_id").alias("gone_id"), F.col("source_row")[KEY].alias("gone_key")).distinct(), name))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text", "lang") == F.col("gone_key"))
+    return docs.join(gone, same, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
