@@ -121,7 +121,7 @@ class _Scorer:
     """Means of the words' logits and log-likelihoods; the words met lately are rows of a table, which is emptied
     between texts when large."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.each = np.concatenate([model.gain, model.likely], 1)
         self.rows, self.table = {}, np.zeros((1024, 2 * len(model.labels) + 1), np.float32)

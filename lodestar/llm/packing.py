@@ -34,7 +34,7 @@ class WordTokenizer:
     and marks, nothing dependent on what lies beyond white space. Ids of the words met lately are kept, in two
     generations of about `size` words. A new plain word needs only the merges, any other the whole tokenizer."""
 
-    def __init__(self, path: str, size: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, size: int = 200_000, longest: int = 48):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -71,6 +71,11 @@ class WordTokenizer:
         return made
 
 
+    def rest(self) -> None:
+        """Forget the older words: a worker process outlives its task, and its memory counts for the next stage."""
+        self.old = {}
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -97,6 +102,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
                     arrays.append(pa.array([np.frombuffer(p, np.int32) for p in columns[5]], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        tokenizer.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
