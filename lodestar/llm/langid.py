@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.recent import giving_back
 from lodestar.llm.sampling import arrays, chosen, fold, sampled
 from lodestar.llm.store import written
 
@@ -47,6 +48,7 @@ def words_of(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
+@giving_back
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, buckets, counts) of texts: at most BUCKETS entries however long a text is."""
     for batch in batches:
@@ -121,7 +123,7 @@ class _Scorer:
     """Means of the words' logits and log-likelihoods; the words met lately are rows of a table, which is emptied
     between texts when large."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
         self.each = np.concatenate([model.gain, model.likely], 1)
         self.rows, self.table = {}, np.zeros((1024, 2 * len(model.labels) + 1), np.float32)
@@ -209,6 +211,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     x = x.select("doc_id", "held_out", F.when(apart, F.col("lang")).alias("apart"), "source_row", "text")
     schema = f"doc_id long, held_out boolean, apart string, source_row {x.schema['source_row'].dataType.simpleString()}, lang_pred string, score double, " + ", ".join(f"{c} double" for c in STATS)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:

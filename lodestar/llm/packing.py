@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm.bpe import byte_of_char
-from lodestar.llm.recent import Recent
+from lodestar.llm.recent import Recent, giving_back
 from lodestar.llm.store import written
 
 LENGTH, END = 2048, 0
@@ -87,6 +87,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     empty texts are END alone. Null doc_ids and repeated rows are kept."""
     step = 4 * length
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from lodestar.llm.recent import Recent
+from lodestar.llm.recent import Recent, giving_back
 
 SHINGLE = 5
 BITS = 2048
@@ -57,6 +57,7 @@ def described(frequent: np.ndarray, percent: int):
     """For mapInArrow over (doc_id, text): set size, digest, rare-first prefix and signatures of each document.
     frequent: sorted hashes that come last in the order of members; any such list gives the same links."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
@@ -87,6 +88,7 @@ def described(frequent: np.ndarray, percent: int):
 DESCRIBED = "doc_id long, n_shingles long, digest binary, rare array<long>, common array<long>, stars array<long>, bits binary, coarse array<long>"
 
 
+@giving_back
 def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (doc_id, text): (doc_id, members), the whole sorted set of each document."""
     for batch in batches:
@@ -95,6 +97,7 @@ def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "members"])
 
 
+@giving_back
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (text): (h, df), in how many texts of a batch each shingle is."""
     for batch in batches:
