@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from lodestar.llm import shingles as S
 from lodestar.llm.components import components
-from lodestar.llm.store import dropped, most_frequent, small_side, written
+from lodestar.llm.store import dropped, most_frequent, short_batches, small_side, written
 
 #: Similarity in percent.
 PERCENT = 75
@@ -116,6 +116,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null, empty and blank texts: n_shingles 0, component of their own. Null doc_id: component_id and copy_of null,
     linked with nothing. Repeated rows come back repeated. doc_id is expected to name one text; rows that give it
     several are grouped by each of these texts. Other columns are not read. Empty table: no rows."""
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = docs.filter("doc_id is not null")
     sets = written(docs.mapInArrow(S.described(_frequent(named), percent), S.DESCRIBED), "sets")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.recent import giving_back
 from lodestar.llm.sampling import arrays, chosen, fold, sampled
-from lodestar.llm.store import written
+from lodestar.llm.store import short_batches, written
 
 #: Rows of documents with this remainder are never learned from.
 FOLDS, HELD = 5, 0
@@ -123,7 +123,7 @@ class _Scorer:
     """Means of the words' logits and log-likelihoods; the words met lately are rows of a table, which is emptied
     between texts when large."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.each = np.concatenate([model.gain, model.likely], 1)
         self.rows, self.table = {}, np.zeros((1024, 2 * len(model.labels) + 1), np.float32)
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     letter (or if nothing was learned); score is its calibrated probability. rejected: `und`, or a statistic (STATS)
     under its bound, see bounds(). A null doc_id is held out. Repeated rows come back repeated. Predictions use the
     text alone."""
+    short_batches(docs.sparkSession)
     model, apart = language_model(docs, doc_id, text, lang, fit_each)
     row = F.struct(*(keep or [])) if keep else F.struct(F.lit(None).cast("int").alias("none"))
     key = F.col(doc_id).cast("long")

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from lodestar.llm.bpe import byte_of_char
 from lodestar.llm.recent import Recent, giving_back
-from lodestar.llm.store import written
+from lodestar.llm.store import short_batches, written
 
 LENGTH, END = 2048, 0
 #: Pieces packed together in one group. A group leaves a few sequences that are not full, so the loss is about
@@ -105,6 +105,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
         tokenizer.rest()
 
+    short_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

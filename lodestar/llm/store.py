@@ -67,3 +67,11 @@ def one_thread(spark: SparkSession) -> None:
     """From now on matrix products in Python tasks run in the task's own thread: Spark has a task for each core already,
     and idle helper threads would take turns with them."""
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session have fewer rows than Spark's default, unless it was set to another number:
+    rows here are whole texts, and a batch is held by the executor and by its Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
