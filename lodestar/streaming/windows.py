@@ -10,51 +10,85 @@ from pyspark.sql import functions as F
 from lodestar.sources.shared import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: How late a row may come: rows older than this before the latest one of earlier batches are left out.
+LATE = "1 hour"
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(day, event_type, n) counted by a stream that takes all files there are and ends; equal to the batch count."""
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    return _counted(counts, "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+def _events(spark: SparkSession, path: str, files: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def _counted(counts: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives, written by the executors as Parquet in the shared folder and read back. append: the file
-    sink; complete: each batch replaces the result of the one before, in a folder of its own."""
-    spark, at = counts.sparkSession, f"{shared_dir(counts.sparkSession)}/streams/{uuid.uuid4().hex}"
-    stream = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "append":
-        stream.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
-        return spark.read.schema(counts.schema).parquet(f"{at}/rows")
-    last = []
+def _appended(rows: DataFrame) -> DataFrame:
+    """What the stream gives, by the file sink in the shared folder, read back."""
+    at = _folder(rows)
+    rows.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/rows")
 
-    def replace(batch: DataFrame, number: int) -> None:
-        path = f"{at}/rows-{number}"
-        batch.write.mode("overwrite").parquet(path)
-        last[:] = [path]
 
-    stream.foreachBatch(replace).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(*last) if last else spark.createDataFrame([], counts.schema)
+def _folder(rows: DataFrame) -> str:
+    return f"{shared_dir(rows.sparkSession)}/streams/{uuid.uuid4().hex}"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+def _batches(rows: DataFrame, mode: str) -> list[tuple[int, str]]:
+    """(number, folder) of what each batch gives, written by the executors as Parquet; a batch that is run again replaces
+    its own folder."""
+    at, done = _folder(rows), {}
 
+    def write(batch: DataFrame, number: int) -> None:
+        done[number] = f"{at}/rows-{number}"
+        batch.write.mode("overwrite").parquet(done[number])
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, n) of sessions that end after 30 idle minutes; equal to the batch sessions."""
-    return _counted(_events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")), "complete").select("user_id", "n")
+    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return sorted(done.items())
 
 
-def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The last row that the stream gives of each key, in update mode: a batch writes what has changed in it alone, and
+    state goes when the watermark passes it."""
+    spark, parts = rows.sparkSession, _batches(rows, "update")
+    if not parts:
+        return spark.createDataFrame([], rows.schema)
+    found = [spark.read.schema(rows.schema).parquet(path).withColumn("batch", F.lit(number)) for number, path in parts]
+    x = found[0]
+    for more in found[1:]:
+        x = x.union(more)
+    last = x.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("row"))
+    return last.select("row.*")
+
+
+def daily_counts(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
+    """(day, event_type, n) counted by a stream that takes all files there are and ends; equal to the batch count but for
+    late rows."""
+    counts = _events(spark, sf_dir, **source).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return _latest(counts, ["window", "event_type"]).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def feedback_means(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
+    """(event_type, n, mean): running means as the log grows. The state is a row per type, so it needs no watermark."""
+    means = _events(spark, sf_dir, **source).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return _latest(means, ["event_type"]).select("event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+def sessions(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
+    """(user_id, n) of sessions that end after 30 idle minutes; equal to the batch sessions. Spark has no update mode for
+    sessions, and append mode would hold back those that are open when the files end, so each batch replaces the result."""
+    rows = _events(spark, sf_dir, **source).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    parts = _batches(rows, "complete")
+    x = spark.read.schema(rows.schema).parquet(parts[-1][1]) if parts else spark.createDataFrame([], rows.schema)
+    return x.select("user_id", "n")
+
+
+def distinct_events(spark: SparkSession, sf_dir: str, **source) -> DataFrame:
     """(event_id, event_type), each event once though the stream brings it twice; state is dropped at the watermark."""
-    x = _events(spark, sf_dir)
-    return _counted(x.union(x).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append")
+    x = _events(spark, sf_dir, **source)
+    return _appended(x.union(x).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"))
 
 
 SESSIONS_SQL = """SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s"""
 DISTINCT_SQL = "SELECT DISTINCT event_id, event_type FROM events"
 DAILY_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+FEEDBACK_SQL = "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1"
