@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm.bpe import byte_of_char
-from lodestar.llm.recent import Recent, giving_back
+from lodestar.llm.recent import Recent, forgettable, giving_back
 from lodestar.llm.store import short_batches, written
 
 LENGTH, END = 2048, 0
@@ -42,6 +42,7 @@ class WordTokenizer:
         self.characters = {b: c for c, b in byte_of_char().items() if b >= 0x80}
         self.marks = Recent(lambda m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes(), size=1000)
         self.size, self.longest, self.now, self.old = size, longest, {}, {}
+        forgettable(self)
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
@@ -70,11 +71,13 @@ class WordTokenizer:
                 del now[w]
         return made
 
-
     def rest(self) -> None:
-        """Forget the older words: a worker process outlives its task, and its memory counts for the next stage."""
+        """Forget the older words: a worker process outlives its task."""
         self.old = {}
 
+    def forget(self) -> None:
+        self.now, self.old = {}, {}
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:

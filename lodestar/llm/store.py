@@ -69,9 +69,11 @@ def one_thread(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Arrow batches of the session have fewer rows than Spark's default, unless it was set to another number:
-    rows here are whole texts, and a batch is held by the executor and by its Python worker at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, rows)
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """From now on Arrow batches of the session have fewer rows and bytes than by Spark's defaults, unless these were set
+    to something else: rows here are whole texts, and a batch is held by the executor and by its Python worker at once.
+    A single row over `size` bytes is a batch of its own."""
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)

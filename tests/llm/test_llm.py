@@ -11,13 +11,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 import __spark_entry__
 import corpus_pipeline
-from lodestar.llm import bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, packing, quality_model, quality_rules, token_counts
+from lodestar.llm import bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, packing, quality_model, quality_rules, recent, store, token_counts
 
 AT, MORE, MOST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 BYTES, WORDS, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -484,3 +485,29 @@ def test_token_counts_of_whole_texts(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, PIECES).collect()}
     assert [got[i] for i in range(len(own))] == want
     assert got[3] == 4 and got[2] == 9
+
+
+def test_batches_of_texts_are_short_in_bytes(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+    store.short_batches(spark)
+    long = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("0123456789"), 10_000).alias("text"))
+    rows = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 300 and max(r.size for r in rows) < 5 << 20
+    huge = spark.range(0, 3, 1, 1).select(F.repeat(F.lit("0123456789"), 800_000).alias("text"))
+    assert [r.n for r in huge.mapInArrow(sizes, "n long, size long").collect()] == [1, 1, 1]
+
+
+def test_caches_are_emptied_for_other_operators():
+    def of(operator):
+        def run(batches):
+            yield from ([cache[b] for b in batches])
+
+        run.__module__ = operator
+        return recent.giving_back(run)
+
+    cache, tokenizer = recent.Recent(len, size=2), packing.WordTokenizer(WORDS)
+    ids = tokenizer.encode(["some words"])
+    assert list(of("one")(["a", "bb", "ccc"])) == [1, 2, 3] and dict(cache) == {"ccc": 3} and cache.old == {"a": 1, "bb": 2}
+    assert list(of("one")(["bb"])) == [2] and len(cache) + len(cache.old) == 4  # kept between tasks of one operator
+    assert list(of("other")([])) == [] and not cache and not cache.old and not tokenizer.now
+    assert tokenizer.encode(["some words"]) == ids
