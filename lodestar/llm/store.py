@@ -70,10 +70,10 @@ def one_thread(spark: SparkSession) -> None:
 
 
 def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """From now on Arrow batches of the session have fewer rows and bytes than by Spark's defaults, unless these were set
-    to something else: rows here are whole texts, and a batch is held by the executor and by its Python worker at once.
-    A single row over `size` bytes is a batch of its own."""
-    for name, usual, ours in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
-        name = f"spark.sql.execution.arrow.{name}"
+    """From now on batches of the session, Arrow's and those of Parquet scans, have fewer rows and bytes than by Spark's
+    defaults, unless these were set to something else: rows here are whole texts, and a batch is held by the executor
+    and by its Python worker at once. A single row over `size` bytes is an Arrow batch of its own."""
+    for name, usual, ours in (("execution.arrow.maxRecordsPerBatch", "10000", rows), ("execution.arrow.maxBytesPerBatch", "67108864b", size), ("parquet.columnarReaderBatchSize", "4096", rows)):
+        name = f"spark.sql.{name}"
         if spark.conf.get(name, usual) == usual:
             spark.conf.set(name, ours)
