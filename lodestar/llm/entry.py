@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, packing, quality_model, quality_rules, token_counts
+from lodestar.llm import alignment, bpe, fingerprints, jaccard_join, langid, license_texts, licenses, lm, oracles, packing, quality_model, quality_rules, simhash, token_counts, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents")).drop("source_row")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_jaccard_join, op2_token_counts, op3_fingerprints, op4_license_scan, op5_quality_rules, op6_packing, op7_bpe, op8_lm_scores, op9_quality_model, op10_language_id, pipeline]
+    ops = [op1_jaccard_join, op2_token_counts, op3_fingerprints, op4_license_scan, op5_quality_rules, op6_packing, op7_bpe, op8_lm_scores, op9_quality_model, op10_language_id]
+    ops += [op11_vector_codes, op12_simhash, op13_alignment, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -138,4 +151,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _OP1, "op4_license_scan": _op4(), "op5_quality_rules": _op5()}
+    return {"op1_jaccard_join": _OP1, "op4_license_scan": _op4(), "op5_quality_rules": _op5(), "op11_vector_codes": oracles.vector_codes()}

@@ -50,6 +50,17 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def heavy_first(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, heavy: int = 1_000) -> DataFrame:
+    """rows left joined with classes (one row for each value of keys, not null; a written table, whose column `count` counts
+    its rows), the count left out. Classes of `heavy` rows or more are broadcast if there are few of them, so no task gets
+    all rows of such a class; the others are joined as a whole, broadcast or shuffled."""
+    if classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(classes.drop(count)), keys, "left")
+    large = small_side(classes.filter(F.col(count) >= heavy).drop(count))
+    rest = rows.join(large.select(*keys), keys, "left_anti").join(classes.filter(F.col(count) < heavy).drop(count), keys, "left")
+    return rest.unionByName(rows.join(large, keys))
+
+
 def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
     """The rows of the largest counts (positive), at most `limit` of them: all rows over the least eighth of an octave that
     still fits. A histogram by eighths of octaves comes to the driver, a few hundred rows; no rows meet in one task."""
