@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions import text as T
 from lodestar.operators import predicates as P
 from lodestar.operators import ranking
+from lodestar.operators.textindex import USER_WORD
 from lodestar.plans.binding import Catalog
 from lodestar.plans.queries import count, query
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import kept
 
 col, lit = F.col, F.lit
 
@@ -58,9 +58,7 @@ def onto_build(k: Catalog) -> DataFrame:
     """Insert or replace: of the terms of one id the newest stays. Written as a table and read again."""
     new = terms(k).filter("parent like 'R:%'").select("id", F.concat("label", lit(" (new)")).alias("label"), lit(1).alias("age"))
     both = terms(k).select("id", "label", lit(0).alias("age")).union(new)
-    at = f"{shared_dir(k.spark)}/ontology-{k.spark.sparkContext.applicationId}"
-    both.groupBy("id").agg(F.max_by("label", "age").alias("label")).write.mode("overwrite").parquet(at)
-    return k.spark.read.schema("id string, label string").parquet(at)
+    return kept(both.groupBy("id").agg(F.max_by("label", "age").alias("label")), "ontology")
 
 
 _VALUES = """db AS (SELECT CASE c_custkey % 4 WHEN 0 THEN upper(r_name) WHEN 1 THEN ' ' || lower(r_name) || ' area' WHEN 2 THEN 'Country ' || n_nationkey ELSE 'EFO_000' || c_custkey END AS value, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
@@ -133,17 +131,6 @@ def onto_resolve_ranked(k: Catalog) -> DataFrame:
     return x.select("doc_id", "term", F.coalesce(F.get(names, col("b.step")), lit("none")).alias("step"), col("b.ids").alias("ids"))
 
 
-@query(f"WITH {_ASKED}, v AS (SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1), q AS (SELECT DISTINCT lower(term) AS q FROM asked UNION SELECT 'gear' UNION SELECT 'widget' UNION SELECT 'RED' UNION SELECT 'bolt') SELECT q, value, n FROM q JOIN v ON len(q) > 4 AND q <> upper(q) AND contains(lower(value), q)")
-def onto_direct_values(k: Catalog) -> DataFrame:
-    """The last resort: values with the word in them, for words of over four letters that are not all capitals."""
-    q = asked(k).select(F.lower("term").alias("q")).union(k.spark.createDataFrame([("gear",), ("widget",), ("RED",), ("bolt",)], "q string")).distinct()
-    guarded = q.filter((F.length("q") > 4) & (col("q") != F.upper("q")))
-    values = k.table("part").groupBy(col("p_name").alias("value")).agg(count())
-    # Every word of a value, and every pair, is a key: the join is by equality, not of all with all.
-    parts = values.select("value", "n", F.explode(F.array_distinct(F.concat(F.array(F.lower("value")), F.split(F.lower("value"), " ")))).alias("q"))
-    return guarded.join(parts, "q").select("q", "value", "n")
-
-
 @query("""WITH l AS (SELECT user_id % 40 AS term, event_type AS canonical, value AS confidence, event_id FROM events), b AS (SELECT term, canonical, arg_max(confidence, event_id) AS confidence FROM l GROUP BY 1, 2) SELECT term, arg_max(canonical, (confidence, canonical)) AS canonical, max(confidence) AS confidence FROM b GROUP BY 1""")
 def learned_synonyms(k: Catalog) -> DataFrame:
     """Synonyms learned from use: the last confidence of a pair counts, and of a term's pairs the surest one."""
@@ -169,18 +156,10 @@ def filter_null_category(k: Catalog) -> DataFrame:
     return k.table("documents").select("doc_id", F.when(i == 1, "").when(i != 0, col("lang")).alias("v")).filter(P.not_in("v", ["en"], keep_null=True))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(left(text, 120), '[\\p{L}\\p{N}_.-]+'), lambda t: chr(34) || t || chr(34)), ' ') AS q FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_.-]+'), lambda t: chr(34) || t || chr(34)), ' ') AS q FROM documents""")
 def fts_sanitised(k: Catalog) -> DataFrame:
-    """A user's text as a safe query: its words, each quoted, all of them wanted."""
-    return k.table("documents").select("doc_id", F.array_join(F.transform(F.regexp_extract_all(F.left("text", lit(120)), lit(r"[\p{L}\p{N}_.-]+"), 0), lambda t: F.concat(lit('"'), t, lit('"'))), " ").alias("q"))
-
-
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), hit AS (SELECT doc_id FROM t WHERE list_contains(w, 'the') AND len(list_filter(w, lambda x, i: x = 'the' AND w[i + 1] = 'that')) > 0) SELECT o_orderkey AS pk FROM orders WHERE o_orderkey IN (SELECT doc_id FROM hit)""")
-def fts_semi_join(k: Catalog) -> DataFrame:
-    """Samples whose document has a phrase: the index gives keys, the samples keep theirs."""
-    w = k.table("documents").select("doc_id", T.tokens(col("text")).alias("w"))
-    phrase = F.exists(F.transform("w", lambda x, i: (x == "the") & (F.get("w", i + 1) == "that")), lambda h: F.coalesce(h, lit(False)))
-    return k.table("orders").select(col("o_orderkey").alias("pk")).join(w.filter(phrase).select(col("doc_id").alias("pk")), "pk", "left_semi")
+    """Whole texts as safe queries: their words, each quoted, all of them wanted."""
+    return k.table("documents").select("doc_id", F.array_join(F.transform(F.regexp_extract_all("text", lit(USER_WORD), 0), lambda t: F.concat(lit('"'), t, lit('"'))), " ").alias("q"))
 
 
 # Records of archives, staged as nested rows

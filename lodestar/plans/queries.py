@@ -415,9 +415,6 @@ def facet_match(k: Catalog) -> DataFrame:
     return k.samples().select("pk", F.when(t == "1-URGENT", "match").when(F.coalesce(P.like_any("tissue_standard", ["urg", "high"]), F.lit(False)), "partial").otherwise("miss").alias("tissue"))
 
 
-_ACCESSIONS = [("geo", "GSE12"), ("ebi", "E-GEOD-12"), ("bio", "S-GEOD-12"), ("ebi", "E-MTAB-7"), ("bio", "S-BSST7"), ("x", "XYZ")]
-
-
 _TOKENS = r"[a-zA-Z0-9\-]+"
 
 
@@ -440,13 +437,6 @@ def fts_match_all(k: Catalog) -> DataFrame:
     return k.table("documents").select("doc_id", w.alias("w")).filter(F.array_contains("w", "the") & F.array_contains("w", "that")).select("doc_id")
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) >= 100""")
-def fts_index_stats(k: Catalog) -> DataFrame:
-    t = k.table("documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("token"))
-    per = t.groupBy("token", "doc_id").agg(count())  # combined on the map side: one row per document and token is moved
-    return per.groupBy("token").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).filter("df >= 100")
-
-
 _HIERARCHY = "edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
 
 

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A join side is broadcast only if it has been counted and has no more narrow rows than this.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
         at = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
         sc.setCheckpointDir(at)
     return at
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/catalog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it is computed once, and lineage ends here."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it counts at most `limit` rows; as it is beyond, for a shuffled join. It is counted here,
+    so it should be a table that was written or read."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
