@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from lodestar.operators import facets, fusion
 from lodestar.operators import predicates as P
 from lodestar.plans.binding import Catalog
+from lodestar.sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -357,7 +359,7 @@ def stratified_union(k: Catalog) -> DataFrame:
 
 @query("WITH {S}, r AS (SELECT pk, source_database, row_number() OVER (PARTITION BY source_database ORDER BY pk) AS turn, min(pk) OVER (PARTITION BY source_database) AS first FROM samples) SELECT pk, source_database, turn::INTEGER AS turn FROM r ORDER BY r.turn, first LIMIT 100")
 def round_robin(k: Catalog) -> DataFrame:
-    return fusion.round_robin(k.samples().select("pk", "source_database"), "source_database", "pk").orderBy("turn", "first").limit(100).select("pk", "source_database", "turn")
+    return fusion.round_robin(k.samples().select("pk", "source_database"), "source_database", "pk", 100).select("pk", "source_database", "turn")
 
 
 @query("SELECT year, n, sum(n) OVER (ORDER BY year)::BIGINT AS cumulative, n / sum(n) OVER () AS share FROM (SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1)")
@@ -444,13 +446,22 @@ _HIERARCHY = "edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey
 def onto_closure(k: Catalog) -> DataFrame:
     edges = k.table("nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
     edges = edges.union(k.table("customer").select(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey")))
-    pairs, fresh = edges.select("child", col("parent").alias("ancestor")), edges.select("child", col("parent").alias("ancestor"))
+    return closure(edges).groupBy("ancestor").agg(count("descendants"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(child, ancestor) over edges (child, parent): all ancestors of each node, once. Each round writes the pairs that are
+    new in it alone; a cycle ends, as its pairs are known, and makes a node its own ancestor."""
+    fresh = kept(edges.select("child", col("parent").alias("ancestor")).distinct(), "closure")
+    rounds, up = [fresh], edges.select(col("child").alias("ancestor"), "parent")
     while True:  # as many rounds as the hierarchy is deep
-        fresh = fresh.join(edges.select(col("child").alias("ancestor"), "parent"), "ancestor").select("child", col("parent").alias("ancestor")).distinct().join(pairs, ["child", "ancestor"], "left_anti")
-        fresh = fusion._checkpointed(fresh)
+        found = fresh.join(up, "ancestor").select("child", col("parent").alias("ancestor")).distinct()
+        for known in rounds:
+            found = found.join(known, ["child", "ancestor"], "left_anti")
+        fresh = kept(found, "closure")
         if fresh.isEmpty():
-            return pairs.groupBy("ancestor").agg(count("descendants"))
-        pairs = fusion._checkpointed(pairs.union(fresh))
+            return reduce(DataFrame.union, rounds)
+        rounds.append(fresh)
 
 
 @query("""SELECT n_name AS term, count(*) AS sample_count FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")

@@ -37,12 +37,18 @@ def ids(k: Catalog) -> DataFrame:
     return d.withColumn("id", F.concat(pick(col("doc_id") % 9, *map(lit, kinds)), F.floor(col("doc_id") / 18).cast("string")))
 
 
-@query(f"""WITH {_IDS} SELECT a.doc_id, a.id, a.key, coalesce(string_agg(DISTINCT b.source || '/' || b.id, ',' ORDER BY b.source || '/' || b.id), '') AS mirrors FROM keys a
- LEFT JOIN keys b ON a.key = b.key AND a.source || '/' || a.id <> b.source || '/' || b.id GROUP BY a.doc_id, a.id, a.key""")
+#: Mirrors that a record names.
+MIRRORS = 20
+
+
+@query(f"""WITH {_IDS}, o AS (SELECT DISTINCT a.doc_id, b.source || '/' || b.id AS name FROM keys a JOIN keys b ON a.key = b.key AND a.source || '/' || a.id <> b.source || '/' || b.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS i FROM o),
+ m AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) FILTER (i <= {MIRRORS}) AS mirrors, count(*) AS n FROM r GROUP BY 1)
+ SELECT doc_id, id, key, coalesce(mirrors, '') AS mirrors, coalesce(n, 0) AS n_mirrors FROM keys LEFT JOIN m USING (doc_id)""")
 def mirrors(k: Catalog) -> DataFrame:
-    """The records of the same study under other accessions or in other sources."""
+    """The records of the same study under other accessions or in other sources: the first ones, and how many."""
     x = ids(k).select("doc_id", "source", "id").withColumn("key", fusion.canonical_key(col("id")))
-    return fusion.mirrors(x, "key", "source", "id").select("doc_id", "id", "key", "mirrors")
+    return fusion.mirrors(x, "key", "source", "id", MIRRORS).select("doc_id", "id", "key", "mirrors", "n_mirrors")
 
 
 @query(f"""WITH {_IDS} SELECT doc_id, CASE WHEN upper(id) LIKE 'GSE%' OR upper(id) LIKE 'PRJNA%' OR upper(id) LIKE 'E-%' THEN 'project' WHEN upper(id) LIKE 'SAME%' THEN 'sample' WHEN doc_id % 2 = 0 THEN 'series' ELSE 'project' END AS entity,
@@ -164,6 +170,25 @@ def fuse_records(k: Catalog) -> DataFrame:
     return x.withColumn("ids", F.array_join(F.transform("ids", lambda i: i["name"]), "; "))
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id, source, md5(text) AS h, CASE WHEN doc_id % 11 = 0 THEN '' ELSE coalesce(lang, '') || (n_chars // 10) END AS key FROM documents),
+ c AS (SELECT *, CASE WHEN h IS NULL OR doc_id % 4 = 3 THEN doc_id ELSE coalesce(min(doc_id) FILTER (doc_id % 4 <> 3) OVER (PARTITION BY h), doc_id) END AS grp FROM t),
+ groups AS (SELECT grp, min(doc_id) AS place, arg_min(key, doc_id) FILTER (key <> '') AS hash, list_sort(list_distinct(list(source))) AS sources FROM c GROUP BY 1),
+ g AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY place) AS i FROM groups WHERE hash IS NOT NULL),
+ walk(hash, i, merged, grp, record) AS (SELECT hash, i, [{'record': grp, 's': sources}], grp, grp FROM g WHERE i = 1
+  UNION ALL SELECT hash, i, CASE WHEN p > 0 THEN list_concat(list_concat(merged[:p - 1], [{'record': merged[p].record, 's': list_concat(merged[p].s, sources)}]), merged[p + 1:]) ELSE list_append(merged, {'record': grp, 's': sources}) END,
+  grp, CASE WHEN p > 0 THEN merged[p].record ELSE grp END FROM (SELECT g.hash, g.i, w.merged, g.grp, g.sources, coalesce(list_position(list_transform(w.merged, lambda x: len(list_intersect(x.s, g.sources)) = 0), true), 0) AS p FROM walk w JOIN g ON g.hash = w.hash AND g.i = w.i + 1)),
+ r AS (SELECT doc_id, source, coalesce(record, c.grp) AS record FROM c LEFT JOIN walk ON walk.grp = c.grp)
+ SELECT record, count(*) AS merged, count(DISTINCT source) AS sources, min(doc_id) AS first, max(doc_id) AS last FROM r GROUP BY 1""")
+def fuse_results(k: Catalog) -> DataFrame:
+    """The whole fusion: copies are tied by links, then groups with one key are merged across sources, in the order they came."""
+    key = F.when(col("doc_id") % 11 == 0, "").otherwise(F.concat(F.coalesce("lang", lit("")), F.floor(col("n_chars") / 10).cast("string")))
+    d = k.table("documents").select("doc_id", "source", F.md5("text").alias("h"), key.alias("key"))
+    firsts = d.filter("doc_id % 4 <> 3 and h is not null")
+    links = firsts.join(firsts.groupBy("h").agg(F.min("doc_id").alias("a")), "h").select("a", col("doc_id").alias("b")).filter("a <> b")
+    x = fusion.fused(d.drop("h"), links, "doc_id", "source", "key", "doc_id")
+    return x.groupBy("record").agg(count("merged"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
 @query("""WITH g AS (SELECT md5(text) AS h, count(*) AS n, max(n_chars) AS score, min(doc_id) AS first FROM documents GROUP BY text) SELECT h, n, score, row_number() OVER (ORDER BY score DESC, first) AS place FROM g ORDER BY place LIMIT 100""")
 def fused_sorted(k: Catalog) -> DataFrame:
     """Fused records by score, equal ones in the order they came in."""
@@ -441,8 +466,11 @@ def export_metadata(k: Catalog) -> DataFrame:
 def render_markdown(k: Catalog) -> DataFrame:
     """A section per source: its number of results and the first eight, cut titles."""
     title = F.left(F.concat("lang", lit(" text of "), text("n_chars"), lit(" characters, number "), text("doc_id")), lit(30))
-    d = k.table("documents").select("source", "doc_id", F.concat(lit("\n- "), title).alias("line"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("r"))
-    x = d.groupBy("source").agg(count(), F.array_sort(F.collect_list(F.when(col("r") <= 8, F.struct("doc_id", "line")))).alias("top"))
+    d = k.table("documents").select("source", "doc_id", F.concat(lit("\n- "), title).alias("line"))
+    # Each task keeps eight rows of a source before they meet; results are counted apart.
+    first = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 8")
+    top = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("top"))
+    x = d.groupBy("source").agg(count()).join(top, "source")
     return x.select("source", F.concat(lit("## "), "source", lit(" ("), text("n"), lit(")"), F.array_join(F.transform("top", lambda t: t["line"]), "")).alias("page"))
 
 
