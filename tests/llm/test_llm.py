@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -117,6 +118,53 @@ def test_fingerprints_do_not_mind_order_and_add_up(spark):
     assert r.same and r.sum and r.less
 
 
+def print_of(text):
+    """A fingerprint's lanes, votes and phrases in plain Python."""
+    lanes, votes, phrases = [0] * 8, [0] * 126, re.findall(fingerprints.PHRASE, text)
+    chained = lambda i, s: xxhash.xxh64_intdigest(s.encode(), xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42))
+    for p in (p for p in text.split("\n") if p.strip()):
+        for i in range(4):
+            h = chained(i, p)
+            lanes[2 * i], lanes[2 * i + 1] = (lanes[2 * i] + h) % 2**32, (lanes[2 * i + 1] + (h >> 32)) % 2**32
+    for p, times in collections.Counter(phrases).items():
+        for i in range(2):
+            h = chained(100 + i, p)
+            for k in range(21):
+                for j in range(3):
+                    votes[63 * i + 3 * k + j] += times * (h >> k + 21 * j & 1)
+    return lanes, votes, len(phrases)
+
+
+def cosine(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * v - n for v in votes] for _, votes, n in (a, b))
+    norm = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return min(1.0, max(0.0, sum(v * w for v, w in zip(x, y, strict=True)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_same_as_plain_python(spark, docs):
+    rows = docs.orderBy("doc_id").limit(40).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = [r.text for r in rows.collect()]
+    f = fingerprints.fingerprints(rows, ["doc_id"], {"f": "text"}).select("doc_id", "f.lanes", fingerprints.votes(F.col("f")).alias("votes"), "f.phrases").orderBy("doc_id")
+    want = [print_of(t) for t in texts]
+    assert [(r.lanes, r.votes, r.phrases) for r in f.collect()] == want
+    got = fingerprints.edited_fingerprints(rows).orderBy("doc_id").collect()
+    for i, r in enumerate(got):
+        n, after = len(texts[i]), (i + 1) % len(texts)
+        edited = print_of(texts[i][: n - n // 2] + texts[after][: n // 2])
+        assert r.near_edited == pytest.approx(cosine(want[i], edited)) and r.near_next == pytest.approx(cosine(want[i], want[after]))
+
+
+def test_fingerprints_of_millions_of_phrases(spark):
+    long = "ab." * 5_000_000
+    df = spark.createDataFrame([(1, long + "\n" + "cd. " * 9), (2, "cd. " * 9 + "\n" + long), (3, "cd. ef"), (None, long)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
+    a, b, c = print_of(long + "\n" + "cd. " * 9), print_of("cd. " * 9 + "\n" + long), print_of("cd. ef")
+    assert a == b and max(a[1]) > 1 << 22 and got[1].fingerprint == got[2].fingerprint and got[1].near_next == 1.0
+    assert got[2].near_next == pytest.approx(cosine(b, c)) and got[None].near_next is None
+
+
 def test_licenses_edges(spark, edge):
     got = collections.defaultdict(list)
     for r in licenses.license_scan(edge).collect():
