@@ -11,7 +11,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +26,14 @@ KNOWN, LONGEST = 300_000, 64
 #: Words before a token that predict it; size of the embeddings; symbols in a class.
 CONTEXT, DIM, WIDTH = 2, 16, 128
 #: Noise symbols and noise classes that the tokens of a batch share; tokens in a batch; step size.
-NOISE, CLASS_NOISE, BATCH, RATE = 32, 16, 4096, 0.08
-#: A task goes over its tokens again, PASSES times at most, until it has met LEAST of them.
+NOISE, CLASS_NOISE, BATCH, RATE = 32, 16, 2048, 0.08
+#: Documents are dealt by a hash into shards of about so many tokens, and each shard's into ROUNDS parts. In a round every
+#: shard trains on its part from the same parameters, and their mean is where the next round begins.
+SHARD, ROUNDS = 5_000_000, 4
+#: Training meets at least so many tokens: the tokens of a smaller corpus are gone over again, PASSES times at most.
 LEAST, PASSES = 500_000, 6
+#: Means of parameters are added up as integers of this unit, so that they do not depend on the order of addition.
+UNIT = 1 << 28
 #: Distinct words that a task counts before it gives them out.
 FLUSH = 200_000
 
@@ -97,12 +101,22 @@ def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[starts], np.add.reduceat(grads[order], starts)
 
 
+#: Parameters, and the sums of their squared gradients.
+State = tuple[dict[str, np.ndarray], dict[str, np.ndarray]]
+
+
+def begun(stats: Stats) -> State:
+    p = stats.start()
+    return p, {k: np.full_like(x, 1e-4) for k, x in p.items()}
+
+
 class Trainer:
     """Stochastic gradient steps of noise-contrastive estimation over batches of (context, token)."""
 
-    def __init__(self, stats: Stats, seed: int):
-        self.p, self.rng = stats.start(), np.random.default_rng(seed)
-        self.sums = {k: np.full_like(x, 1e-4) for k, x in self.p.items()}
+    def __init__(self, stats: Stats, seed: int | tuple[int, ...], begin: State | None = None):
+        """begin: parameters and sums of squared gradients to go on from; else the start."""
+        p, sums = begin or begun(stats)
+        self.p, self.sums, self.rng = ({k: x.copy() for k, x in p.items()}, {k: x.copy() for k, x in sums.items()}, np.random.default_rng(seed))
         self.met = {k: np.zeros(len(x)) for k, x in self.p.items()}
         self.draws = {"q": (np.cumsum(stats.share), np.log(NOISE * stats.share).astype(np.float32), NOISE), "k": (np.cumsum(stats.class_share), np.log(CLASS_NOISE * stats.class_share).astype(np.float32), CLASS_NOISE)}
 
@@ -147,18 +161,32 @@ class Trainer:
             self.step(context[i : i + BATCH], token[i : i + BATCH])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, times met, values) of the rows that were met; keys number the rows of all parameters in turn."""
+        """(key, times met, values) of the rows that were met; keys number the rows of all parameters and then of all sums,
+        which are given by their binary logarithms."""
         keys, met, values, first = [], [], [], 0
-        for name, x in self.p.items():
-            flat, times = x.reshape(-1, x.shape[-1]), np.repeat(self.met[name], x[0].size // x.shape[-1])
-            at = np.flatnonzero(times)
-            keys.append(first + at)
-            met.append(times[at])
-            values.append(np.pad(flat[at], ((0, 0), (0, DIM + 1 - flat.shape[1]))))
-            first += len(flat)
+        for group in (self.p, {k: np.log2(x) for k, x in self.sums.items()}):
+            for name, x in group.items():
+                flat, times = x.reshape(-1, x.shape[-1]), np.repeat(self.met[name], x[0].size // x.shape[-1])
+                at = np.flatnonzero(times)
+                keys.append(first + at)
+                met.append(times[at])
+                values.append(np.pad(flat[at], ((0, 0), (0, DIM + 1 - flat.shape[1]))))
+                first += len(flat)
         return np.concatenate(keys), np.concatenate(met), np.concatenate(values)
 
 
+def replaced(state: State, keys: np.ndarray, values: np.ndarray) -> State:
+    """state with other values in the rows of these keys, as Trainer.rows gives them."""
+    out, first = ({k: x.copy() for k, x in state[0].items()}, {k: np.log2(x) for k, x in state[1].items()}), 0
+    for group in out:
+        for x in group.values():
+            flat = x.reshape(-1, x.shape[-1])
+            own = (keys >= first) & (keys < first + len(flat))
+            flat[keys[own] - first] = values[own][:, : flat.shape[1]]
+            first += len(flat)
+    return out[0], {k: np.exp2(x) for k, x in out[1].items()}
+
+
 def examples(symbols: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, token) of texts given as symbols without their end: the CONTEXT symbols before, the nearest first, ends
     before the first word."""
@@ -200,42 +228,87 @@ def places(stats: Stats, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, li
     return at, s, rest
 
 
-def _trained(held):
+class Steps:
+    """Cuts a stream of texts into examples, BATCH tokens at a time, wherever the rows' batches end."""
+
+    def __init__(self, end: int):
+        self.end, self.symbols, self.size = end, [], 0
+        self.left = examples([], end)
+
+    def add(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.symbols.append(symbols)
+        self.size += len(symbols) + 1
+        if self.size >= 16 * BATCH:
+            yield from self._cut()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self._cut()
+        if len(self.left[1]):
+            yield self.left
+
+    def _cut(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        context, token = (np.concatenate([a, b]) for a, b in zip(self.left, examples(self.symbols, self.end), strict=True))
+        whole = len(token) // BATCH * BATCH
+        for i in range(0, whole, BATCH):
+            yield context[i : i + BATCH], token[i : i + BATCH]
+        self.left, self.symbols, self.size = (context[whole:], token[whole:]), [], 0
+
+
+def _trained(held, begin, number: int, passes: int):
+    """For mapInArrow over (shard, symbols), sorted by shard: what each shard makes of the parameters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = held.value
-        trainer, kept, n = Trainer(stats, TaskContext.get().partitionId()), [], 0
+        stats, shard = held.value, None
+
+        def given() -> pa.RecordBatch:
+            for part in steps.rest():
+                met(part)
+            for _ in range(passes - 1):
+                for part in kept:
+                    trainer.step(*part)
+            keys, times, values = trainer.rows()
+            units = np.rint(times[:, None] * values * UNIT).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times.astype(np.int64)), *(pa.array(units[:, i]) for i in range(DIM + 1))], names=["key", "met", *(f"v{i}" for i in range(DIM + 1))])
+
+        def met(part) -> None:
+            trainer.step(*part)
+            if passes > 1:
+                kept.append(part)
+
         for batch in batches:
-            for part in (batch.slice(i, 300) for i in range(0, batch.num_rows, 300)):
-                got = examples([places(stats, _words(t))[1] for t in part.column(0).to_pylist()], stats.end)
-                trainer.batches(*got)
-                n += len(got[1])
-                if n < LEAST:
-                    kept.append(got)
-        for _ in range(min(PASSES, -(-LEAST // n)) - 1 if n else 0):
-            for got in kept:
-                trainer.batches(*got)
-        keys, met, values = trainer.rows()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(met), *(pa.array(values[:, i]) for i in range(DIM + 1))], names=["key", "met", *(f"v{i}" for i in range(DIM + 1))])
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != shard:
+                    if shard is not None:
+                        yield given()
+                    shard, trainer, steps, kept = at, Trainer(stats, (at, number), begin.value), Steps(stats.end), []
+                for part in steps.add(np.frombuffer(raw, np.uint16)):
+                    met(part)
+        if shard is not None:
+            yield given()
 
     return run
 
 
-def train(learned: DataFrame, stats: Stats, held) -> dict[str, np.ndarray]:
-    """Parameters trained over all learned texts: every task goes over its own from the same start, and each row is the
-    mean over the tasks that met it, weighted by how often. What comes to the driver has the size of the model."""
+def train(encoded: DataFrame, stats: Stats, held) -> dict[str, np.ndarray]:
+    """Parameters trained over all learned texts (place, symbols), in ROUNDS rounds. The shard, the round and the order of a
+    text follow from its `place`, a hash of it, and the number of shards from the corpus, so the result does not depend on
+    how the table is split. After a round each row of the parameters is the mean over the shards that met it, weighted by
+    how often. What comes to the driver has the size of the model."""
+    sc = encoded.sparkSession.sparkContext
+    shards = max(1, round(stats.tokens / SHARD))
+    passes = min(PASSES, max(1, -(-LEAST // stats.tokens))) if stats.tokens else 1
     columns = [f"v{i}" for i in range(DIM + 1)]
-    rows = learned.mapInArrow(_trained(held), "key long, met double, " + ", ".join(f"{c} float" for c in columns))
-    mean = [(F.sum(F.col("met") * F.col(c)) / F.sum("met")).alias(c) for c in columns]
-    got = rows.groupBy("key").agg(*mean).toArrow()
-    p = stats.start()
-    keys, values = got.column("key").to_numpy(), np.column_stack([got.column(c).to_numpy() for c in columns]).astype(np.float32)
-    first = 0
-    for x in p.values():
-        flat = x.reshape(-1, x.shape[-1])
-        own = (keys >= first) & (keys < first + len(flat))
-        flat[keys[own] - first] = values[own][:, : flat.shape[1]]
-        first += len(flat)
-    return p
+    dealt = encoded.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright("place", 32), F.lit(ROUNDS)).alias("turn"), "place", "symbols")
+    state = begun(stats)
+    for number in range(ROUNDS if stats.tokens else 0):
+        begin = sc.broadcast(state)
+        part = dealt.filter(F.col("turn") == number).repartition(shards, "shard").sortWithinPartitions("shard", "place", "symbols").select("shard", "symbols")
+        rows = part.mapInArrow(_trained(held, begin, number, passes), "key long, met long, " + ", ".join(f"{c} long" for c in columns))
+        got = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("met", *columns)]).toArrow()
+        times = got.column("met").to_numpy()[:, None] * float(UNIT)
+        state = replaced(state, got.column("key").to_numpy(), (np.column_stack([got.column(c).to_numpy() for c in columns]) / times).astype(np.float32))
+        begin.destroy()
+    return state[0]
 
 
 @dataclass
@@ -301,33 +374,49 @@ def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
     return Stats(known, c, words, mass, int(total) + n_texts, int(distinct) + (n_texts > 0), n_texts), counts
 
 
-def _scored(held, model):
+def _encoded(held):
+    """For mapInArrow over (rid, doc_id, held_out, place, text): counts of the words that every task knows, the other words,
+    and the symbols of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, scorer = held.value, Scorer.of(model.value)
+        stats = held.value
         *_, log = stats.lookups()
         end, shared = np.log10(stats.texts + 1.0), np.zeros(len(stats.rank))
         hashed, buckets = np.zeros(len(stats.rank), bool), stats.rank[1 + stats.words :]
         shared[buckets], hashed[buckets] = np.log10(stats.bucket_mass), True
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                out, symbols, more = [], [], []
-                for text in part.column(3).to_pylist():
+                out = []
+                for text in part.column(4).to_pylist():
                     w = _words(text)
                     at, s, rest = places(stats, w)
                     there = at >= 0
                     logs = np.zeros(len(w))
                     logs[there] = log[at[there]]
                     own = hashed[s]
-                    symbols.append(s)
-                    more.append(logs[own].sum() - shared[s[own]].sum())
                     few = Counter(rest)
-                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), list(few), list(few.values())))
-                each = scorer.log10(*examples(symbols, stats.end))
-                starts = np.cumsum([0, *(len(s) + 1 for s in symbols[:-1])])
-                score = np.add.reduceat(each, starts) + np.array(more)
+                    more = logs[own].sum() - shared[s[own]].sum()
+                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), float(more), list(few), list(few.values()), s.astype(np.uint16).tobytes()))
                 c = list(zip(*out, strict=True))
-                made = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(score), pa.array(c[3], pa.list_(pa.binary())), pa.array(c[4], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest", "times"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+                made = [pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=["rid", "doc_id", "held_out", "place", "n_tokens", "n_known", "logs", "more", "rest", "times", "symbols"])
+
+    return run
+
+
+def _scored(end: int, model):
+    """For mapInArrow over (more, symbols): `score`, put before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer.of(model.value)
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                symbols = [np.frombuffer(x, np.uint16) for x in part.column(1).to_pylist()]
+                each = scorer.log10(*examples(symbols, end))
+                starts = np.cumsum([0, *(len(s) + 1 for s in symbols[:-1])])
+                score = np.add.reduceat(each, starts) + part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(score), *part.columns[2:]], names=["score", *part.schema.names[2:]])
 
     return run
 
@@ -340,11 +429,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     symbols before a token (words, buckets of rare words, ends) predict it as the sum of their embeddings, each
     through the matrix of its position, first its class, then the symbol in the class, both normalised; for a word
     of a bucket this is multiplied by (c + 1) / (tokens + distinct words + 1) of the bucket, the last 1 being all unseen words.
-    So the probabilities of all words sum to at most 1 in each context. Training goes over all tokens not held out, where they
-    lie (see train). Counts of the KNOWN most frequent words are in every task; the other words of each document are
+    So the probabilities of all words sum to at most 1 in each context. Training goes over all tokens not held out, in
+    rounds over shards of documents, and gives the same model however the table is split (see train). Counts of the KNOWN most frequent words are in every task; the other words of each document are
     joined with the table of counts, whatever its size.
     Null texts are empty ones. A null doc_id is held out. Repeated rows come back repeated and count repeatedly.
-    Without learned documents all counts are 0. Other columns are not read."""
+    Without learned documents all counts are 0. Very long texts are scored whole. Other columns are not read. Empty
+    table: no rows."""
     key = F.col(doc_id).cast("long")
     rows = docs.select(key.alias("doc_id"), F.coalesce(fold(key, FOLDS) == HELD, F.lit(True)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learned = rows.filter(~F.col("held_out")).select("text")
@@ -353,13 +443,16 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     sc = docs.sparkSession.sparkContext
     one_thread(docs.sparkSession)
     held = sc.broadcast(stats)
-    model = sc.broadcast(train(learned, stats, held))
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<binary>, times array<long>"
-    part = written(rows.select(F.monotonically_increasing_id().alias("rid"), "*").mapInArrow(_scored(held, model), schema), "scores")
-    rest = part.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    schema = "rid long, doc_id long, held_out boolean, place long, n_tokens long, n_known long, logs double, more double, rest array<binary>, times array<long>, symbols binary"
+    place = F.xxhash64("doc_id", "text").alias("place")
+    encoded = written(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", place, "text").mapInArrow(_encoded(held), schema), "encoded")
+    model = sc.broadcast(train(encoded.filter(~F.col("held_out")).select("place", "symbols"), stats, held))
+    rest = encoded.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     found = rest.join(counts, "word").groupBy("rid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"))
-    x = part.drop("rest", "times").join(written(found, "rest"), "rid", "left")
-    dropped(counts)
+    scored = encoded.select("more", "symbols", "rid", "doc_id", "held_out", "n_tokens", "n_known", "logs")
+    scored = scored.mapInArrow(_scored(stats.end, model), "score double, rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double")
+    x = written(scored, "scores").join(written(found, "rest"), "rid", "left")
+    dropped(counts, encoded)
     known, more = F.coalesce("known", F.lit(0).cast("long")), F.coalesce("more", F.lit(0.0))
     each = float(np.log10(stats.tokens + stats.distinct + 1))
     return x.select(

@@ -358,6 +358,32 @@ def test_lm_scores_are_those_of_the_definition(spark):
     assert dh[2, 3] == pytest.approx((loss(h + e) - loss(h - e)) / 2e-5, rel=1e-3)
 
 
+def test_lm_does_not_mind_the_split(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)  # several shards
+    of = lambda n: {(r.doc_id, r.n_tokens): r.score for r in lm.lm_scores(docs.repartition(n)).collect()}
+    one, many = of(1), of(24)
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(x, rel=1e-6) for k, x in one.items())
+
+
+def test_lm_steps_do_not_mind_the_batches():
+    rng = np.random.default_rng(1)
+    symbols = [rng.integers(0, 900, n).astype(np.uint16) for n in rng.integers(0, 900, 400)]
+    steps = lm.Steps(7)
+    got = [part for s in symbols for part in steps.add(s)] + list(steps.rest())
+    context, token = lm.examples(symbols, 7)
+    assert (np.concatenate([c for c, _ in got]) == context).all() and (np.concatenate([t for _, t in got]) == token).all()
+    assert {len(t) for _, t in got[:-1]} == {lm.BATCH} and list(lm.Steps(7).rest()) == []
+
+
+def test_lm_state_comes_back_from_its_rows():
+    stats = lm.Stats([b"a", b"b", b"c"], np.array([3.0, 2, 1]), 3, np.ones(lm.BUCKETS), 9, 4, 3)
+    trainer = lm.Trainer(stats, (1, 2))
+    trainer.step(*lm.examples([np.array([1, 2, 1, 3])], stats.end))
+    keys, times, values = trainer.rows()
+    p, sums = lm.replaced(lm.begun(stats), keys, values.astype(np.float32))
+    assert (times > 0).all() and all((p[k] == x).all() for k, x in trainer.p.items()) and all(np.allclose(sums[k], x, rtol=1e-5) for k, x in trainer.sums.items())
+
+
 def test_lm_long_words_and_text_end(spark):
     rows = [(i, "x" * 300 + " a b a" if i % 2 else "y" * 70 + " a") for i in range(40)]
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
