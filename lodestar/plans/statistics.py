@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.plans.binding import Catalog
+from lodestar.operators.stored import StoredCounts, files_of, totals
+from lodestar.plans.binding import Catalog, Replaced
 from lodestar.plans.queries import count, query
 from lodestar.plans.routing import A, annotated
+from lodestar.sources.shared import new_path
 
 col = F.col
 
@@ -22,17 +25,35 @@ def unpivoted(one_row: DataFrame) -> DataFrame:
 
 # The overall table
 
+_SECTIONS = ["source_database", "tissue", "disease_standard", "sex_normalized", "organism_common", "sample_type", "age_unit", "disease_category"]
 _COVERED = ["disease_standard", "sex_normalized", "organism_common", "age_unit", "age_min", "tissue", "n_cells", "series_pk"]
 _DISTINCT = {"tissues": "tissue", "diseases_raw": "disease", "diseases_standard": "disease_standard", "disease_categories": "disease_category", "cell_types": "cell_type", "organisms": "organism", "sexes": "sex_normalized", "sample_types": "sample_type", "sources": "source_database"}
 
 
-@query(f"""WITH {A}, one AS (SELECT count(*) AS total_samples, {", ".join(f"count({c}) AS samples_with_{c}" for c in _COVERED)}, {", ".join(f"count(DISTINCT {c}) AS distinct_{n}" for n, c in _DISTINCT.items())} FROM a)
+#: Levels of the curated columns and categories that the test tables have none of their own, made of what they have.
+_MORE = {
+    "tissue_standard": "nullif(tissue, '4-NOT SPECIFIED')", "tissue_l1": "split_part(tissue, '-', 1)", "tissue_leaf": "split_part(tissue, '-', 2)", "disease_l1": "split_part(disease, ' ', 1)",
+    "cell_type_standard": "CASE WHEN pk % 7 > 0 THEN lower(cell_type) END", "cell_lineage": "CASE WHEN pk % 5 > 0 THEN split_part(cell_type, ' ', 2) END", "ancestry": "CASE WHEN pk % 11 > 2 THEN organism_common END",
+    "dev_stage": "CASE WHEN age_min < 0 THEN 'young' WHEN age_min < 20 THEN 'adult' END", "treatment": "CASE WHEN pk % 4 = 1 THEN sample_type END", "genotype": "CASE WHEN pk % 9 = 1 THEN disease_category END",
+    "individual": "CASE WHEN pk % 3 > 0 THEN source_database || ':' || project_pk END", "year": "year(publication_date)",
+}
+_ALL_COVERED = [*_COVERED, *_MORE]
+_ALL_DISTINCT = _DISTINCT | {f"{c}_values": c for c in _MORE if c != "year"}
+_WIDE = f"{A}, w AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _MORE.items())} FROM a)"
+_OVERALL = f"""WITH {_WIDE}, one AS (SELECT count(*) AS total_samples, {", ".join(f"count({c}) AS samples_with_{c}" for c in _ALL_COVERED)}, {", ".join(f"count(DISTINCT {c}) AS distinct_{n}" for n, c in _ALL_DISTINCT.items())} FROM w)
  SELECT metric, value::BIGINT AS value FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value)
  UNION ALL SELECT 'total_projects', count(*) FROM customer UNION ALL SELECT 'total_series', count(*) FROM part UNION ALL SELECT 'total_celltypes', count(*) FROM lineitem
  UNION ALL SELECT 'total_entity_links', count(*) - count(DISTINCT text) FROM documents UNION ALL SELECT 'distinct_assays', count(DISTINCT p_type) FROM part UNION ALL SELECT 'distinct_platforms', count(DISTINCT p_brand) FROM part
- UNION ALL SELECT 'newest_year', max(year(o_orderdate)) FROM orders UNION ALL SELECT 'oldest_year', min(year(o_orderdate)) FROM orders""")
+ UNION ALL SELECT 'newest_year', max(year(o_orderdate)) FROM orders UNION ALL SELECT 'oldest_year', min(year(o_orderdate)) FROM orders"""
+
+
+def wide(k: Catalog) -> DataFrame:
+    return annotated(k).select("*", *[F.expr(e).alias(c) for c, e in _MORE.items()])
+
+
+@query(_OVERALL)
 def stats_overall(k: Catalog) -> DataFrame:
-    a = annotated(k).agg(F.count("*").alias("total_samples"), *[F.count(c).alias(f"samples_with_{c}") for c in _COVERED], *[F.countDistinct(c).alias(f"distinct_{n}") for n, c in _DISTINCT.items()])
+    a = wide(k).agg(F.count("*").alias("total_samples"), *[F.count(c).alias(f"samples_with_{c}") for c in _ALL_COVERED], *[F.countDistinct(c).alias(f"distinct_{n}") for n, c in _ALL_DISTINCT.items()])
     series = k.series().agg(F.count("*").alias("total_series"), F.countDistinct("assay").alias("distinct_assays"), F.countDistinct("platform").alias("distinct_platforms"))
     links = k.table("documents").groupBy(F.xxhash64("text")).agg((F.count("*") - 1).alias("n")).agg(F.sum("n").alias("total_entity_links"))
     years = k.table("orders").agg(F.max(F.year("o_orderdate")).alias("newest_year"), F.min(F.year("o_orderdate")).alias("oldest_year"))
@@ -40,6 +61,48 @@ def stats_overall(k: Catalog) -> DataFrame:
     return reduce(DataFrame.union, map(unpivoted, [a, *rest]))
 
 
+def stored_counts(k: Catalog, at: str) -> dict[str, StoredCounts]:
+    """The stored statistics of the tiers under a folder, refreshed: files of samples are counted again if they changed, or
+    if a table that their annotations come from did."""
+    others = [f for t in ("lineitem", "customer", "nation", "region", "part") for f in files_of(k.spark, f"{k.path}/{t}.parquet")]
+    version = hashlib.sha256(repr(others).encode()).hexdigest()
+
+    def samples(orders: DataFrame) -> DataFrame:
+        some = Replaced(k.spark, k.path, {"orders": orders.drop("file")})
+        return wide(some).join(orders.select(col("o_orderkey").alias("pk"), "file"), "pk")
+
+    columns = list(dict.fromkeys([*_ALL_COVERED, *_ALL_DISTINCT.values(), *_SECTIONS]))
+    specs = {
+        "orders": {"columns": columns, "measure": "n_cells", "rows": samples, "version": version},
+        "part": {"columns": ["p_type", "p_brand"]}, "customer": {"columns": ["c_mktsegment"]}, "lineitem": {"columns": []},
+        "documents": {"columns": ["h"], "rows": lambda d: d.select("file", F.xxhash64("text").alias("h"))},
+    }
+    found = {t: StoredCounts(k.spark, f"{at}/{t}") for t in specs}
+    for t, spec in specs.items():
+        found[t].refresh(f"{k.path}/{t}.parquet", **spec)
+    return found
+
+
+def _from_stored(stored: dict[str, StoredCounts]) -> DataFrame:
+    """(metric, value) of all metrics, from the stored counts alone."""
+    known = {t: totals(s.values()) for t, s in stored.items()}
+    a = known["orders"]
+    named = lambda df, names, value: df.select(F.explode(F.array_compact(F.array(*[F.when(col("column") == c, F.lit(n)) for n, c in names.items()]))).alias("metric"), F.col(value).cast("long").alias("value"))
+    rows = lambda t, n: known[t].filter("column = ''").select(F.lit(n).alias("metric"), F.coalesce("filled", F.lit(0)).alias("value"))
+    parts = [named(a.withColumn("filled", F.coalesce("filled", F.lit(0))), {f"samples_with_{c}": c for c in _ALL_COVERED}, "filled")]
+    parts += [named(a, {f"distinct_{n}": c for n, c in _ALL_DISTINCT.items()}, "distinct_values"), rows("orders", "total_samples"), rows("part", "total_series"), rows("customer", "total_projects"), rows("lineitem", "total_celltypes")]
+    parts.append(named(known["part"], {"distinct_assays": "p_type", "distinct_platforms": "p_brand"}, "distinct_values"))
+    parts.append(known["documents"].agg((F.max(F.when(col("column") == "", col("filled"))) - F.max(F.when(col("column") == "h", col("distinct_values")))).alias("value")).select(F.lit("total_entity_links").alias("metric"), "value"))
+    years = stored["orders"].values().filter("column = 'year' and value is not null").agg(F.max(col("value").cast("int")).alias("newest_year"), F.min(col("value").cast("int")).alias("oldest_year"))
+    return reduce(DataFrame.union, [*parts, unpivoted(years)])
+
+
+@query(_OVERALL)
+def stats_stored(k: Catalog) -> DataFrame:
+    """The overall table from stored counts."""
+    return _from_stored(stored_counts(k, new_path(k.spark, "stats")))
+
+
 @query(f"""WITH {A}, g AS (SELECT 'tissue' AS field, tissue AS value, * EXCLUDE (tissue) FROM a UNION ALL SELECT 'disease', disease, * EXCLUDE (tissue) FROM a),
  c AS (SELECT field, value, count(*) AS samples, count(DISTINCT source_database) AS sources, round(sum(n_cells), 2) AS cells FROM g WHERE value IS NOT NULL GROUP BY 1, 2)
  SELECT field, value, samples, sources, cells FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY samples DESC, value) AS r FROM c) WHERE r <= 40""")
@@ -59,13 +122,15 @@ def stats_normalized(k: Catalog) -> DataFrame:
     return annotated(k).groupBy(best("sex_normalized", "sex"), best("organism_common", "organism")).agg(count())
 
 
-_SECTIONS = ["source_database", "tissue", "disease_standard", "sex_normalized", "organism_common", "sample_type", "age_unit", "disease_category"]
 
 
-@query(f"""WITH {A} SELECT * FROM ({" UNION ALL ".join(f"SELECT '{s}' AS section, {s} AS key, count(*) AS n, round(sum(n_cells), 2) AS cells FROM a WHERE {s} IS NOT NULL GROUP BY 2" for s in _SECTIONS)}
+_DASHBOARD = f"""WITH {A} SELECT * FROM ({" UNION ALL ".join(f"SELECT '{s}' AS section, {s} AS key, count(*) AS n, round(sum(n_cells), 2) AS cells FROM a WHERE {s} IS NOT NULL GROUP BY 2" for s in _SECTIONS)}
  UNION ALL SELECT 'year', year(publication_date)::VARCHAR, count(*), round(sum(n_cells), 2) FROM a GROUP BY 2 UNION ALL SELECT 'assay', p_type, count(*), NULL FROM part GROUP BY 2
  UNION ALL SELECT 'platform', p_brand, count(*), NULL FROM part GROUP BY 2 UNION ALL SELECT 'category', c_mktsegment, count(*), NULL FROM customer GROUP BY 2
- UNION ALL SELECT 'totals', 'samples', count(*), NULL FROM orders UNION ALL SELECT 'totals', 'projects', count(*), NULL FROM customer)""")
+ UNION ALL SELECT 'totals', 'samples', count(*), NULL FROM orders UNION ALL SELECT 'totals', 'projects', count(*), NULL FROM customer)"""
+
+
+@query(_DASHBOARD)
 def dashboard(k: Catalog) -> DataFrame:
     """All sections of the dashboard. The sample sections are grouping sets of one pass."""
     a = annotated(k).withColumn("year", F.year("publication_date").cast("string"))
@@ -77,6 +142,22 @@ def dashboard(k: Catalog) -> DataFrame:
     return reduce(DataFrame.union, [samples, plain(k.series(), "assay", "assay"), plain(k.series(), "platform", "platform"), plain(k.projects(), "category", "category"), total(k.table("orders"), "samples"), total(k.projects(), "projects")])
 
 
+@query(_DASHBOARD)
+def dashboard_stored(k: Catalog) -> DataFrame:
+    """All sections of the dashboard from stored counts."""
+    stored = stored_counts(k, new_path(k.spark, "stats"))
+    names = {t: {c: c for c in cs} for t, cs in {"orders": [*_SECTIONS, "year"]}.items()} | {"part": {"p_type": "assay", "p_brand": "platform"}, "customer": {"c_mktsegment": "category"}}
+    parts = []
+    for t, sections in names.items():
+        x = stored[t].values().filter(col("column").isin(*sections))
+        x = x.filter("value is not null") if t == "orders" else x
+        section = F.create_map(*[F.lit(y) for pair in sections.items() for y in pair])[col("column")]
+        parts.append(x.select(section.alias("section"), col("value").alias("key"), "n", col("total").cast("double").alias("cells")))
+    for t, name in (("orders", "samples"), ("customer", "projects")):
+        parts.append(stored[t].values().filter("column = ''").select(F.lit("totals").alias("section"), F.lit(name).alias("key"), "n", F.lit(None).cast("double").alias("cells")))
+    return reduce(DataFrame.union, parts)
+
+
 # Reports over results
 
 
