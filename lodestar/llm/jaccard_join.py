@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from lodestar.llm import shingles as S
 from lodestar.llm.components import components
-from lodestar.llm.store import dropped, most_frequent, short_batches, small_side, written
+from lodestar.llm.store import dropped, heavy_first, most_frequent, short_batches, small_side, written
 
 #: Similarity in percent.
 PERCENT = 75
@@ -122,16 +122,18 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(docs.mapInArrow(S.described(_frequent(named), percent), S.DESCRIBED), "sets")
     known = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")), "classes")
-    copies = written(known.select("digest", "doc_id").join(classes.filter("n > 1"), "digest").filter("doc_id <> copy_of").select("digest", "doc_id").distinct(), "copies")
+    shared = written(classes.filter("n > 1"), "shared")
+    copies = written(heavy_first(known.select("digest", "doc_id"), shared, ["digest"], "n").filter("doc_id <> copy_of").select("digest", "doc_id").distinct(), "copies")
     firsts = known.join(small_side(copies), ["digest", "doc_id"], "left_anti").drop("digest")
     near = _linked(_stars(firsts), sets, named, percent)
     far = _linked(_tiles(firsts, components(near), percent), sets, named, percent)
     labels = components(near.union(far))
     groups = classes.join(labels, classes.copy_of == labels.node, "left").select("digest", "copy_of", "n", F.coalesce("label", "copy_of").alias("label"))
-    # Only classes of several documents or with links change anything; beyond a small number of them it is a shuffled join.
-    tied = written(groups.filter("n > 1 or label <> copy_of").drop("n"), "groups")
-    dropped(classes, copies)
+    # Only classes of several documents or with links change anything.
+    tied = written(groups.filter("n > 1 or label <> copy_of"), "groups")
+    dropped(classes, shared, copies)
     own, some = F.col("doc_id").isNotNull(), F.col("n_shingles") > 0
-    key = F.when(some, F.col("digest")).otherwise(F.encode(F.col("doc_id").cast("string"), "utf-8"))  # texts without words are no class
-    out = sets.select("doc_id", "n_shingles", key.alias("digest")).join(small_side(tied), "digest", "left")
+    key = F.when(some, F.col("digest")).otherwise(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))  # texts without words are no class
+    out = sets.select("doc_id", "n_shingles", key.alias("digest"))
+    out = heavy_first(out, tied, ["digest"], "n")
     return out.select("doc_id", "n_shingles", *[F.when(own, F.coalesce(c, "doc_id")).alias(n) for c, n in (("label", "component_id"), ("copy_of", "copy_of"))])

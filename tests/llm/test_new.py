@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from lodestar.llm import alignment, simhash, vector_codes
+from lodestar.llm import alignment, simhash, store, vector_codes
 from test_llm import AT, EDGE, SCHEMA, fuzz
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -249,3 +249,13 @@ def test_blocks_of_texts():
     assert list(alignment._blocks(["x"] * 2500)) == [(0, 1000), (1000, 2000), (2000, 2500)]
     assert list(alignment._blocks(["x" * 4_000_000, "y", None, "z" * 2_999_999, "w"])) == [(0, 1), (1, 4), (4, 5)]
     assert list(alignment._blocks([])) == []
+
+
+def test_heavy_classes_same_as_a_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "k%d" % (0 if i < 400 else i % 7)) for i in range(600)] + [(600, "none")], "i long, k string")
+    classes = store.written(rows.filter("k <> 'none'").groupBy("k").agg(F.min("i").alias("first"), F.count("*").alias("n")), "classes")
+    want = {r.i: r["first"] for r in rows.join(classes, "k", "left").collect()}
+    for most in (1000, 2):  # all broadcast; heavy ones alone
+        monkeypatch.setattr(store, "BROADCAST_ROWS", most)
+        got = store.heavy_first(rows, classes, ["k"], "n", heavy=100).collect()
+        assert {r.i: r["first"] for r in got} == want and len(got) == len(want)
