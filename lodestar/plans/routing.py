@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators import entities as E
 from lodestar.operators import routing as R
 from lodestar.plans.binding import Catalog
 from lodestar.plans.queries import count, query
@@ -164,3 +165,48 @@ def filter_celltype_ontology(k: Catalog) -> DataFrame:
     words = ["gear"]
     more = R.beyond(words, ["hot gear", "bolt", "plate"], "cell_type")
     return _where(k, R.any_of([R.contains_any("cell_type", words), *([more] if more is not None else [])]))
+
+
+# Entities and words by tiers
+
+DISEASE = E.Tiers(
+    raw="disease", standard="disease_standard", upper="disease_category", own={"bolts": "bolt"}, upper_of={"first brand": "Brand#1"},
+    standard_of={"promos": "PROMO", "bulk": "LARGE"}, above={"PROMO": "Brand#2"},
+)
+TISSUE = E.Tiers(
+    raw="tissue", standard="tissue_standard", upper="tissue_level", upper_of={"top": "1", "second": "2"},
+    standard_of={"routine": ["3-MEDIUM", "5-LOW"], "urgent": "1-URGENT", "spec": ["4-NOT SPECIFIED"]}, deep=frozenset({"spec"}),
+)
+_LEVELS = f"""WITH {A}, t AS (SELECT *, nullif(tissue, '4-NOT SPECIFIED') AS tissue_standard, split_part(tissue, '-', 1) AS tissue_level FROM a)"""
+
+
+def _levels(k: Catalog) -> DataFrame:
+    return annotated(k).select("*", F.nullif("tissue", F.lit("4-NOT SPECIFIED")).alias("tissue_standard"), F.split_part("tissue", F.lit("-"), F.lit(1)).alias("tissue_level"))
+
+
+@query(f"""{_LEVELS} SELECT pk FROM t WHERE (disease_standard ILIKE '%bolt%' OR disease ILIKE '%bolt%' OR disease_category = 'Brand#1' OR disease_standard IN ('PROMO') OR disease_category = 'Brand#2'
+ OR disease_standard IN ('LARGE') OR disease ILIKE '%hot ring%' OR disease ILIKE '%steel%')
+ AND (tissue_level = '1' OR tissue_standard IN ('3-MEDIUM') OR tissue_standard IN ('4-NOT SPECIFIED') OR tissue ILIKE '%spec%')""")
+def filter_entities_tiered(k: Catalog) -> DataFrame:
+    """Diseases by text, category, standard value and raw text; tissues by level and by standard values but the excluded."""
+    named = [("disease", "Bolts", ["x"]), ("disease", "first brand", ["x"]), ("disease", "Promo goods", ["x"]), ("disease", "bulk", ["x"]), ("disease", "steel", ["hot ring"]), ("tissue", "top", ["x"]), ("tissue", "Routine", ["x"]), ("tissue", "spec", ["x"])]
+    entities = [E.Entity(kind, text, values, "promos" if text == "Promo goods" else "") for kind, text, values in named]
+    entities += [E.Entity("tissue", "second", ["x"], negated=True), E.Entity("disease", "gear", [])]
+    x = _levels(k)
+    return x.filter(E.entities_condition(entities, {"disease": DISEASE, "tissue": TISSUE}, excluded={"tissue": ["5-low"]})).select("pk")
+
+
+@query(f"""{_LEVELS} SELECT pk FROM t WHERE (cell_type IN ('red ring', 'hot gear') OR cell_type ILIKE '%gear%' OR tissue ILIKE '%gear%' OR cell_type ILIKE '%small%bolt%' OR cell_type ILIKE '%plate%')
+ AND (tissue ILIKE '%1-urgent%' OR tissue ILIKE '%urgent%')""")
+def filter_entities_cells(k: Catalog) -> DataFrame:
+    """Cell types by value and pattern; a tissue whose only value is excluded is searched for as text."""
+    entities = [E.Entity("cell_type", "gear", ["red ring", "hot gear"]), E.Entity("cell_type", "bolts", [], "b"), E.Entity("cell_type", "odd bolt", ["red ring"], "bolt+"), E.Entity("tissue", "urgent", ["1-URGENT"])]
+    x = _levels(k)
+    return x.filter(E.entities_condition(entities, {"tissue": TISSUE}, ("cell_type", {"bolt+": ["%small%bolt%", "%plate%"]}, {"gear": "tissue"}), {"tissue": ["1-Urgent"]})).select("pk")
+
+
+@query(f"""{_LEVELS} SELECT pk FROM t WHERE tissue_level IN ('1', '3') AND (tissue_standard IN ('3-MEDIUM', '4-NOT SPECIFIED') OR tissue ILIKE '%spec%' OR tissue ILIKE '%-urg%')""")
+def filter_words_tiered(k: Catalog) -> DataFrame:
+    """Levels on one side, standard values and raw text of deep and unknown words on the other; both must be met."""
+    tiers = E.Tiers("tissue", "tissue_standard", "tissue_level", upper_of={"top": "1", "second": "2", "third": "3"}, standard_of=TISSUE.standard_of, deep=TISSUE.deep)
+    return _levels(k).filter(E.words_condition(["top", "Second ", "third", "routine", "spec", "-urg"], tiers, excluded=["5-LOW", "2"])).select("pk")
