@@ -59,18 +59,30 @@ def _windows(g: Column, t: Column, least: float) -> Column:
     bin_ = lambda s: F.floor(s / F.greatest(F.lit(1), F.floor(t["words"] / SPAN))).cast("int")
     votes = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(t["grams"], x), i - F.get(t["at"], F.array_position(t["grams"], x).cast("int") - 1))), lambda s: s.isNotNull())
 
-    def best(s: Column, b: Column) -> Column:
-        own = F.filter(s, lambda x: bin_(x) == b)
-        top = lambda o: F.array_max(F.transform(F.array_distinct(o), lambda x: F.struct(F.size(F.filter(o, lambda y: y == x)).alias("n"), (-x).alias("back"))))["back"]
-        return _let(own, lambda o: F.when(F.size(o) >= F.lit(VOTES) * F.size(t["grams"]), -top(o)))
+    def begins(votes: Column) -> Column:
+        """The most voted beginning of each bin with enough votes: one walk over the votes in order."""
+        enough = F.lit(VOTES) * F.size(t["grams"])
+        number = lambda x: F.lit(x).cast("int")
+        flushed = lambda a: F.when(a["n"] >= enough, F.array_append(a["out"], a["best"])).otherwise(a["out"])
+
+        def step(a: Column, s: Column) -> Column:
+            same = F.coalesce(a["bin"] == bin_(s), F.lit(False))
+            times = F.when(same & (a["at"] == s), a["times"] + 1).otherwise(number(1))
+            better = ~same | (times > a["most"])
+            return F.struct(
+                bin_(s).alias("bin"), F.when(same, a["n"] + 1).otherwise(number(1)).alias("n"), s.alias("at"), times.alias("times"),
+                F.when(better, s).otherwise(a["best"]).alias("best"), F.when(better, times).otherwise(a["most"]).alias("most"), F.when(same, a["out"]).otherwise(flushed(a)).alias("out"),
+            )
+
+        start = F.struct(number(None).alias("bin"), number(0).alias("n"), number(None).alias("at"), number(0).alias("times"), number(None).alias("best"), number(0).alias("most"), F.array().cast("array<int>").alias("out"))
+        return F.reduce(F.array_sort(votes), start, step, flushed)
 
     def dice(s: Column) -> Column:
         at = F.greatest(s, F.lit(0))
         w = F.array_distinct(F.slice(g, at + 1, F.greatest(F.lit(1), t["words"] - 1 - (at - s))))
         return _let(w, lambda w: F.struct(t["license"].alias("license"), at.alias("word_no"), (2 * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + F.size(t["grams"]))).alias("dice")))
 
-    starts = _let(votes, lambda s: F.filter(F.transform(F.array_distinct(F.transform(s, bin_)), lambda b: best(s, b)), lambda x: x.isNotNull()))
-    return F.filter(F.transform(starts, dice), lambda r: r["dice"] >= least)
+    return F.filter(F.transform(begins(votes), dice), lambda r: r["dice"] >= least)
 
 
 def license_matches(docs: DataFrame, text: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
@@ -82,7 +94,8 @@ def license_matches(docs: DataFrame, text: str = "text", templates: DataFrame |
     other words around a notice do not matter. A template is a candidate only if the text has least / (2 - least) of its
     bigrams, as many as a window of any size needs for `least`; other templates and most texts end there. templates
     has columns license and text (of any size up to MOST_WORDS words); rows without either or without words are not used.
-    Null and empty texts have no matches. Every row comes back, repeated ones and those without doc_id too."""
+    Windows may overlap and templates may be alike, so a notice can give several matches. The time grows with the words of a
+    text and the windows in it, however long it is. Null and empty texts have no matches. An empty table gives no rows. Every row comes back, repeated ones and those without doc_id too."""
     each, every, fewest = _given(docs.sparkSession, templates, least)
     all_ = F.from_json(F.lit(every), "array<bigint>")
     given = F.from_json(F.lit(each), f"array<{_TEMPLATE}>")
