@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators import downloads
 from lodestar.plans.binding import Catalog
 from lodestar.plans.ontology import _TERMS, terms
 from lodestar.plans.queries import closure, count, query
@@ -89,3 +90,50 @@ def workspaces_replayed(k: Catalog) -> DataFrame:
     op = F.when(i % 97 == 1, "delete").when(i % 97 == 40, "recover").when((i % 11).isin(0, 5), "remove").otherwise("add")
     k.table("events").select(i.alias("event"), (col("user_id") % 20).alias("workspace"), op.alias("op"), F.concat("event_type", (i % 30).cast("string")).alias("item"), col("value").cast("string").alias("note")).write.json(at)
     return workspaces.kept_by_stream(k.spark, at).filter("item is not null").select("workspace", "deleted", "item", "event")
+
+
+# Files of records
+
+_OFFERS = """d AS (SELECT doc_id, ['geo', 'ebi', 'ncbi', 'ega', 'hca', 'cellxgene'][doc_id % 6 + 1] AS source, ['GSE', 'E-MTAB-', 'PRJNA', 'EGAD', 'x'][doc_id % 5 + 1] || (1000 + doc_id) AS project_id,
+ CASE WHEN doc_id % 3 = 2 THEN 'SRP' || doc_id END AS series_id, CASE doc_id % 4 WHEN 1 THEN 'SRR' || (1000000 + doc_id) WHEN 0 THEN 'SRR' || (10000 + doc_id) WHEN 2 THEN '' END AS sample_id, CASE WHEN doc_id % 7 > 2 THEN 'https://h/' || doc_id END AS h5ad_url FROM documents),
+ o AS (SELECT doc_id, 'h5ad' AS file_type, h5ad_url AS url FROM d WHERE source = 'cellxgene' AND h5ad_url IS NOT NULL UNION ALL SELECT doc_id, 'hca_portal', h5ad_url FROM d WHERE source = 'hca' AND h5ad_url IS NOT NULL
+ UNION ALL SELECT doc_id, 'supplementary', 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(project_id, len(project_id) - 3) || 'nnn/' || project_id || '/suppl/' FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
+ UNION ALL SELECT doc_id, 'geo_soft', 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(project_id, len(project_id) - 3) || 'nnn/' || project_id || '/soft/' || project_id || '_family.soft.gz' FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
+ UNION ALL SELECT doc_id, 'geo_page', 'https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=' || project_id FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
+ UNION ALL SELECT doc_id, 'fastq', 'ftp://ftp.sra.ebi.ac.uk/vol1/fastq/' || left(sample_id, 6) || '/' || CASE WHEN len(sample_id) > 9 THEN right(sample_id, 3) || '/' ELSE '' END || sample_id || '/' FROM d WHERE source = 'ncbi' AND sample_id LIKE 'SRR%'
+ UNION ALL SELECT doc_id, 'sra_page', 'https://www.ncbi.nlm.nih.gov/sra/?term=' || series_id FROM d WHERE source = 'ncbi' AND series_id LIKE 'SRP%'
+ UNION ALL SELECT doc_id, 'bioproject_page', 'https://www.ncbi.nlm.nih.gov/bioproject/' || project_id FROM d WHERE source = 'ncbi' AND project_id LIKE 'PRJNA%'
+ UNION ALL SELECT doc_id, 'arrayexpress_page', 'https://www.ebi.ac.uk/biostudies/arrayexpress/studies/' || project_id FROM d WHERE source = 'ebi' AND project_id LIKE 'E-%'
+ UNION ALL SELECT doc_id, t, 'https://www.ebi.ac.uk/biostudies/files/' || project_id || '/' || project_id || '.' || t || '.txt' FROM d, (VALUES ('sdrf'), ('idf')) v(t) WHERE source = 'ebi' AND project_id LIKE 'E-%'
+ UNION ALL SELECT doc_id, 'ega_metadata', 'https://ega-archive.org/datasets/' || project_id FROM d WHERE source = 'ega' AND project_id LIKE 'EGA%')"""
+
+
+def _offers(k: Catalog) -> DataFrame:
+    i, text = col("doc_id"), lambda c: c.cast("string")
+    pick = lambda n, *values: F.get(F.array(*map(lit, values)), (i % n).cast("int"))
+    address = F.when(i % 7 > 2, F.concat(lit("https://h/"), text(i)))
+    sample = F.when(i % 4 == 1, F.concat(lit("SRR"), text(1000000 + i))).when(i % 4 == 0, F.concat(lit("SRR"), text(10000 + i))).when(i % 4 == 2, "")
+    d = k.table("documents").select(
+        "doc_id", pick(6, "geo", "ebi", "ncbi", "ega", "hca", "cellxgene").alias("source"), F.concat(pick(5, "GSE", "E-MTAB-", "PRJNA", "EGAD", "x"), text(1000 + i)).alias("project_id"),
+        F.when(i % 3 == 2, F.concat(lit("SRP"), text(i))).alias("series_id"), sample.alias("sample_id"), address.alias("h5ad_url"), address.alias("access_url"), *[lit(None).cast("string").alias(c) for c in ("rds_url", "explorer_url")],
+    )
+    return d.select("doc_id", downloads.options().alias("options"))
+
+
+@query(f"WITH {_OFFERS} SELECT doc_id, file_type, url FROM o")
+def download_files(k: Catalog) -> DataFrame:
+    """Every file and page that the sources offer for their records, with its kind."""
+    return _offers(k).select("doc_id", F.inline("options"))
+
+
+@query(f"""WITH {_OFFERS}, a AS (SELECT event_id AS place, event_id * 7 % 400 - 20 AS id, CASE WHEN event_id % 9 = 0 THEN 'https://inline/' || event_id END AS url FROM events),
+ f AS (SELECT id, min(place) AS place, arg_max(url, place) FILTER (url IS NOT NULL) AS url FROM a GROUP BY 1), s AS (SELECT id, url FROM f ORDER BY place, id LIMIT 300),
+ m AS (SELECT s.id, o.file_type, o.url, 'matched' AS state FROM s JOIN o ON o.doc_id = s.id WHERE file_type IN ('h5ad', 'fastq', 'supplementary')),
+ u AS (SELECT s.*, (SELECT string_agg(DISTINCT file_type, ',' ORDER BY file_type) FROM o WHERE o.doc_id = s.id) AS has FROM s WHERE id NOT IN (SELECT id FROM m))
+ SELECT id::VARCHAR AS id, file_type, url, state FROM m UNION ALL SELECT id::VARCHAR, CASE WHEN url IS NOT NULL THEN 'file' ELSE has END, url, CASE WHEN url IS NOT NULL THEN 'inline' WHEN has IS NOT NULL THEN 'unmatched' ELSE 'unresolved' END FROM u""")
+def download_request(k: Catalog) -> DataFrame:
+    """A request for files of three kinds: the first 300 ids, addresses that came with it, and what was not found."""
+    i = col("event_id")
+    asked = k.table("events").select(i.alias("place"), (i * 7 % 400 - 20).cast("string").alias("id"), F.when(i % 9 == 0, F.concat(lit("https://inline/"), i.cast("string"))).alias("url"), lit(None).cast("string").alias("file_type"))
+    records = _offers(k).select(col("doc_id").cast("string").alias("id"), "options")
+    return downloads.requested(asked, records, ["h5ad", "fastq", "supplementary"])
