@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,3 +67,14 @@ def repaired(texts: pd.Series) -> pd.Series:
         return t
 
     return texts.map(one)
+
+
+def first_named(c: Column, table: list[tuple[str, list[str]]]) -> Column:
+    """The first name of the table one of whose words a text has, NULL for none. A word is found as a whole word whatever the
+    case; spaces, dashes and underscores inside it are the same and may be left out."""
+
+    def pattern(words: list[str]) -> str:
+        parts = [re.split(r"[\s_-]+", w) for w in words]
+        return r"(?i)\b(?:" + "|".join(r"[\s_-]?".join(map(re.escape, p)) for p in parts) + r")\b"
+
+    return F.coalesce(*[F.when(c.rlike(pattern([name, *words])), name) for name, words in table])

@@ -60,3 +60,30 @@ def grade(column: str, whole: list[str], part: list[str]) -> Column:
     """match for one of the whole values, partial for a text with one of the parts in it, else miss."""
     c = F.lower(F.col(column))
     return F.when(c.isin([w.lower() for w in whole]), "match").when(F.coalesce(contains_any(column, part), F.lit(False)), "partial").otherwise("miss")
+
+
+def _tokens(text: Column) -> Column:
+    """Distinct words of Latin letters, digits and dashes, of two signs or more, in lower case."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-zA-Z0-9\-]+"), 0), lambda t: F.length(t) > 1))
+
+
+def lexical(query: str | Column, categories: list[str], title: str, description: str) -> Column:
+    """3 for each word of the query in the title, 1 for each in the description, 0.5 for each category term all of whose
+    words are in either, and 0.001 for each word of the title up to 20."""
+    asked, head, body = _tokens(F.lit(query) if isinstance(query, str) else query), _tokens(F.col(title)), _tokens(F.col(description))
+    both = F.array_union(head, body)
+    whole = [F.when((F.size(_tokens(F.lit(c))) > 0) & (F.size(F.array_except(_tokens(F.lit(c)), both)) == 0), 0.5).otherwise(0.0) for c in categories]
+    return 3.0 * F.size(F.array_intersect(asked, head)) + 1.0 * F.size(F.array_intersect(asked, body)) + reduce(add, whole, F.lit(0.0)) + 0.001 * F.least(F.size(head), F.lit(20))
+
+
+def says(text: Column, phrases: list[str], generic: list[str]) -> Column:
+    """Whether a text has one of the phrases in it, or one of their telling words as a word: one of three letters or more
+    that is not among the generic ones."""
+    import re
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    kept = [p.lower().strip() for p in phrases if p and p.strip()]
+    telling = sorted({w for p in kept for w in re.findall(r"[a-z0-9\-]+", p) if len(w) > 2 and w not in generic})
+    words = F.regexp_extract_all(low, F.lit(r"[a-zA-Z0-9\-]+"), 0)
+    inside = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in kept], F.lit(False))
+    return inside | F.arrays_overlap(words, F.array(*map(F.lit, telling))) if telling else inside

@@ -60,3 +60,11 @@ class Replaced(Catalog):
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else super().table(name)
+
+
+def register_views(k: Catalog, prefix: str = "unified_") -> list[str]:
+    """Temporary views of the tiers under one prefix, for SQL by names that do not depend on where the tables are."""
+    tiers = {"projects": k.projects, "series": k.series, "samples": k.samples, "celltypes": k.celltypes, "links": k.links}
+    for name, made in tiers.items():
+        made().createOrReplaceTempView(f"{prefix}{name}")
+    return [f"{prefix}{name}" for name in tiers]

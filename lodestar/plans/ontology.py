@@ -12,7 +12,7 @@ from lodestar.operators import ranking
 from lodestar.operators.textindex import USER_WORD
 from lodestar.plans.binding import Catalog
 from lodestar.plans.queries import count, query
-from lodestar.sources.shared import kept
+from lodestar.sources.shared import kept, small_side
 
 col, lit = F.col, F.lit
 
@@ -118,7 +118,7 @@ def asked(k: Catalog) -> DataFrame:
 def onto_resolve_ranked(k: Catalog) -> DataFrame:
     """Terms resolved in steps: umbrella words, exact labels, synonyms, labels of a part of the words; the first step that
     finds something counts."""
-    few = F.broadcast(terms(k).filter("id not like 'C:%'"))
+    few = small_side(kept(terms(k).filter("id not like 'C:%'"), "terms"))
     a = asked(k).withColumn("low", F.lower("term"))
     umbrella = k.spark.createDataFrame([("old world", i) for i in ("R:0", "R:2", "R:3")], "low string, id string")
     word = F.explode(F.filter(F.split("low", " "), lambda w: F.length(w) > 2))

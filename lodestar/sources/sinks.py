@@ -13,12 +13,23 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(f.name, "; ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema])
 
 
-def to_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.option("header", True).option("compression", "gzip").csv(path)
+def chosen(df: DataFrame, fields: list[str] | None = None, excluded: list[str] = ()) -> DataFrame:
+    """df with the fields asked for (all if none are), in their order, without the excluded ones and those it lacks."""
+    names = [c for c in (fields or df.columns) if c in df.columns and c not in excluded]
+    return df.select(*dict.fromkeys(names))
 
 
-def to_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def to_csv(df: DataFrame, path: str, fields: list[str] | None = None, excluded: list[str] = ()) -> None:
+    """Gzipped CSV with a header in each file; lists are joined by '; '."""
+    flat(chosen(df, fields, excluded)).write.option("header", True).option("compression", "gzip").csv(path)
+
+
+def to_json(df: DataFrame, path: str, fields: list[str] | None = None, excluded: list[str] = (), beside: tuple[str, ...] = (), summary: str = "") -> None:
+    """A folder with `envelope`, one line of the summary and the number of results, and `results`, a line for each: its data,
+    and the columns `beside` it. Lines are written by the tasks, so results of any size are not held as one document."""
+    data = chosen(df.drop(*beside), fields, excluded)
+    df.select(F.struct(*data.columns).alias("data"), *beside).write.option("ignoreNullFields", False).json(f"{path}/results")
+    df.agg(F.lit(summary).alias("summary"), F.count("*").alias("total_count")).coalesce(1).write.json(f"{path}/envelope")
 
 
 def to_release(df: DataFrame, path: str) -> None:
