@@ -484,11 +484,11 @@ def json_props(k: Catalog) -> DataFrame:
     return k.table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g') AS c, length(text) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '查找' || left(text, 12) WHEN doc_id % 4 = 1 THEN '查找' || text ELSE text END AS text FROM documents))
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g') AS c, length(text) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('查找', (1 + length(text) // 8)::INTEGER) || text WHEN doc_id % 4 = 1 THEN '查找' || text ELSE text END AS text FROM documents))
  SELECT doc_id, CASE WHEN length(c) > 0.1 * n THEN 'zh' ELSE 'en' END AS asked_in, length(c) > 0 AS any_cjk FROM t""")
 def question_language(k: Catalog) -> DataFrame:
     """Chinese if over a tenth of the characters are."""
-    x = k.table("documents").select("doc_id", F.when(col("doc_id") % 4 == 0, F.concat(lit("查找"), F.left("text", lit(12)))).when(col("doc_id") % 4 == 1, F.concat(lit("查找"), "text")).otherwise(col("text")).alias("text"))
+    x = k.table("documents").select("doc_id", F.when(col("doc_id") % 4 == 0, F.concat(F.repeat(lit("查找"), (1 + F.floor(F.length("text") / 8)).cast("int")), "text")).when(col("doc_id") % 4 == 1, F.concat(lit("查找"), "text")).otherwise(col("text")).alias("text"))
     share = T.cjk_share(col("text"))
     return x.select("doc_id", F.when(share > 0.1, "zh").otherwise("en").alias("asked_in"), (share > 0).alias("any_cjk"))
 
