@@ -18,7 +18,8 @@ col, lit = F.col, F.lit
 
 
 @query(f"""WITH {A}, s AS (SELECT count(*) AS n FROM a WHERE disease IN ('Bolt', 'widget') AND tissue IN ('urgent') AND n_cells >= 100000 AND coalesce(sex_normalized NOT IN ('male'), true))
- SELECT pk, 'relaxed' AS how FROM a, s WHERE n = 0 AND (disease ILIKE '%bolt%' OR disease ILIKE '%widget%') AND tissue ILIKE '%urgent%' AND n_cells >= 100000 AND coalesce(sex_normalized NOT IN ('male'), true)""")
+ SELECT pk, 'relaxed' AS how FROM a, s WHERE n = 0 AND (disease ILIKE '%bolt%' OR disease ILIKE '%widget%') AND tissue ILIKE '%urgent%' AND n_cells >= 100000
+  AND coalesce(sex_normalized NOT IN ('male'), true)""")
 def filter_relaxed(k: Catalog) -> DataFrame:
     """Strict filters on four fields find nothing; equalities with text are relaxed, bounds and exclusions are not."""
     asked = [L.Filter("disease", "disease", "in", ("Bolt", "widget")), L.Filter("tissue", "tissue", "in", ("urgent",)), L.Filter("cells", "n_cells", ">=", (100000,)), L.Filter("sex", "sex_normalized", "not in", ("male",))]
@@ -27,7 +28,8 @@ def filter_relaxed(k: Catalog) -> DataFrame:
 
 
 @query(f"""WITH {A}, f AS (SELECT coalesce(cell_type IN ('no such'), false) AS c, coalesce(disease IN ('red bolt', 'hot gear'), false) AS d, coalesce(tissue IN ('1-URGENT'), false) AS t, coalesce(organism_common IN ('asia'), false) AS o, coalesce(n_cells >= 10, false) AS n FROM a),
- z AS (SELECT 'cell type' AS dropped, 'no such' AS was, count_if(d AND t AND o AND n)::BIGINT AS n FROM f UNION ALL SELECT 'disease', 'red bolt, hot gear', count_if(c AND t AND o AND n)::BIGINT FROM f UNION ALL SELECT 'tissue', '1-URGENT', count_if(c AND d AND o AND n)::BIGINT FROM f)
+ z AS (SELECT 'cell type' AS dropped, 'no such' AS was, count_if(d AND t AND o AND n)::BIGINT AS n FROM f UNION ALL SELECT 'disease', 'red bolt, hot gear', count_if(c
+  AND t AND o AND n)::BIGINT FROM f UNION ALL SELECT 'tissue', '1-URGENT', count_if(c AND d AND o AND n)::BIGINT FROM f)
  SELECT * FROM z WHERE n > 0""")
 def broaden_suggestions(k: Catalog) -> DataFrame:
     """Of five filters that find nothing together the three that may be dropped first; the organism never is."""
@@ -38,8 +40,10 @@ def broaden_suggestions(k: Catalog) -> DataFrame:
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-zA-Z0-9\\-]+'), lambda x: len(x) > 1))"
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS series_pk, {_WORDS.format("p_name")} AS t, {_WORDS.format("p_type || ' of ' || p_brand")} AS d FROM part), q AS (SELECT ['red', 'promo', 'bolt', 'of'] AS q)
- SELECT series_pk, round(3.0 * len(list_intersect(t, q)) + len(list_intersect(d, q)) + CASE WHEN list_has_all(list_concat(t, d), ['red', 'promo']) THEN 0.5 ELSE 0 END + CASE WHEN list_has_all(list_concat(t, d), ['bolt']) THEN 0.5 ELSE 0 END
+@query(f"""WITH p AS (SELECT p_partkey AS series_pk, {_WORDS.format("p_name")} AS t, {_WORDS.format("p_type || ' of ' || p_brand")} AS d
+  FROM part), q AS (SELECT ['red', 'promo', 'bolt', 'of'] AS q)
+ SELECT series_pk, round(3.0 * len(list_intersect(t, q)) + len(list_intersect(d, q)) + CASE WHEN list_has_all(list_concat(t, d), ['red', 'promo']) THEN 0.5
+  ELSE 0 END + CASE WHEN list_has_all(list_concat(t, d), ['bolt']) THEN 0.5 ELSE 0 END
  + 0.001 * least(len(t), 20), 6)::DOUBLE AS score FROM p, q""")
 def rank_lexical_categories(k: Catalog) -> DataFrame:
     """Words of the query in title and description, and terms of categories whose words are all there."""
@@ -47,7 +51,8 @@ def rank_lexical_categories(k: Catalog) -> DataFrame:
     return x.select("series_pk", F.round(ranking.lexical("Red PROMO bolt, of a", ["red promo", "Bolt", "!"], "title", "description"), 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS series_pk, lower(p_name) AS t FROM part) SELECT series_pk, contains(t, 'hot gear') OR contains(t, 'small cell') OR list_has_any(regexp_extract_all(t, '[a-z0-9-]+'), ['hot', 'gear']) AS said FROM p""")
+@query("""WITH p AS (SELECT p_partkey AS series_pk, lower(p_name) AS t FROM part) SELECT series_pk, contains(t, 'hot gear') OR contains(t, 'small cell')
+  OR list_has_any(regexp_extract_all(t, '[a-z0-9-]+'), ['hot', 'gear']) AS said FROM p""")
 def phrases_said(k: Catalog) -> DataFrame:
     """A phrase by its telling words: generic nouns count only within the whole phrase."""
     return k.series().select("series_pk", ranking.says(col("title"), ["Hot gear", "small cell", " "], ["small", "cell", "type"]).alias("said"))
@@ -57,8 +62,10 @@ def phrases_said(k: Catalog) -> DataFrame:
 KINDS = [("red bolt", ["crimson bolt"]), ("bolt", ["screw"]), ("small ring", []), ("ring", ["o ring"])]
 
 
-@query("""WITH t AS (SELECT p_partkey AS id, replace(p_name, ' ', CASE p_size % 4 WHEN 0 THEN '-' WHEN 1 THEN '_' WHEN 2 THEN '' ELSE ' ' END) || CASE WHEN p_partkey % 7 = 0 THEN ' Screw' ELSE '' END AS t FROM part)
- SELECT id, CASE WHEN regexp_matches(t, '(?i)\\b(red[\\s_-]?bolt|crimson[\\s_-]?bolt)\\b') THEN 'red bolt' WHEN regexp_matches(t, '(?i)\\b(bolt|screw)\\b') THEN 'bolt' WHEN regexp_matches(t, '(?i)\\bsmall[\\s_-]?ring\\b') THEN 'small ring' WHEN regexp_matches(t, '(?i)\\b(ring|o[\\s_-]?ring)\\b') THEN 'ring' END AS name FROM t""")
+@query("""WITH t AS (SELECT p_partkey AS id, replace(p_name, ' ', CASE p_size % 4 WHEN 0 THEN '-' WHEN 1 THEN '_' WHEN 2 THEN '' ELSE ' ' END) || CASE
+  WHEN p_partkey % 7 = 0 THEN ' Screw' ELSE '' END AS t FROM part)
+ SELECT id, CASE WHEN regexp_matches(t, '(?i)\\b(red[\\s_-]?bolt|crimson[\\s_-]?bolt)\\b') THEN 'red bolt' WHEN regexp_matches(t, '(?i)\\b(bolt|screw)\\b') THEN 'bolt'
+  WHEN regexp_matches(t, '(?i)\\bsmall[\\s_-]?ring\\b') THEN 'small ring' WHEN regexp_matches(t, '(?i)\\b(ring|o[\\s_-]?ring)\\b') THEN 'ring' END AS name FROM t""")
 def first_matches(k: Catalog) -> DataFrame:
     """The first name of an ordered table that a text has."""
     between = F.get(F.array(*map(lit, ("-", "_", "", " "))), (col("p_size") % 4).cast("int"))

@@ -17,7 +17,8 @@ from lodestar.streaming import workspaces
 col, lit = F.col, F.lit
 
 _RECORDS = """r AS (SELECT p_partkey::VARCHAR AS id, p_name AS title, p_type || ' goods' AS summary, CASE p_size % 3 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'Mus musculus' END AS organism,
- CASE WHEN p_size % 4 = 0 THEN 'sample' ELSE 'series' END AS kind, p_brand AS collection, 2010 + p_size % 15 AS year FROM part), t AS (SELECT *, lower(title || chr(10) || summary) AS s FROM r)"""
+ CASE WHEN p_size % 4 = 0 THEN 'sample' ELSE 'series' END AS kind, p_brand AS collection, 2010 + p_size % 15 AS year
+  FROM part), t AS (SELECT *, lower(title || chr(10) || summary) AS s FROM r)"""
 
 
 def _staged(k: Catalog) -> str:
@@ -32,7 +33,8 @@ def _staged(k: Catalog) -> str:
     return at
 
 
-@query(f"""WITH {_RECORDS} SELECT id, title, year FROM t WHERE (contains(s, 'bolt') OR contains(s, 'widget')) AND contains(s, 'promo') AND organism = 'Mus musculus' AND kind = 'series' AND year >= 2014 AND NOT contains(s, 'green')""")
+@query(f"""WITH {_RECORDS} SELECT id, title, year FROM t WHERE (contains(s, 'bolt') OR contains(s, 'widget')) AND contains(s, 'promo') AND organism = 'Mus musculus'
+  AND kind = 'series' AND year >= 2014 AND NOT contains(s, 'green')""")
 def staged_search(k: Catalog) -> DataFrame:
     """Series of a species with words of every field asked for, since a year, without some words."""
     term = S.term_of({"disease": ["bolt", "Widget"], "tissue": ["promo"]}, species=["Mus musculus"], kind="series", years=S.Years(2014), without=["green", "a"])
@@ -46,7 +48,8 @@ def staged_scoped(k: Catalog) -> DataFrame:
     return S.staged(k.spark, _staged(k), term).select("id", "collection")
 
 
-@query(f"""WITH RECURSIVE {_TERMS}, up(child, ancestor) AS (SELECT id, parent FROM terms WHERE parent IS NOT NULL UNION SELECT u.child, t.parent FROM up u JOIN terms t ON u.ancestor = t.id WHERE t.parent IS NOT NULL),
+@query(f"""WITH RECURSIVE {_TERMS}, up(child, ancestor) AS (SELECT id, parent FROM terms WHERE parent IS NOT NULL UNION SELECT u.child, t.parent FROM up u
+  JOIN terms t ON u.ancestor = t.id WHERE t.parent IS NOT NULL),
  n AS (SELECT child AS id, count(*) AS ancestors FROM up GROUP BY 1)
  SELECT id, label AS name, coalesce(parent, '') AS parents, array_to_string(synonyms, '|') AS synonyms, 'The "' || label || '" itself' AS definition, coalesce(ancestors, 0) AS ancestors FROM terms LEFT JOIN n USING (id)""")
 def onto_from_file(k: Catalog) -> DataFrame:
@@ -76,10 +79,12 @@ def release_bundle(k: Catalog) -> DataFrame:
     return tables.select(col("table").alias("name"), "n", "columns").join(own, "name", "left")
 
 
-_CHANGES = """c AS (SELECT event_id AS event, user_id % 20 AS workspace, CASE WHEN event_id % 97 = 1 THEN 'delete' WHEN event_id % 97 = 40 THEN 'recover' WHEN event_id % 11 IN (0, 5) THEN 'remove' ELSE 'add' END AS op, event_type || (event_id % 30) AS item, value::VARCHAR AS note FROM events)"""
+_CHANGES = """c AS (SELECT event_id AS event, user_id % 20 AS workspace, CASE WHEN event_id % 97 = 1 THEN 'delete' WHEN event_id % 97 = 40 THEN 'recover'
+  WHEN event_id % 11 IN (0, 5) THEN 'remove' ELSE 'add' END AS op, event_type || (event_id % 30) AS item, value::VARCHAR AS note FROM events)"""
 
 
-@query(f"""WITH {_CHANGES}, s AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('delete', 'recover') THEN op END IGNORE NULLS) OVER (PARTITION BY workspace ORDER BY event), 'recover') = 'delete' AS gone FROM c),
+@query(f"""WITH {_CHANGES}, s AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('delete', 'recover') THEN op END IGNORE NULLS) OVER (PARTITION BY workspace
+  ORDER BY event), 'recover') = 'delete' AS gone FROM c),
  d AS (SELECT workspace, arg_max(gone, event) AS deleted FROM s GROUP BY 1), live AS (SELECT * FROM s WHERE NOT gone AND op IN ('add', 'remove')),
  r AS (SELECT *, max(CASE WHEN op = 'remove' THEN event END) OVER (PARTITION BY workspace, item) AS removed FROM live),
  i AS (SELECT workspace, item, min(event) AS event FROM r WHERE op = 'add' AND (removed IS NULL OR event > removed) GROUP BY 1, 2)
@@ -95,16 +100,21 @@ def workspaces_replayed(k: Catalog) -> DataFrame:
 # Files of records
 
 _OFFERS = """d AS (SELECT doc_id, ['geo', 'ebi', 'ncbi', 'ega', 'hca', 'cellxgene'][doc_id % 6 + 1] AS source, ['GSE', 'E-MTAB-', 'PRJNA', 'EGAD', 'x'][doc_id % 5 + 1] || (1000 + doc_id) AS project_id,
- CASE WHEN doc_id % 3 = 2 THEN 'SRP' || doc_id END AS series_id, CASE doc_id % 4 WHEN 1 THEN 'SRR' || (1000000 + doc_id) WHEN 0 THEN 'SRR' || (10000 + doc_id) WHEN 2 THEN '' END AS sample_id, CASE WHEN doc_id % 7 > 2 THEN 'https://h/' || doc_id END AS h5ad_url FROM documents),
- o AS (SELECT doc_id, 'h5ad' AS file_type, h5ad_url AS url FROM d WHERE source = 'cellxgene' AND h5ad_url IS NOT NULL UNION ALL SELECT doc_id, 'hca_portal', h5ad_url FROM d WHERE source = 'hca' AND h5ad_url IS NOT NULL
- UNION ALL SELECT doc_id, 'supplementary', 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(project_id, len(project_id) - 3) || 'nnn/' || project_id || '/suppl/' FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
+ CASE WHEN doc_id % 3 = 2 THEN 'SRP' || doc_id END AS series_id, CASE doc_id % 4 WHEN 1 THEN 'SRR' || (1000000 + doc_id) WHEN 0 THEN 'SRR' || (10000 + doc_id)
+  WHEN 2 THEN '' END AS sample_id, CASE WHEN doc_id % 7 > 2 THEN 'https://h/' || doc_id END AS h5ad_url FROM documents),
+ o AS (SELECT doc_id, 'h5ad' AS file_type, h5ad_url AS url FROM d WHERE source = 'cellxgene' AND h5ad_url IS NOT NULL UNION ALL SELECT doc_id, 'hca_portal', h5ad_url
+  FROM d WHERE source = 'hca' AND h5ad_url IS NOT NULL
+ UNION ALL SELECT doc_id, 'supplementary', 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(project_id, len(project_id) - 3) || 'nnn/' || project_id || '/suppl/' FROM d
+  WHERE source = 'geo' AND project_id LIKE 'GSE%'
  UNION ALL SELECT doc_id, 'geo_soft', 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(project_id, len(project_id) - 3) || 'nnn/' || project_id || '/soft/' || project_id || '_family.soft.gz' FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
  UNION ALL SELECT doc_id, 'geo_page', 'https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi?acc=' || project_id FROM d WHERE source = 'geo' AND project_id LIKE 'GSE%'
- UNION ALL SELECT doc_id, 'fastq', 'ftp://ftp.sra.ebi.ac.uk/vol1/fastq/' || left(sample_id, 6) || '/' || CASE WHEN len(sample_id) > 9 THEN right(sample_id, 3) || '/' ELSE '' END || sample_id || '/' FROM d WHERE source = 'ncbi' AND sample_id LIKE 'SRR%'
+ UNION ALL SELECT doc_id, 'fastq', 'ftp://ftp.sra.ebi.ac.uk/vol1/fastq/' || left(sample_id, 6) || '/' || CASE WHEN len(sample_id) > 9 THEN right(sample_id, 3) || '/'
+  ELSE '' END || sample_id || '/' FROM d WHERE source = 'ncbi' AND sample_id LIKE 'SRR%'
  UNION ALL SELECT doc_id, 'sra_page', 'https://www.ncbi.nlm.nih.gov/sra/?term=' || series_id FROM d WHERE source = 'ncbi' AND series_id LIKE 'SRP%'
  UNION ALL SELECT doc_id, 'bioproject_page', 'https://www.ncbi.nlm.nih.gov/bioproject/' || project_id FROM d WHERE source = 'ncbi' AND project_id LIKE 'PRJNA%'
  UNION ALL SELECT doc_id, 'arrayexpress_page', 'https://www.ebi.ac.uk/biostudies/arrayexpress/studies/' || project_id FROM d WHERE source = 'ebi' AND project_id LIKE 'E-%'
- UNION ALL SELECT doc_id, t, 'https://www.ebi.ac.uk/biostudies/files/' || project_id || '/' || project_id || '.' || t || '.txt' FROM d, (VALUES ('sdrf'), ('idf')) v(t) WHERE source = 'ebi' AND project_id LIKE 'E-%'
+ UNION ALL SELECT doc_id, t, 'https://www.ebi.ac.uk/biostudies/files/' || project_id || '/' || project_id || '.' || t || '.txt' FROM d, (VALUES ('sdrf'), ('idf')) v(t)
+  WHERE source = 'ebi' AND project_id LIKE 'E-%'
  UNION ALL SELECT doc_id, 'ega_metadata', 'https://ega-archive.org/datasets/' || project_id FROM d WHERE source = 'ega' AND project_id LIKE 'EGA%')"""
 
 
@@ -130,7 +140,8 @@ def download_files(k: Catalog) -> DataFrame:
  f AS (SELECT id, min(place) AS place, arg_max(url, place) FILTER (url IS NOT NULL) AS url FROM a GROUP BY 1), s AS (SELECT id, url FROM f ORDER BY place, id LIMIT 300),
  m AS (SELECT s.id, o.file_type, o.url, 'matched' AS state FROM s JOIN o ON o.doc_id = s.id WHERE file_type IN ('h5ad', 'fastq', 'supplementary')),
  u AS (SELECT s.*, (SELECT string_agg(DISTINCT file_type, ',' ORDER BY file_type) FROM o WHERE o.doc_id = s.id) AS has FROM s WHERE id NOT IN (SELECT id FROM m))
- SELECT id::VARCHAR AS id, file_type, url, state FROM m UNION ALL SELECT id::VARCHAR, CASE WHEN url IS NOT NULL THEN 'file' ELSE has END, url, CASE WHEN url IS NOT NULL THEN 'inline' WHEN has IS NOT NULL THEN 'unmatched' ELSE 'unresolved' END FROM u""")
+ SELECT id::VARCHAR AS id, file_type, url, state FROM m UNION ALL SELECT id::VARCHAR, CASE WHEN url IS NOT NULL THEN 'file' ELSE has END, url, CASE
+  WHEN url IS NOT NULL THEN 'inline' WHEN has IS NOT NULL THEN 'unmatched' ELSE 'unresolved' END FROM u""")
 def download_request(k: Catalog) -> DataFrame:
     """A request for files of three kinds: the first 300 ids, addresses that came with it, and what was not found."""
     i = col("event_id")

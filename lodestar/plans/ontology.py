@@ -18,7 +18,8 @@ col, lit = F.col, F.lit
 
 #: Terms: regions over nations over customers, with synonyms; customers are leaves with few values, nations have many.
 _TERMS = """terms AS (SELECT 'R:' || r_regionkey AS id, lower(r_name) AS label, [lower(r_name) || ' area', 'zone ' || r_regionkey] AS synonyms, NULL AS parent FROM region
- UNION ALL SELECT 'N:' || n_nationkey, lower(n_name), ['country ' || n_nationkey], 'R:' || n_regionkey FROM nation UNION ALL SELECT 'C:' || c_custkey, lower(c_name), []::VARCHAR[], 'N:' || c_nationkey FROM customer)"""
+ UNION ALL SELECT 'N:' || n_nationkey, lower(n_name), ['country ' || n_nationkey], 'R:' || n_regionkey FROM nation UNION ALL
+  SELECT 'C:' || c_custkey, lower(c_name), []::VARCHAR[], 'N:' || c_nationkey FROM customer)"""
 
 
 def terms(k: Catalog) -> DataFrame:
@@ -32,7 +33,7 @@ def terms(k: Catalog) -> DataFrame:
     )
 
 
-@query("SELECT n_nationkey, 'N:' || n_nationkey AS id, n_name AS name, 'R:' || n_regionkey AS parents, 'country ' || n_nationkey || '|land' AS synonyms, 'a \"land\" of ' || n_name AS definition FROM nation WHERE n_nationkey % 5 <> 4")
+@query("""SELECT n_nationkey, 'N:' || n_nationkey AS id, n_name AS name, 'R:' || n_regionkey AS parents, 'country ' || n_nationkey || '|land' AS synonyms, 'a \"land\" of ' || n_name AS definition FROM nation WHERE n_nationkey % 5 <> 4""")
 def parse_obo(k: Catalog) -> DataFrame:
     """Term stanzas made of the nations; obsolete ones (every fifth) go. Quotation marks inside a definition are kept."""
     key = col("n_nationkey").cast("string")
@@ -61,7 +62,9 @@ def onto_build(k: Catalog) -> DataFrame:
     return kept(both.groupBy("id").agg(F.max_by("label", "age").alias("label")), "ontology")
 
 
-_VALUES = """db AS (SELECT CASE c_custkey % 4 WHEN 0 THEN upper(r_name) WHEN 1 THEN ' ' || lower(r_name) || ' area' WHEN 2 THEN 'Country ' || n_nationkey ELSE 'EFO_000' || c_custkey END AS value, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
+_VALUES = """db AS (SELECT CASE c_custkey % 4 WHEN 0 THEN upper(r_name) WHEN 1 THEN ' ' || lower(r_name) || ' area' WHEN 2 THEN 'Country ' || n_nationkey
+  ELSE 'EFO_000' || c_custkey END AS value, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  JOIN region ON r_regionkey = n_regionkey)"""
 
 
 def db_values(k: Catalog) -> DataFrame:
@@ -71,7 +74,8 @@ def db_values(k: Catalog) -> DataFrame:
     return k.table("orders").join(c.select(col("c_custkey").alias("o_custkey"), value.alias("value")), "o_custkey").select("value")
 
 
-_MAP = f"""{_TERMS}, {_VALUES}, names AS (SELECT id, label AS name FROM terms UNION SELECT id, unnest(synonyms) FROM terms), counted AS (SELECT value, count(*) AS n FROM db WHERE NOT regexp_matches(value, '^[A-Z]+_[0-9]+$') GROUP BY 1),
+_MAP = f"""{_TERMS}, {_VALUES}, names AS (SELECT id, label AS name FROM terms UNION SELECT id, unnest(synonyms) FROM terms), counted AS (SELECT value, count(*) AS n
+  FROM db WHERE NOT regexp_matches(value, '^[A-Z]+_[0-9]+$') GROUP BY 1),
  map AS (SELECT id, value, n FROM names JOIN counted ON lower(trim(value)) = name)"""
 
 
@@ -87,7 +91,9 @@ def value_map(k: Catalog) -> DataFrame:
     return counted.join(names, F.lower(F.trim("value")) == col("name")).select("id", "value", "n")
 
 
-@query(f"""WITH {_MAP}, kids AS (SELECT p.id AS term, count(*) AS k FROM terms p JOIN terms c ON c.parent = p.id GROUP BY 1), below AS (SELECT parent AS term, id AS below, 1 AS depth FROM terms WHERE parent IS NOT NULL UNION ALL SELECT g.parent, t.id, 2 FROM terms t JOIN terms g ON t.parent = g.id WHERE g.parent IS NOT NULL),
+@query(f"""WITH {_MAP}, kids AS (SELECT p.id AS term, count(*) AS k FROM terms p JOIN terms c ON c.parent = p.id
+  GROUP BY 1), below AS (SELECT parent AS term, id AS below, 1 AS depth FROM terms WHERE parent IS NOT NULL UNION ALL SELECT g.parent, t.id, 2 FROM terms t
+  JOIN terms g ON t.parent = g.id WHERE g.parent IS NOT NULL),
  v AS (SELECT term, depth, value, n FROM below JOIN map ON map.id = below.below), c AS (SELECT term, count(DISTINCT value) FILTER (depth = 1) AS direct FROM v GROUP BY 1)
  SELECT term, value, n FROM v JOIN c USING (term) WHERE depth = 1 OR direct < 5 GROUP BY ALL""")
 def onto_expand_values(k: Catalog) -> DataFrame:
@@ -100,7 +106,8 @@ def onto_expand_values(k: Catalog) -> DataFrame:
     return v.join(direct, "term").filter("depth = 1 or direct < 5").select("term", "value", "n").distinct()
 
 
-_ASKED = """asked AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Old World' WHEN 1 THEN 'asia' WHEN 2 THEN 'Zone ' || (doc_id % 7) WHEN 3 THEN 'nation_' || (doc_id % 30) || ' x' WHEN 4 THEN 'country ' || (doc_id % 30) ELSE 'nothing known ' || lang END AS term FROM documents)"""
+_ASKED = """asked AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Old World' WHEN 1 THEN 'asia' WHEN 2 THEN 'Zone ' || (doc_id % 7)
+  WHEN 3 THEN 'nation_' || (doc_id % 30) || ' x' WHEN 4 THEN 'country ' || (doc_id % 30) ELSE 'nothing known ' || lang END AS term FROM documents)"""
 
 
 def asked(k: Catalog) -> DataFrame:
@@ -112,8 +119,10 @@ def asked(k: Catalog) -> DataFrame:
 
 @query(f"""WITH {_TERMS}, {_ASKED}, few AS (SELECT * FROM terms WHERE id NOT LIKE 'C:%'), u AS (SELECT 'old world' AS name, unnest(['R:0', 'R:2', 'R:3']) AS id),
  f AS (SELECT doc_id, term, 0 AS step, u.id FROM asked JOIN u ON lower(term) = name UNION ALL SELECT doc_id, term, 1, id FROM asked JOIN few ON lower(term) = label
- UNION ALL SELECT doc_id, term, 2, id FROM asked JOIN (SELECT id, unnest(synonyms) AS s FROM few) ON lower(term) = s UNION ALL SELECT doc_id, term, 3, id FROM asked JOIN few ON lower(split_part(term, ' ', 1)) = label)
- SELECT doc_id, term, ['umbrella', 'exact', 'synonym', 'fuzzy'][s + 1] AS step, ids FROM (SELECT doc_id, term, min(step) AS s, string_agg(id, ',' ORDER BY id) FILTER (step = least_step) AS ids FROM (SELECT *, min(step) OVER (PARTITION BY doc_id) AS least_step FROM f) GROUP BY 1, 2)
+ UNION ALL SELECT doc_id, term, 2, id FROM asked JOIN (SELECT id, unnest(synonyms) AS s FROM few) ON lower(term) = s UNION ALL SELECT doc_id, term, 3, id FROM asked
+  JOIN few ON lower(split_part(term, ' ', 1)) = label)
+ SELECT doc_id, term, ['umbrella', 'exact', 'synonym', 'fuzzy'][s + 1] AS step, ids FROM (SELECT doc_id, term, min(step) AS s, string_agg(id, ','
+  ORDER BY id) FILTER (step = least_step) AS ids FROM (SELECT *, min(step) OVER (PARTITION BY doc_id) AS least_step FROM f) GROUP BY 1, 2)
  UNION ALL SELECT doc_id, term, 'none', NULL FROM asked WHERE doc_id NOT IN (SELECT doc_id FROM f)""")
 def onto_resolve_ranked(k: Catalog) -> DataFrame:
     """Terms resolved in steps: umbrella words, exact labels, synonyms, labels of a part of the words; the first step that
@@ -131,7 +140,9 @@ def onto_resolve_ranked(k: Catalog) -> DataFrame:
     return x.select("doc_id", "term", F.coalesce(F.get(names, col("b.step")), lit("none")).alias("step"), col("b.ids").alias("ids"))
 
 
-@query("""WITH l AS (SELECT user_id % 40 AS term, event_type AS canonical, value AS confidence, event_id FROM events), b AS (SELECT term, canonical, arg_max(confidence, event_id) AS confidence FROM l GROUP BY 1, 2) SELECT term, arg_max(canonical, (confidence, canonical)) AS canonical, max(confidence) AS confidence FROM b GROUP BY 1""")
+@query("""WITH l AS (SELECT user_id % 40 AS term, event_type AS canonical, value AS confidence, event_id
+  FROM events), b AS (SELECT term, canonical, arg_max(confidence, event_id) AS confidence FROM l GROUP BY 1, 2)
+  SELECT term, arg_max(canonical, (confidence, canonical)) AS canonical, max(confidence) AS confidence FROM b GROUP BY 1""")
 def learned_synonyms(k: Catalog) -> DataFrame:
     """Synonyms learned from use: the last confidence of a pair counts, and of a term's pairs the surest one."""
     log = k.table("events").select((col("user_id") % 40).alias("term"), col("event_type").alias("canonical"), "value", "event_id")
@@ -139,8 +150,10 @@ def learned_synonyms(k: Catalog) -> DataFrame:
     return pairs.groupBy("term").agg(F.max(F.struct("confidence", "canonical")).alias("b")).select("term", "b.canonical", "b.confidence")
 
 
-@query("""WITH a AS (SELECT doc_id, [lang, source] AS ts FROM documents), g AS (SELECT source AS t, lang AS g FROM documents GROUP BY ALL), x AS (SELECT DISTINCT a.t, b.t AS other FROM g a JOIN g b USING (g))
- SELECT doc_id, list_aggregate(list_sort(list_distinct(flatten([[t], coalesce(o, [])]))), 'string_agg', ',') AS terms FROM (SELECT doc_id, source AS t FROM documents) LEFT JOIN (SELECT t, list(other) AS o FROM x GROUP BY 1) USING (t)""")
+@query("""WITH a AS (SELECT doc_id, [lang, source] AS ts FROM documents), g AS (SELECT source AS t, lang AS g FROM documents
+  GROUP BY ALL), x AS (SELECT DISTINCT a.t, b.t AS other FROM g a JOIN g b USING (g))
+ SELECT doc_id, list_aggregate(list_sort(list_distinct(flatten([[t], coalesce(o, [])]))), 'string_agg', ',') AS terms FROM (SELECT doc_id, source AS t FROM documents)
+  LEFT JOIN (SELECT t, list(other) AS o FROM x GROUP BY 1) USING (t)""")
 def synonym_expand(k: Catalog) -> DataFrame:
     """Terms with all terms of their groups."""
     d = k.table("documents")
@@ -150,7 +163,7 @@ def synonym_expand(k: Catalog) -> DataFrame:
     return x.select("doc_id", F.array_join(F.array_sort(F.array_union(F.array("t"), F.coalesce("o", F.array().cast("array<string>")))), ",").alias("terms"))
 
 
-@query("WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END AS v FROM documents) SELECT doc_id, v FROM d WHERE v IS NULL OR v NOT IN ('en')")
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END AS v FROM documents) SELECT doc_id, v FROM d WHERE v IS NULL OR v NOT IN ('en')""")
 def filter_null_category(k: Catalog) -> DataFrame:
     i = col("doc_id") % 4
     return k.table("documents").select("doc_id", F.when(i == 1, "").when(i != 0, col("lang")).alias("v")).filter(P.not_in("v", ["en"], keep_null=True))
@@ -165,7 +178,8 @@ def fts_sanitised(k: Catalog) -> DataFrame:
 # Records of archives, staged as nested rows
 
 
-_STAGED = """staged AS (SELECT p_partkey AS id, p_name AS title, [p_type, lower(split_part(p_name, ' ', 1))] AS tissues, CASE WHEN p_size % 4 = 0 THEN []::VARCHAR[] ELSE [p_brand] END AS diseases, CASE p_size % 3 WHEN 0 THEN ['Homo sapiens'] WHEN 1 THEN ['Mus musculus', 'Homo sapiens'] ELSE ['Mus musculus'] END AS organisms, p_size AS n FROM part)"""
+_STAGED = """staged AS (SELECT p_partkey AS id, p_name AS title, [p_type, lower(split_part(p_name, ' ', 1))] AS tissues, CASE WHEN p_size % 4 = 0 THEN []::VARCHAR[]
+  ELSE [p_brand] END AS diseases, CASE p_size % 3 WHEN 0 THEN ['Homo sapiens'] WHEN 1 THEN ['Mus musculus', 'Homo sapiens'] ELSE ['Mus musculus'] END AS organisms, p_size AS n FROM part)"""
 
 
 def staged(k: Catalog) -> DataFrame:
@@ -183,7 +197,9 @@ def label_gate(labels: str, words: list[str], free: str) -> Column:
     return F.when(F.size(labels) > 0, F.exists(labels, either)).otherwise(ranking.hits(F.lower(free), [w.lower() for w in words]) > 0)
 
 
-@query(f"""WITH {_STAGED}, g AS (SELECT *, list_bool_or(list_transform(tissues, lambda x: contains(lower(x), 'small') OR contains('small', lower(x)))) AS t, CASE WHEN len(diseases) > 0 THEN list_bool_or(list_transform(diseases, lambda x: contains(lower(x), 'brand#1') OR contains('brand#1', lower(x)) OR contains(lower(x), 'gear') OR contains('gear', lower(x)))) ELSE contains(lower(title), 'brand#1') OR contains(lower(title), 'gear') END AS d FROM staged)
+@query(f"""WITH {_STAGED}, g AS (SELECT *, list_bool_or(list_transform(tissues, lambda x: contains(lower(x), 'small') OR contains('small', lower(x)))) AS t, CASE
+  WHEN len(diseases) > 0 THEN list_bool_or(list_transform(diseases, lambda x: contains(lower(x), 'brand#1') OR contains('brand#1', lower(x)) OR contains(lower(x), 'gear')
+  OR contains('gear', lower(x)))) ELSE contains(lower(title), 'brand#1') OR contains(lower(title), 'gear') END AS d FROM staged)
  SELECT id, title, organisms[1] AS organism, len(tissues) AS n_tissues FROM g WHERE t AND d""")
 def nested_gates(k: Catalog) -> DataFrame:
     """Hard gates on nested labels: the tissue and the disease must both be met."""
@@ -191,7 +207,8 @@ def nested_gates(k: Catalog) -> DataFrame:
     return x.select("id", "title", col("organisms")[0]["label"].alias("organism"), F.size("tissues").alias("n_tissues"))
 
 
-@query(f"""WITH {_STAGED} SELECT id, (contains(lower(title), 'bolt'))::INT + (contains(lower(title), 'red'))::INT AS hits FROM staged WHERE (contains(lower(title), 'bolt') OR contains(lower(title), 'red')) AND list_contains(organisms, 'Mus musculus')""")
+@query(f"""WITH {_STAGED} SELECT id, (contains(lower(title), 'bolt'))::INT + (contains(lower(title), 'red'))::INT AS hits FROM staged
+  WHERE (contains(lower(title), 'bolt') OR contains(lower(title), 'red')) AND list_contains(organisms, 'Mus musculus')""")
 def keyword_species_gate(k: Catalog) -> DataFrame:
     """Experiments with any keyword, of the species asked for."""
     x = staged(k).select("id", ranking.hits(F.lower("title"), ["bolt", "red"]).alias("hits"), "organisms")
@@ -206,7 +223,8 @@ def filter_else_sweep(k: Catalog) -> DataFrame:
     return (x.orderBy("id").limit(150) if found.isEmpty() else found).select("id")
 
 
-@query("""SELECT p_partkey AS id, 'SRX' || (1000000 + p_partkey) AS accession, CASE p_size % 3 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'Mus musculus' END AS organism FROM part WHERE p_type IN ('PROMO', 'SMALL')""")
+@query("""SELECT p_partkey AS id, 'SRX' || (1000000 + p_partkey) AS accession, CASE p_size % 3 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'Mus musculus' END AS organism
+  FROM part WHERE p_type IN ('PROMO', 'SMALL')""")
 def archive_fragments(k: Catalog) -> DataFrame:
     """Fields taken out of XML fragments, of experiments of the strategies asked for."""
     organism = F.when(col("p_size") % 3 == 0, "Homo sapiens").when(col("p_size") % 3 == 1, "Mus musculus")
@@ -216,8 +234,10 @@ def archive_fragments(k: Catalog) -> DataFrame:
     return x.filter(at("Summary/Experiment/@strategy").isin("PROMO", "SMALL")).select("id", at("Summary/Experiment/@acc").alias("accession"), at("Summary/Organism/@ScientificName").alias("organism"))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE NULL END AS lo, doc_id % 30 AS hi, CASE doc_id % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'month' WHEN 2 THEN 'week' ELSE 'day' END AS unit FROM documents)
- SELECT doc_id, round(lo / CASE unit WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 ELSE 365 END, 6) AS lo_years, round(hi / CASE unit WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 ELSE 365 END, 6) AS hi_years FROM d""")
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE NULL END AS lo, doc_id % 30 AS hi, CASE doc_id % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'month'
+  WHEN 2 THEN 'week' ELSE 'day' END AS unit FROM documents)
+ SELECT doc_id, round(lo / CASE unit WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'week' THEN 52 ELSE 365 END, 6) AS lo_years, round(hi / CASE unit WHEN 'year' THEN 1
+  WHEN 'month' THEN 12 WHEN 'week' THEN 52 ELSE 365 END, 6) AS hi_years FROM d""")
 def age_in_years(k: Catalog) -> DataFrame:
     i = col("doc_id")
     d = k.table("documents").select("doc_id", F.when(i % 3 == 0, 2).alias("lo"), (i % 30).alias("hi"), F.get(F.array(*map(lit, ("year", "month", "week", "day"))), (i % 4).cast("int")).alias("unit"))
@@ -225,7 +245,8 @@ def age_in_years(k: Catalog) -> DataFrame:
     return d.select("doc_id", F.round(col("lo") / per, 6).alias("lo_years"), F.round(col("hi") / per, 6).alias("hi_years"))
 
 
-@query("""SELECT source AS field, list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS wanted, min(confidence) AS confidence FROM (SELECT source, lang, (1 + doc_id % 10) / 10 AS confidence FROM documents) GROUP BY 1""")
+@query("""SELECT source AS field, list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS wanted, min(confidence) AS confidence
+  FROM (SELECT source, lang, (1 + doc_id % 10) / 10 AS confidence FROM documents) GROUP BY 1""")
 def merged_conditions(k: Catalog) -> DataFrame:
     """Conditions on one field are one: all their values, the least confidence."""
     d = k.table("documents").select(col("source").alias("field"), "lang", ((1 + col("doc_id") % 10) / 10).alias("c"))

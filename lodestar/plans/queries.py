@@ -19,7 +19,8 @@ ORACLES: dict[str, str] = {}
 col = F.col
 
 SAMPLES = """samples AS (SELECT o.o_orderkey AS pk, o.o_custkey AS project_pk, s.series_pk, lower(r.r_name) AS source_database, o.o_orderpriority AS tissue,
- NULLIF(o.o_orderpriority, '4-NOT SPECIFIED') AS tissue_standard, o.o_orderstatus AS disease_category, CASE WHEN s.series_pk IS NULL THEN NULL ELSE o.o_totalprice END AS n_cells, o.o_orderdate AS publication_date
+ NULLIF(o.o_orderpriority, '4-NOT SPECIFIED') AS tissue_standard, o.o_orderstatus AS disease_category, CASE WHEN s.series_pk IS NULL THEN NULL
+  ELSE o.o_totalprice END AS n_cells, o.o_orderdate AS publication_date
  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
  LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS series_pk FROM lineitem GROUP BY 1) s ON s.l_orderkey = o.o_orderkey)"""
 
@@ -81,7 +82,8 @@ def facet_unfiltered(k: Catalog) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_type) WHEN 1 THEN p_type || ' ' ELSE p_type END AS v FROM part),
- c AS (SELECT lower(trim(v)) AS norm, v, count(*) AS n FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, v) AS i, sum(n) OVER (PARTITION BY norm) AS t FROM c)
+ c AS (SELECT lower(trim(v)) AS norm, v, count(*) AS n FROM v GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY norm
+  ORDER BY n DESC, v) AS i, sum(n) OVER (PARTITION BY norm) AS t FROM c)
  SELECT v AS value, t::BIGINT AS count FROM r WHERE i = 1""")
 def facet_case_folded(k: Catalog) -> DataFrame:
     t = col("p_type")
@@ -121,7 +123,8 @@ def filter_like_any(k: Catalog) -> DataFrame:
     return _pks(k, P.like_any("tissue_standard", ["urg", "LOW"]))
 
 
-@query("WITH {S} SELECT pk, tissue_standard FROM samples WHERE (tissue_standard IS NULL OR tissue_standard NOT ILIKE '%urg%') AND (tissue_standard IS NULL OR tissue_standard NOT ILIKE '%high%')")
+@query("""WITH {S} SELECT pk, tissue_standard FROM samples WHERE (tissue_standard IS NULL OR tissue_standard NOT ILIKE '%urg%') AND (tissue_standard IS NULL
+  OR tissue_standard NOT ILIKE '%high%')""")
 def filter_not_like_null_safe(k: Catalog) -> DataFrame:
     return _pks(k, P.not_like("tissue_standard", ["urg", "high"]))
 
@@ -179,7 +182,7 @@ def filter_tristate(k: Catalog) -> DataFrame:
     return x.filter(P.flag("good", False)).select("doc_id")
 
 
-@query("WITH {S} SELECT s.pk, s.tissue_standard FROM samples s LEFT JOIN part p ON p.p_partkey = s.series_pk WHERE s.tissue ILIKE '%green%' OR p.p_name ILIKE '%green%'")
+@query("""WITH {S} SELECT s.pk, s.tissue_standard FROM samples s LEFT JOIN part p ON p.p_partkey = s.series_pk WHERE s.tissue ILIKE '%green%' OR p.p_name ILIKE '%green%'""")
 def filter_freetext_fallback(k: Catalog) -> DataFrame:
     x = k.samples().join(k.series().select("series_pk", "title"), "series_pk", "left")
     return x.filter(P.like_any("tissue", ["green"]) | P.like_any("title", ["green"])).select("pk", "tissue_standard")
@@ -203,7 +206,7 @@ def anti_join_null_fk(k: Catalog) -> DataFrame:
     return k.samples().join(k.series().filter("cell_count >= 25"), "series_pk", "left_anti").select("pk")
 
 
-@query("SELECT o_orderkey AS pk FROM orders o WHERE o_orderstatus = 'F' OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
+@query("""SELECT o_orderkey AS pk FROM orders o WHERE o_orderstatus = 'F' OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')""")
 def exists_or_parent(k: Catalog) -> DataFrame:
     hit = k.celltypes().filter("name = 'R'").select(col("sample_pk").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
     return k.table("orders").select("o_orderkey", "o_orderstatus").join(hit, "o_orderkey", "left").filter("o_orderstatus = 'F' or hit").select(col("o_orderkey").alias("pk"))
@@ -228,7 +231,8 @@ def components(k: Catalog) -> DataFrame:
     return fusion.connected(k.links())
 
 
-@query("""SELECT coalesce(a.nk, b.nk)::INTEGER AS nation, coalesce(a.n, 0) AS projects, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS nk, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) a
+@query("""SELECT coalesce(a.nk, b.nk)::INTEGER AS nation, coalesce(a.n, 0) AS projects, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS nk, count(*) AS n
+  FROM customer WHERE c_acctbal > 5000 GROUP BY 1) a
  FULL OUTER JOIN (SELECT s_nationkey AS nk, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.nk = b.nk""")
 def stats_sources_full_outer(k: Catalog) -> DataFrame:
     a = k.table("customer").filter("c_acctbal > 5000").groupBy(col("c_nationkey").alias("nation")).agg(count("projects"))
@@ -236,7 +240,8 @@ def stats_sources_full_outer(k: Catalog) -> DataFrame:
     return a.join(b, "nation", "full_outer").select("nation", F.coalesce("projects", F.lit(0).cast("long")).alias("projects"), F.coalesce("suppliers", F.lit(0).cast("long")).alias("suppliers"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+@query("""WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
  SELECT l_orderkey AS sample_pk, l_partkey AS part, n AS true_count FROM r WHERE i <= 2""")
 def context_capped(k: Catalog) -> DataFrame:
     w = Window.partitionBy("l_orderkey")
@@ -256,7 +261,8 @@ def stats_group_null_bucket(k: Catalog) -> DataFrame:
     return k.samples().groupBy(col("tissue_standard").alias("value")).agg(count("count"), F.coalesce(_cents("n_cells"), F.lit(0.0)).alias("total_cells"))
 
 
-@query("""SELECT p_type AS assay, p_brand AS platform, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT p_size::VARCHAR, ',' ORDER BY p_size::VARCHAR) AS sizes FROM part
+@query("""SELECT p_type AS assay, p_brand AS platform, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT p_size::VARCHAR, ','
+  ORDER BY p_size::VARCHAR) AS sizes FROM part
  GROUP BY 1, 2 HAVING count(*) >= 12 ORDER BY n DESC, assay, platform LIMIT 40""")
 def agg_multi_having(k: Catalog) -> DataFrame:
     sizes = F.array_join(F.array_sort(F.collect_set(col("cell_count").cast("string"))), ",").alias("sizes")
@@ -264,12 +270,12 @@ def agg_multi_having(k: Catalog) -> DataFrame:
     return x.orderBy(F.desc("n"), "assay", "platform").limit(40)
 
 
-@query("WITH {S} SELECT tissue_standard AS value, count(*) AS n FROM samples WHERE tissue_standard IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, value LIMIT 3")
+@query("""WITH {S} SELECT tissue_standard AS value, count(*) AS n FROM samples WHERE tissue_standard IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, value LIMIT 3""")
 def agg_distribution(k: Catalog) -> DataFrame:
     return k.samples().filter("tissue_standard is not null").groupBy(col("tissue_standard").alias("value")).agg(count()).filter("n >= 2").orderBy(F.desc("n"), "value").limit(3)
 
 
-@query("WITH {S} SELECT source_database, disease_category, count(*) AS n, round((sum(n_cells::DECIMAL(18,2))::DOUBLE / count(n_cells)), 4) AS mean_cells FROM samples GROUP BY 1, 2")
+@query("""WITH {S} SELECT source_database, disease_category, count(*) AS n, round((sum(n_cells::DECIMAL(18,2))::DOUBLE / count(n_cells)), 4) AS mean_cells FROM samples GROUP BY 1, 2""")
 def agg_cross(k: Catalog) -> DataFrame:
     return k.samples().groupBy("source_database", "disease_category").agg(count(), F.round(_cents("n_cells") / F.count("n_cells"), 4).alias("mean_cells"))
 
@@ -279,7 +285,7 @@ def agg_distinct_multi(k: Catalog) -> DataFrame:
     return k.series().groupBy("assay").agg(F.countDistinct("platform").alias("platforms"), F.countDistinct("title").alias("titles"), F.max("series_pk").alias("last"))
 
 
-@query("WITH {S} SELECT count(*) AS total, count(tissue_standard) AS annotated, round_even(100.0 * count(tissue_standard) / count(*), 1)::DOUBLE AS coverage FROM samples")
+@query("""WITH {S} SELECT count(*) AS total, count(tissue_standard) AS annotated, round_even(100.0 * count(tissue_standard) / count(*), 1)::DOUBLE AS coverage FROM samples""")
 def agg_coverage(k: Catalog) -> DataFrame:
     return k.samples().agg(count("total"), F.count("tissue_standard").alias("annotated")).withColumn("coverage", F.bround(100.0 * col("annotated") / col("total"), 1).cast("double"))
 
@@ -290,7 +296,8 @@ def field_profile(k: Catalog) -> DataFrame:
     return facets.profile(k.samples().select("tissue_standard", "series_pk"), ["tissue_standard", "series_pk"])
 
 
-@query("SELECT 'orders' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'types', count(DISTINCT p_type) FROM part UNION ALL SELECT 'largest', max(o_totalprice) FROM orders")
+@query("""SELECT 'orders' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL
+  SELECT 'types', count(DISTINCT p_type) FROM part UNION ALL SELECT 'largest', max(o_totalprice) FROM orders""")
 def stats_overall_unpivot(k: Catalog) -> DataFrame:
     x = k.table("orders").agg(F.count("*").cast("double").alias("orders"), F.max("o_totalprice").alias("largest")).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), col(m).alias("value")) for m in ("orders", "largest")])).alias("x")).select("x.*")
     y = k.table("customer").select(F.lit("customers").alias("metric")).groupBy("metric").agg(F.count("*").cast("double").alias("value"))
@@ -298,12 +305,13 @@ def stats_overall_unpivot(k: Catalog) -> DataFrame:
     return x.union(y).union(z)
 
 
-@query("WITH {S} SELECT source_database, count(*) AS samples, count_if(tissue_standard IS NOT NULL)::BIGINT AS with_tissue, count(DISTINCT project_pk) AS projects FROM samples GROUP BY 1")
+@query("""WITH {S} SELECT source_database, count(*) AS samples, count_if(tissue_standard IS NOT NULL)::BIGINT AS with_tissue, count(DISTINCT project_pk) AS projects
+  FROM samples GROUP BY 1""")
 def stats_by_source(k: Catalog) -> DataFrame:
     return k.samples().groupBy("source_database").agg(count("samples"), F.count_if(col("tissue_standard").isNotNull()).alias("with_tissue"), F.countDistinct("project_pk").alias("projects"))
 
 
-@query("WITH {S} SELECT p_type AS assay, count(DISTINCT p_partkey) AS series, count(s.pk) AS samples FROM part LEFT JOIN samples s ON s.series_pk = p_partkey GROUP BY 1")
+@query("""WITH {S} SELECT p_type AS assay, count(DISTINCT p_partkey) AS series, count(s.pk) AS samples FROM part LEFT JOIN samples s ON s.series_pk = p_partkey GROUP BY 1""")
 def stats_by_assay(k: Catalog) -> DataFrame:
     per = k.samples().filter("series_pk is not null").groupBy("series_pk").agg(count())
     return k.series().join(per, "series_pk", "left").groupBy("assay").agg(count("series"), F.sum(F.coalesce("n", F.lit(0))).alias("samples"))
@@ -331,17 +339,19 @@ def catalogue_search(k: Catalog) -> DataFrame:
     return k.series().filter(P.like_any("assay", ["e"])).groupBy(col("assay").alias("name")).agg(count()).filter("n >= 10").orderBy(F.lower("name"))
 
 
-@query("WITH {S} SELECT value, n FROM (SELECT tissue AS value, count(*) AS n FROM samples WHERE lower(trim(tissue)) NOT IN ('4-not specified') GROUP BY 1) ORDER BY n DESC, value LIMIT 15")
+@query("""WITH {S} SELECT value, n FROM (SELECT tissue AS value, count(*) AS n FROM samples WHERE lower(trim(tissue)) NOT IN ('4-not specified') GROUP BY 1)
+  ORDER BY n DESC, value LIMIT 15""")
 def topn_excluding(k: Catalog) -> DataFrame:
     return k.table("orders").filter(~P.folded_in("o_orderpriority", ["4-not specified"])).groupBy(col("o_orderpriority").alias("value")).agg(count()).orderBy(F.desc("n"), "value").limit(15)
 
 
-@query("WITH {S} SELECT count_if(series_pk IS NOT NULL)::BIGINT AS with_series, count_if(tissue_standard IS NOT NULL AND tissue_standard <> '')::BIGINT AS with_tissue FROM samples")
+@query("""WITH {S} SELECT count_if(series_pk IS NOT NULL)::BIGINT AS with_series, count_if(tissue_standard IS NOT NULL AND tissue_standard <> '')::BIGINT AS with_tissue FROM samples""")
 def availability_counts(k: Catalog) -> DataFrame:
     return k.samples().agg(F.count_if(P.present("series_pk")).alias("with_series"), F.count_if(P.present("tissue_standard")).alias("with_tissue"))
 
 
-@query("SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, round(sum(round(value * 100)::BIGINT) * p / 1000000.0, 9)::DOUBLE AS cost FROM events JOIN (VALUES ('click', 3), ('view', 1), ('purchase', 15)) t(m, p) ON m = event_type GROUP BY 1, 2, p")
+@query("""SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, round(sum(round(value * 100)::BIGINT) * p / 1000000.0, 9)::DOUBLE AS cost
+  FROM events JOIN (VALUES ('click', 3), ('view', 1), ('purchase', 15)) t(m, p) ON m = event_type GROUP BY 1, 2, p""")
 def token_cost(k: Catalog) -> DataFrame:
     prices = inline(k, "model string, p int", [("click", 3), ("view", 1), ("purchase", 15)])
     x = k.table("events").select(col("event_type").alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round(col("value") * 100).cast("long").alias("tokens")).join(F.broadcast(prices), "model")
@@ -351,18 +361,21 @@ def token_cost(k: Catalog) -> DataFrame:
 # Windows, set operations, planning
 
 
-@query("WITH {S}, r AS (SELECT pk, source_database, row_number() OVER (PARTITION BY source_database ORDER BY pk) AS i FROM samples WHERE disease_category = 'F') SELECT pk, source_database FROM r WHERE i <= 40")
+@query("""WITH {S}, r AS (SELECT pk, source_database, row_number() OVER (PARTITION BY source_database ORDER BY pk) AS i FROM samples WHERE disease_category = 'F')
+  SELECT pk, source_database FROM r WHERE i <= 40""")
 def stratified_union(k: Catalog) -> DataFrame:
     x = k.samples().filter("disease_category = 'F'")
     return x.withColumn("i", F.row_number().over(Window.partitionBy("source_database").orderBy("pk"))).filter("i <= 40").select("pk", "source_database")
 
 
-@query("WITH {S}, r AS (SELECT pk, source_database, row_number() OVER (PARTITION BY source_database ORDER BY pk) AS turn, min(pk) OVER (PARTITION BY source_database) AS first FROM samples) SELECT pk, source_database, turn::INTEGER AS turn FROM r ORDER BY r.turn, first LIMIT 100")
+@query("""WITH {S}, r AS (SELECT pk, source_database, row_number() OVER (PARTITION BY source_database
+  ORDER BY pk) AS turn, min(pk) OVER (PARTITION BY source_database) AS first FROM samples) SELECT pk, source_database, turn::INTEGER AS turn FROM r ORDER BY r.turn, first LIMIT 100""")
 def round_robin(k: Catalog) -> DataFrame:
     return fusion.round_robin(k.samples().select("pk", "source_database"), "source_database", "pk", 100).select("pk", "source_database", "turn")
 
 
-@query("SELECT year, n, sum(n) OVER (ORDER BY year)::BIGINT AS cumulative, n / sum(n) OVER () AS share FROM (SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1)")
+@query("""SELECT year, n, sum(n) OVER (ORDER BY year)::BIGINT AS cumulative, n / sum(n) OVER () AS share FROM (SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n
+  FROM orders GROUP BY 1)""")
 def cumulative_growth(k: Catalog) -> DataFrame:
     x = k.table("orders").groupBy(F.year("o_orderdate").alias("year")).agg(count())  # one row per year
     return x.select("*", F.sum("n").over(Window.orderBy("year")).alias("cumulative"), (col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
@@ -373,14 +386,16 @@ def autocomplete_prefix(k: Catalog) -> DataFrame:
     return k.series().filter(col("title").ilike("a%") | col("title").ilike("b%")).groupBy(col("title").alias("value")).agg(count()).orderBy(F.desc("n"), "value").limit(10)
 
 
-@query("WITH {S}, h AS (SELECT tissue_standard AS v, count(*) AS n FROM samples GROUP BY 1), t AS (SELECT count(*) AS total FROM samples) SELECT v AS value, n / total AS selectivity, greatest(1, floor(total * (n / total)))::BIGINT AS rows FROM h, t WHERE v IS NOT NULL")
+@query("""WITH {S}, h AS (SELECT tissue_standard AS v, count(*) AS n FROM samples GROUP BY 1), t AS (SELECT count(*) AS total FROM samples)
+  SELECT v AS value, n / total AS selectivity, greatest(1, floor(total * (n / total)))::BIGINT AS rows FROM h, t WHERE v IS NOT NULL""")
 def selectivity_est(k: Catalog) -> DataFrame:
     total = k.table("orders").count()
     s = col("n") / F.lit(total)
     return k.samples().filter("tissue_standard is not null").groupBy(col("tissue_standard").alias("value")).agg(count()).select("value", s.alias("selectivity"), F.greatest(F.lit(1).cast("long"), F.floor(F.lit(total) * s)).alias("rows"))
 
 
-@query("""WITH {S}, c AS (SELECT count(*) AS none FROM samples WHERE tissue_standard = 'urgent'), z AS (SELECT pk, source_database FROM samples, c WHERE (none > 0 AND tissue_standard = 'urgent') OR (none = 0 AND tissue_standard ILIKE '%urgent%')) SELECT * FROM z""")
+@query("""WITH {S}, c AS (SELECT count(*) AS none FROM samples WHERE tissue_standard = 'urgent'), z AS (SELECT pk, source_database FROM samples, c WHERE (none > 0
+  AND tissue_standard = 'urgent') OR (none = 0 AND tissue_standard ILIKE '%urgent%')) SELECT * FROM z""")
 def fuzzy_fallback(k: Catalog) -> DataFrame:
     # The strict candidate first; only if it is empty its relaxed form; an empty result stays empty.
     strict = k.samples().filter(col("tissue_standard").isin("urgent"))
@@ -411,7 +426,8 @@ def fuse_aggregate(k: Catalog) -> DataFrame:
     return d.groupBy("h").agg(F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"), F.max("n_chars").alias("n_chars"), F.min_by("lang", "doc_id").alias("lang"))
 
 
-@query("""WITH {S} SELECT pk, CASE WHEN tissue_standard IS NULL THEN 'miss' WHEN tissue_standard = '1-URGENT' THEN 'match' WHEN tissue_standard ILIKE '%urg%' OR tissue_standard ILIKE '%high%' THEN 'partial' ELSE 'miss' END AS tissue FROM samples""")
+@query("""WITH {S} SELECT pk, CASE WHEN tissue_standard IS NULL THEN 'miss' WHEN tissue_standard = '1-URGENT' THEN 'match' WHEN tissue_standard ILIKE '%urg%'
+  OR tissue_standard ILIKE '%high%' THEN 'partial' ELSE 'miss' END AS tissue FROM samples""")
 def facet_match(k: Catalog) -> DataFrame:
     t = col("tissue_standard")
     return k.samples().select("pk", F.when(t == "1-URGENT", "match").when(F.coalesce(P.like_any("tissue_standard", ["urg", "high"]), F.lit(False)), "partial").otherwise("miss").alias("tissue"))
@@ -433,7 +449,8 @@ def rank_lexical(k: Catalog) -> DataFrame:
 # Full text and ontology
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'that')""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id FROM t WHERE list_contains(w, 'the')
+  AND list_contains(w, 'that')""")
 def fts_match_all(k: Catalog) -> DataFrame:
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
     return k.table("documents").select("doc_id", w.alias("w")).filter(F.array_contains("w", "the") & F.array_contains("w", "that")).select("doc_id")
@@ -464,7 +481,8 @@ def closure(edges: DataFrame) -> DataFrame:
         rounds.append(fresh)
 
 
-@query("""SELECT n_name AS term, count(*) AS sample_count FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+@query("""SELECT n_name AS term, count(*) AS sample_count FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT r_regionkey FROM region
+  WHERE r_name = 'ASIA') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def onto_children_expand(k: Catalog) -> DataFrame:
     children = k.table("region").filter("r_name = 'ASIA'").join(k.table("nation"), col("r_regionkey") == col("n_regionkey"))
     return children.join(k.table("customer"), col("c_nationkey") == col("n_nationkey")).groupBy(col("n_name").alias("term")).agg(count("sample_count")).orderBy(F.desc("sample_count"), "term").limit(20)
@@ -473,7 +491,7 @@ def onto_children_expand(k: Catalog) -> DataFrame:
 # Parsing, scalar functions, exports
 
 
-@query("SELECT p_partkey AS series_pk, '@misc{series' || p_partkey || ', title={' || p_name || '}, note={' || p_type || '}}' AS entry FROM part WHERE p_name <> ''")
+@query("""SELECT p_partkey AS series_pk, '@misc{series' || p_partkey || ', title={' || p_name || '}, note={' || p_type || '}}' AS entry FROM part WHERE p_name <> ''""")
 def export_bibtex(k: Catalog) -> DataFrame:
     return k.series().filter(P.present("title")).select("series_pk", F.format_string("@misc{series%d, title={%s}, note={%s}}", "series_pk", "title", "assay").alias("entry"))
 
@@ -498,19 +516,21 @@ def latency_histogram(k: Catalog) -> DataFrame:
     return x.select(F.explode(F.array(*[F.struct(F.lit(b).alias("le"), col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select("x.*")
 
 
-@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS i FROM c) SELECT user_id, event_type, n FROM r WHERE i <= 2")
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id
+  ORDER BY n DESC, event_type) AS i FROM c) SELECT user_id, event_type, n FROM r WHERE i <= 2""")
 def pattern_topk(k: Catalog) -> DataFrame:
     c = k.table("events").groupBy("user_id", "event_type").agg(count())
     return c.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).filter("i <= 2").drop("i")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events""")
 def rate_limit_sliding(k: Catalog) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("micros").rangeBetween(-60_000_000, 0)
     return k.table("events").withColumn("micros", F.unix_micros(col("ts").cast("timestamp"))).select("event_id", F.count("*").over(w).alias("in_window"))
 
 
-_SESSIONS = """SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+_SESSIONS = """SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id
+  ORDER BY ts, event_id) AS s
  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s"""
 
 
@@ -524,6 +544,6 @@ def session_turns(k: Catalog) -> DataFrame:
     return k.table("conversations").groupBy("conv_id").agg(count("turns"), F.max_by("role", "turn").alias("last_role"), F.max("turn").alias("last_turn"))
 
 
-@query("SELECT o_custkey AS project_pk, count(*) AS n FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' GROUP BY 1 ORDER BY n DESC, project_pk LIMIT 3")
+@query("""SELECT o_custkey AS project_pk, count(*) AS n FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' GROUP BY 1 ORDER BY n DESC, project_pk LIMIT 3""")
 def theme_top_projects(k: Catalog) -> DataFrame:
     return k.table("orders").filter(F.lower("o_orderpriority").like("%urgent%")).groupBy(col("o_custkey").alias("project_pk")).agg(count()).orderBy(F.desc("n"), "project_pk").limit(3)

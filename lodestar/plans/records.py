@@ -27,7 +27,8 @@ def pick(index: Column, *values: Column) -> Column:
 
 # Identifiers
 
-_IDS = """ids AS (SELECT doc_id, source, n_chars, lang, text, CASE doc_id % 9 WHEN 0 THEN 'GSE' WHEN 1 THEN 'e-geod-' WHEN 2 THEN 'S-GEOD-' WHEN 3 THEN 'E-MTAB-' WHEN 4 THEN 'S-BSST-' WHEN 5 THEN 's-bsst' WHEN 6 THEN 'E-ANND-' WHEN 7 THEN 'SAMEA1000000' ELSE 'PRJNA' END || (doc_id // 18) AS id FROM documents),
+_IDS = """ids AS (SELECT doc_id, source, n_chars, lang, text, CASE doc_id % 9 WHEN 0 THEN 'GSE' WHEN 1 THEN 'e-geod-' WHEN 2 THEN 'S-GEOD-' WHEN 3 THEN 'E-MTAB-'
+  WHEN 4 THEN 'S-BSST-' WHEN 5 THEN 's-bsst' WHEN 6 THEN 'E-ANND-' WHEN 7 THEN 'SAMEA1000000' ELSE 'PRJNA' END || (doc_id // 18) AS id FROM documents),
  keys AS (SELECT *, CASE WHEN doc_id % 9 <= 2 THEN 'GEO:' WHEN doc_id % 9 <= 5 THEN 'MTAB:' WHEN doc_id % 9 = 6 THEN 'ANND:' END || (doc_id // 18) AS key FROM ids)"""
 
 
@@ -51,7 +52,8 @@ def mirrors(k: Catalog) -> DataFrame:
     return fusion.mirrors(x, "key", "source", "id", MIRRORS).select("doc_id", "id", "key", "mirrors", "n_mirrors")
 
 
-@query(f"""WITH {_IDS} SELECT doc_id, CASE WHEN upper(id) LIKE 'GSE%' OR upper(id) LIKE 'PRJNA%' OR upper(id) LIKE 'E-%' THEN 'project' WHEN upper(id) LIKE 'SAME%' THEN 'sample' WHEN doc_id % 2 = 0 THEN 'series' ELSE 'project' END AS entity,
+@query(f"""WITH {_IDS} SELECT doc_id, CASE WHEN upper(id) LIKE 'GSE%' OR upper(id) LIKE 'PRJNA%' OR upper(id) LIKE 'E-%' THEN 'project'
+  WHEN upper(id) LIKE 'SAME%' THEN 'sample' WHEN doc_id % 2 = 0 THEN 'series' ELSE 'project' END AS entity,
  CASE WHEN id LIKE 'SAMEA1%' THEN 'sample' WHEN id LIKE 'PRJNA%' THEN 'study' END AS family FROM ids""")
 def entity_types(k: Catalog) -> DataFrame:
     """What an id stands for: by its prefix, else by the columns that the record has."""
@@ -59,7 +61,9 @@ def entity_types(k: Catalog) -> DataFrame:
     return x.select("doc_id", I.entity_of(col("id"), series=col("series_id"), sample=lit(None).cast("string")).alias("entity"), I.family_of(col("id")).alias("family"))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 3 = 0 THEN 'SAMEA' || (1000000 + o_orderkey) WHEN o_orderkey % 3 = 1 THEN 'GSM' || o_orderkey END AS sample_id, CASE WHEN o_orderkey % 2 = 0 THEN 'SRP' || (2000000 + o_orderkey) END AS series_id, 'PRJNA' || o_custkey AS project_id FROM orders)
+@query("""WITH c AS (SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 3 = 0 THEN 'SAMEA' || (1000000 + o_orderkey)
+  WHEN o_orderkey % 3 = 1 THEN 'GSM' || o_orderkey END AS sample_id, CASE
+  WHEN o_orderkey % 2 = 0 THEN 'SRP' || (2000000 + o_orderkey) END AS series_id, 'PRJNA' || o_custkey AS project_id FROM orders)
  SELECT pk, CASE WHEN pk % 3 = 0 THEN sample_id WHEN pk % 2 = 0 THEN series_id ELSE project_id END AS accession FROM c""")
 def archive_accession(k: Catalog) -> DataFrame:
     """The most specific id by which the archive can be asked: of the sample, else the series, else the project."""
@@ -74,11 +78,14 @@ def text_of(c: Column) -> Column:
     return c.cast("string")
 
 
-_LOOKUP = """asked AS (SELECT doc_id AS asked_no, CASE doc_id % 4 WHEN 0 THEN 'Customer#' || lpad((doc_id % 700)::VARCHAR, 9, '0') WHEN 1 THEN (doc_id % 400)::VARCHAR WHEN 2 THEN '10.1/' || (doc_id % 300) ELSE 'S' || doc_id END AS id FROM documents)"""
+_LOOKUP = """asked AS (SELECT doc_id AS asked_no, CASE doc_id % 4 WHEN 0 THEN 'Customer#' || lpad((doc_id % 700)::VARCHAR, 9, '0') WHEN 1 THEN (doc_id % 400)::VARCHAR
+  WHEN 2 THEN '10.1/' || (doc_id % 300) ELSE 'S' || doc_id END AS id FROM documents)"""
 
 
-@query(f"""WITH {_LOOKUP}, f AS (SELECT asked_no, id, 0 AS step, c_custkey AS pk FROM asked JOIN customer ON c_name = id UNION ALL SELECT asked_no, id, 1, p_partkey FROM asked JOIN part ON regexp_full_match(id, '[0-9]+') AND p_partkey::VARCHAR = id
- UNION ALL SELECT asked_no, id, 2, s_suppkey FROM asked JOIN supplier ON '10.1/' || s_suppkey = id UNION ALL SELECT asked_no, id, 3, o_orderkey FROM asked JOIN orders ON 'S' || o_orderkey = id)
+@query(f"""WITH {_LOOKUP}, f AS (SELECT asked_no, id, 0 AS step, c_custkey AS pk FROM asked JOIN customer ON c_name = id UNION ALL SELECT asked_no, id, 1, p_partkey
+  FROM asked JOIN part ON regexp_full_match(id, '[0-9]+') AND p_partkey::VARCHAR = id
+ UNION ALL SELECT asked_no, id, 2, s_suppkey FROM asked JOIN supplier ON '10.1/' || s_suppkey = id UNION ALL SELECT asked_no, id, 3, o_orderkey FROM asked
+  JOIN orders ON 'S' || o_orderkey = id)
  SELECT asked_no, id, step, min(pk) AS pk FROM f WHERE (asked_no, step) IN (SELECT asked_no, min(step) FROM f GROUP BY 1) GROUP BY 1, 2, 3""")
 def id_lookup_cascade(k: Catalog) -> DataFrame:
     """Ids looked up in turn by name, by number, by DOI and as a sample; the first step that finds any counts."""
@@ -95,7 +102,8 @@ def id_lookup_cascade(k: Catalog) -> DataFrame:
     return best.select("asked_no", "id", "b.step", "b.pk")
 
 
-@query("""WITH x AS (SELECT o_orderkey AS pk, o_custkey FROM orders WHERE o_orderkey % 50 = 0) SELECT pk, c_custkey AS project_pk, c_name AS project_id, c_acctbal AS total_cells FROM x JOIN customer ON c_custkey = o_custkey""")
+@query("""WITH x AS (SELECT o_orderkey AS pk, o_custkey FROM orders WHERE o_orderkey % 50 = 0)
+  SELECT pk, c_custkey AS project_pk, c_name AS project_id, c_acctbal AS total_cells FROM x JOIN customer ON c_custkey = o_custkey""")
 def samples_of_projects(k: Catalog) -> DataFrame:
     """Samples with their project; without one they are left out."""
     s = k.table("orders").filter("o_orderkey % 50 = 0").select(col("o_orderkey").alias("pk"), col("o_custkey").alias("project_pk"))
@@ -103,7 +111,8 @@ def samples_of_projects(k: Catalog) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT 'Customer#' || lpad((doc_id % 300)::VARCHAR, 9, '0') AS project_id, lang, n_chars FROM documents)
- SELECT project_id, c_custkey AS project_pk, docs, chars FROM (SELECT project_id, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM d GROUP BY 1) LEFT JOIN (SELECT c_name, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) ON c_name = project_id""")
+ SELECT project_id, c_custkey AS project_pk, docs, chars FROM (SELECT project_id, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM d GROUP BY 1) LEFT
+  JOIN (SELECT c_name, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) ON c_name = project_id""")
 def projects_by_natural_key(k: Catalog) -> DataFrame:
     """A join on a natural key that need not be unique: both sides have one row a key before they are joined."""
     d = k.table("documents").select(F.concat(lit("Customer#"), F.lpad(text_of(col("doc_id") % 300), 9, "0")).alias("project_id"), "n_chars")
@@ -114,7 +123,8 @@ def projects_by_natural_key(k: Catalog) -> DataFrame:
 _LINKS = "links AS (SELECT lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS a, doc_id AS b FROM documents)"
 
 
-@query(f"""WITH {_LINKS}, e AS (SELECT a AS own, b AS other, 0 AS way FROM links WHERE a IS NOT NULL UNION ALL SELECT b, a, 1 FROM links WHERE a IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY own, other ORDER BY way) AS r FROM e)
+@query(f"""WITH {_LINKS}, e AS (SELECT a AS own, b AS other, 0 AS way FROM links WHERE a IS NOT NULL UNION ALL SELECT b, a, 1 FROM links
+  WHERE a IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY own, other ORDER BY way) AS r FROM e)
  SELECT own, other, source AS other_source, n_chars AS other_chars FROM f LEFT JOIN documents ON doc_id = other WHERE r = 1""")
 def crosslinks_titled(k: Catalog) -> DataFrame:
     """Links seen from either end, each other record once, with what is known of it."""
@@ -123,8 +133,10 @@ def crosslinks_titled(k: Catalog) -> DataFrame:
     return both.join(k.table("documents").select(col("doc_id").alias("other"), col("source").alias("other_source"), col("n_chars").alias("other_chars")), "other", "left").select("own", "other", "other_source", "other_chars")
 
 
-@query("""WITH asked AS (SELECT doc_id, doc_id % 37 AS asked FROM documents), al AS (SELECT n_nationkey + 25 AS alias, n_nationkey AS pk FROM nation UNION ALL SELECT n_nationkey, 0 FROM nation)
- SELECT doc_id, asked, coalesce(n.n_nationkey, al.pk) AS pk FROM asked LEFT JOIN nation n ON n_nationkey = asked LEFT JOIN al ON n.n_nationkey IS NULL AND alias = asked WHERE coalesce(n.n_nationkey, al.pk) IS NOT NULL""")
+@query("""WITH asked AS (SELECT doc_id, doc_id % 37 AS asked FROM documents), al AS (SELECT n_nationkey + 25 AS alias, n_nationkey AS pk FROM nation UNION ALL
+  SELECT n_nationkey, 0 FROM nation)
+ SELECT doc_id, asked, coalesce(n.n_nationkey, al.pk) AS pk FROM asked LEFT JOIN nation n ON n_nationkey = asked LEFT JOIN al ON n.n_nationkey IS NULL AND alias = asked
+  WHERE coalesce(n.n_nationkey, al.pk) IS NOT NULL""")
 def alias_guard(k: Catalog) -> DataFrame:
     """An id of its own wins; only ids without a row are looked up as aliases, and ids without either go."""
     asked = k.table("documents").select("doc_id", (col("doc_id") % 37).cast("int").alias("asked"))
@@ -157,7 +169,8 @@ def quality_score(k: Catalog) -> DataFrame:
     return x.select("disease", "tissue", ranking.quality(["disease", "tissue", "sex", "n_cells", "age"], "sources", [("has_h5ad", 20), ("has_rds", 15), ("access_url", 10)], "citations").alias("score"))
 
 
-@query("""WITH d AS (SELECT text, source, doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS cells, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS tissue, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 0 ELSE 1 END AS rank FROM documents)
+@query("""WITH d AS (SELECT text, source, doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS cells, CASE WHEN doc_id % 2 = 0 THEN ''
+  ELSE lang END AS tissue, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 0 ELSE 1 END AS rank FROM documents)
  SELECT md5(text) AS h, count(*) AS merged, count(DISTINCT source) AS source_count, coalesce(arg_min(nullif(cells, 0), (rank, doc_id)) FILTER (nullif(cells, 0) IS NOT NULL), 0) AS cells, coalesce(arg_min(nullif(tissue, ''), (rank, doc_id)) FILTER (nullif(tissue, '') IS NOT NULL), '') AS tissue,
  string_agg(doc_id || ' (' || source || ')', '; ' ORDER BY rank, doc_id) AS ids, max(doc_id % 50) AS citations FROM d GROUP BY text""")
 def fuse_records(k: Catalog) -> DataFrame:
@@ -189,7 +202,8 @@ def fuse_results(k: Catalog) -> DataFrame:
     return x.groupBy("record").agg(count("merged"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-@query("""WITH g AS (SELECT md5(text) AS h, count(*) AS n, max(n_chars) AS score, min(doc_id) AS first FROM documents GROUP BY text) SELECT h, n, score, row_number() OVER (ORDER BY score DESC, first) AS place FROM g ORDER BY place LIMIT 100""")
+@query("""WITH g AS (SELECT md5(text) AS h, count(*) AS n, max(n_chars) AS score, min(doc_id) AS first FROM documents GROUP BY text)
+  SELECT h, n, score, row_number() OVER (ORDER BY score DESC, first) AS place FROM g ORDER BY place LIMIT 100""")
 def fused_sorted(k: Catalog) -> DataFrame:
     """Fused records by score, equal ones in the order they came in."""
     g = k.table("documents").groupBy(F.md5("text").alias("h")).agg(count(), F.max("n_chars").alias("score"), F.min("doc_id").alias("first"))
@@ -201,10 +215,12 @@ _WANT = {"disease": ["bolt", "gear"], "tissue": ["small", "red ring"], "tech": [
 _HITS = {f: " OR ".join(f"contains(lower({{0}}), '{w}')" for w in ws) for f, ws in _WANT.items()}
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS pk, p_name AS title, p_type || ' goods' AS description, CASE p_size % 3 WHEN 0 THEN 'homo sapiens' WHEN 1 THEN 'mus musculus' END AS organism, 2015 + p_size % 12 AS year, p_size % 5 AS mirrors FROM part),
+@query(f"""WITH p AS (SELECT p_partkey AS pk, p_name AS title, p_type || ' goods' AS description, CASE p_size % 3 WHEN 0 THEN 'homo sapiens'
+  WHEN 1 THEN 'mus musculus' END AS organism, 2015 + p_size % 12 AS year, p_size % 5 AS mirrors FROM part),
  h AS (SELECT *, {", ".join(f"({q.format("title || ' ' || description")})::INT AS {f}, ({q.format('title')})::INT AS {f}_title" for f, q in _HITS.items())},
  list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9-]+'), lambda x: x NOT IN ('the', 'of', 'hot'))) AS tokens FROM p)
- SELECT pk, round(2.0 * (disease + tissue + tech) + CASE WHEN disease_title + tissue_title + tech_title >= 2 THEN 1.0 ELSE 0.0 END + CASE organism WHEN 'homo sapiens' THEN 0.6 WHEN 'mus musculus' THEN -0.6 ELSE 0.0 END
+ SELECT pk, round(2.0 * (disease + tissue + tech) + CASE WHEN disease_title + tissue_title + tech_title >= 2 THEN 1.0 ELSE 0.0 END + CASE organism
+  WHEN 'homo sapiens' THEN 0.6 WHEN 'mus musculus' THEN -0.6 ELSE 0.0 END
  + CASE WHEN year BETWEEN 2018 AND 2022 THEN 0.5 ELSE 0.0 END + 0.3 * len(list_intersect(tokens, ['bolt', 'small', 'widget'])) / greatest(len(list_distinct(list_concat(tokens, ['bolt', 'small', 'widget']))), 1) + 0.2 * sqrt(mirrors), 6) + 0.0 AS score FROM h""")
 def rank_intent(k: Catalog) -> DataFrame:
     """Parts as results of a structured intent."""
@@ -221,7 +237,8 @@ def rank_keyword_hits(k: Catalog) -> DataFrame:
     return x.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hits"), "pk")))
 
 
-@query(f"""WITH {A} SELECT pk, CASE WHEN tissue IS NULL THEN 'miss' WHEN lower(tissue) IN ('1-urgent') THEN 'match' WHEN tissue ILIKE '%urg%' OR tissue ILIKE '%high%' THEN 'partial' ELSE 'miss' END AS tissue,
+@query(f"""WITH {A} SELECT pk, CASE WHEN tissue IS NULL THEN 'miss' WHEN lower(tissue) IN ('1-urgent') THEN 'match' WHEN tissue ILIKE '%urg%'
+  OR tissue ILIKE '%high%' THEN 'partial' ELSE 'miss' END AS tissue,
  CASE WHEN disease IS NULL THEN 'miss' WHEN lower(disease) IN ('red bolt', 'hot gear') THEN 'match' WHEN disease ILIKE '%bolt%' THEN 'partial' ELSE 'miss' END AS disease FROM a""")
 def facet_match_map(k: Catalog) -> DataFrame:
     asked = {"tissue": (["1-urgent"], ["urg", "high"]), "disease": (["red bolt", "hot gear"], ["bolt"])}
@@ -231,7 +248,9 @@ def facet_match_map(k: Catalog) -> DataFrame:
 
 # Post-filters over results
 
-_RESULTS = """r AS (SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN 'n/a' ELSE 'published ' || (1990 + n_chars % 40) END AS date, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 9 = 1 THEN 'Musculus' ELSE CASE lang WHEN 'en' THEN 'Homo sapiens' ELSE 'Mus musculus' END END AS organism,
+_RESULTS = """r AS (SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN 'n/a'
+  ELSE 'published ' || (1990 + n_chars % 40) END AS date, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 9 = 1 THEN 'Musculus' ELSE CASE lang
+  WHEN 'en' THEN 'Homo sapiens' ELSE 'Mus musculus' END END AS organism,
  CASE WHEN doc_id % 13 < source[4:]::INT THEN 'bulk RNA' ELSE 'single-cell RNA' END AS title FROM documents)"""
 
 
@@ -270,7 +289,8 @@ def postfilter_nonempty(k: Catalog) -> DataFrame:
     return x.join(F.broadcast(some), "source").filter("hit or not some").select("doc_id", "title")
 
 
-@query("""WITH a AS (SELECT doc_id, doc_id // 3 AS q, CASE doc_id % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN upper(lang) ELSE CASE WHEN doc_id % 2 = 0 THEN 'EUROPE' ELSE source END END AS value FROM documents), k AS (SELECT *, value IN (SELECT r_name FROM region) AS known FROM a)
+@query("""WITH a AS (SELECT doc_id, doc_id // 3 AS q, CASE doc_id % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN upper(lang) ELSE CASE WHEN doc_id % 2 = 0 THEN 'EUROPE'
+  ELSE source END END AS value FROM documents), k AS (SELECT *, value IN (SELECT r_name FROM region) AS known FROM a)
  SELECT q, value FROM k WHERE known OR q NOT IN (SELECT q FROM k WHERE known)""")
 def vocab_prune(k: Catalog) -> DataFrame:
     """Of a question's values unknown ones go only where a known one remains."""
@@ -321,7 +341,8 @@ def drop_internal(k: Catalog) -> DataFrame:
 # Staged text
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN n_chars || 'M' WHEN 1 THEN n_chars || '.5K' WHEN 2 THEN n_chars::VARCHAR WHEN 3 THEN '-' ELSE '' END AS size, CASE doc_id % 5 WHEN 0 THEN n_chars * 1048576 WHEN 1 THEN n_chars * 1024 + 512 WHEN 2 THEN n_chars END AS bytes FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN n_chars || 'M' WHEN 1 THEN n_chars || '.5K' WHEN 2 THEN n_chars::VARCHAR WHEN 3 THEN '-'
+  ELSE '' END AS size, CASE doc_id % 5 WHEN 0 THEN n_chars * 1048576 WHEN 1 THEN n_chars * 1024 + 512 WHEN 2 THEN n_chars END AS bytes FROM documents""")
 def parse_sizes(k: Catalog) -> DataFrame:
     n = text("n_chars")
     x = k.table("documents").select("doc_id", pick(col("doc_id") % 5, F.concat(n, lit("M")), F.concat(n, lit(".5K")), n, lit("-"), lit("")).alias("size"))
@@ -329,7 +350,8 @@ def parse_sizes(k: Catalog) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE n_chars * (1024 ** (doc_id % 5))::BIGINT END AS n FROM documents)
- SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / 1024 ** 2) WHEN n < 1024 ** 4 THEN printf('%.1f GB', n / 1024 ** 3) WHEN n IS NOT NULL THEN printf('%.1f TB', n / 1024 ** 4) END AS label FROM d""")
+ SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / 1024 ** 2)
+  WHEN n < 1024 ** 4 THEN printf('%.1f GB', n / 1024 ** 3) WHEN n IS NOT NULL THEN printf('%.1f TB', n / 1024 ** 4) END AS label FROM d""")
 def human_bytes(k: Catalog) -> DataFrame:
     x = k.table("documents").select("doc_id", F.when(col("doc_id") % 6 != 5, col("n_chars") * F.pow(lit(1024), col("doc_id") % 5).cast("long")).alias("n"))
     return x.select("doc_id", "n", T.human_size(col("n")).alias("label"))
@@ -343,7 +365,8 @@ def list_literal(k: Catalog) -> DataFrame:
     return k.table("documents").select("doc_id", T.unlisted(raw).alias("clean"))
 
 
-_ENA = """e AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fastq' WHEN 1 THEN 'submitted' ELSE 'sra' END AS kind, 'ftp/' || lang || ';ftp/' || source AS url, n_chars || ';' AS size, md5(lang) AS md5 FROM documents WHERE doc_id % 4 <> 3)"""
+_ENA = """e AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fastq' WHEN 1 THEN 'submitted'
+  ELSE 'sra' END AS kind, 'ftp/' || lang || ';ftp/' || source AS url, n_chars || ';' AS size, md5(lang) AS md5 FROM documents WHERE doc_id % 4 <> 3)"""
 
 
 @query(f"WITH {_ENA} SELECT doc_id, kind, 0 AS i, 'ftp/' || lang AS url, n_chars AS bytes, md5(lang) AS md5 FROM documents JOIN e USING (doc_id) UNION ALL SELECT doc_id, kind, 1, 'ftp/' || source, NULL, NULL FROM documents JOIN e USING (doc_id)")
@@ -361,7 +384,8 @@ def parse_multivalue_zip(k: Catalog) -> DataFrame:
     return x.select("doc_id", "kind", "i", "z.url", F.nullif("z.size", lit("")).try_cast("long").alias("bytes"), F.nullif("z.md5", lit("")).alias("md5"))
 
 
-@query("""SELECT doc_id // 100 AS page, source || '_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.tar' ELSE '.txt' END AS name, CASE doc_id % 3 WHEN 0 THEN n_chars * 1024 WHEN 1 THEN n_chars END AS bytes, doc_id % 2 = 0 AS archive FROM documents""")
+@query("""SELECT doc_id // 100 AS page, source || '_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.tar' ELSE '.txt' END AS name, CASE doc_id % 3
+  WHEN 0 THEN n_chars * 1024 WHEN 1 THEN n_chars END AS bytes, doc_id % 2 = 0 AS archive FROM documents""")
 def parse_listing(k: Catalog) -> DataFrame:
     """Directory listings of a hundred files each, with a link up, orders of the listing, and its own description."""
     name = F.concat("source", lit("_"), text("doc_id"), F.when(col("doc_id") % 2 == 0, ".tar").otherwise(".txt"))
@@ -390,7 +414,8 @@ def data_dictionary(k: Catalog) -> DataFrame:
 
 @query("""WITH o AS (SELECT doc_id, lang AS type, 'u' || doc_id AS url FROM documents WHERE doc_id % 5 <> 4), a AS (SELECT DISTINCT doc_id // 2 AS id FROM documents),
  j AS (SELECT a.id, o.type, o.url FROM a LEFT JOIN o ON o.doc_id // 2 = a.id) SELECT id, url, 'file' AS kind FROM j WHERE type IN ('en', 'fr') UNION ALL
- SELECT id, string_agg(DISTINCT type, ',' ORDER BY type), CASE WHEN count(type) = 0 THEN 'unresolved' ELSE 'unmatched' END FROM j GROUP BY id HAVING count(*) FILTER (type IN ('en', 'fr')) = 0""")
+ SELECT id, string_agg(DISTINCT type, ',' ORDER BY type), CASE WHEN count(type) = 0 THEN 'unresolved' ELSE 'unmatched' END FROM j GROUP BY id
+  HAVING count(*) FILTER (type IN ('en', 'fr')) = 0""")
 def download_flatten(k: Catalog) -> DataFrame:
     """Files of the types asked for; else the types that were offered instead, or nothing at all."""
     d = k.table("documents")
@@ -409,7 +434,8 @@ def download_options(k: Catalog) -> DataFrame:
     return ids(k).select("doc_id", I.download_url(col("id")).alias("url"))
 
 
-@query("""WITH c AS (SELECT doc_id, 'https://f/' || (doc_id // 2) AS url, 'file' AS kind FROM documents WHERE doc_id % 3 = 0), p AS (SELECT doc_id, 'https://f/' || (doc_id // 2) AS url, CASE WHEN doc_id % 2 = 0 THEN 'folder' ELSE 'page' END AS kind FROM documents),
+@query("""WITH c AS (SELECT doc_id, 'https://f/' || (doc_id // 2) AS url, 'file' AS kind FROM documents
+  WHERE doc_id % 3 = 0), p AS (SELECT doc_id, 'https://f/' || (doc_id // 2) AS url, CASE WHEN doc_id % 2 = 0 THEN 'folder' ELSE 'page' END AS kind FROM documents),
  u AS (SELECT url, kind, 0 AS o, doc_id FROM c UNION ALL SELECT url, kind, 1, doc_id FROM p WHERE NOT (kind = 'folder' AND url IN (SELECT url FROM c)))
  SELECT url, arg_min(kind, (o, doc_id)) AS kind FROM u GROUP BY 1""")
 def download_deep(k: Catalog) -> DataFrame:
@@ -422,9 +448,11 @@ def download_deep(k: Catalog) -> DataFrame:
     return files.union(pointers).groupBy("url").agg(F.min_by("kind", F.struct("o", "doc_id")).alias("kind"))
 
 
-@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1234' || doc_id WHEN 1 THEN '10.1000/x' || doc_id WHEN 2 THEN '' END AS pmid, CASE WHEN doc_id % 5 = 0 THEN '10.2/y' || doc_id END AS doi FROM documents),
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1234' || doc_id WHEN 1 THEN '10.1000/x' || doc_id WHEN 2 THEN '' END AS pmid, CASE
+  WHEN doc_id % 5 = 0 THEN '10.2/y' || doc_id END AS doi FROM documents),
  c AS (SELECT doc_id, CASE WHEN regexp_full_match(pmid, '[0-9]+') THEN pmid END AS pmid, coalesce(doi, CASE WHEN pmid LIKE '10.%' THEN pmid END) AS doi FROM d)
- SELECT doc_id, '@article{ref' || doc_id || coalesce(', pmid={' || pmid || '}', '') || coalesce(', doi={' || doi || '}', '') || '}' AS entry FROM c WHERE pmid IS NOT NULL OR doi IS NOT NULL""")
+ SELECT doc_id, '@article{ref' || doc_id || coalesce(', pmid={' || pmid || '}', '') || coalesce(', doi={' || doi || '}', '') || '}' AS entry FROM c WHERE pmid IS NOT NULL
+  OR doi IS NOT NULL""")
 def export_references(k: Catalog) -> DataFrame:
     """References: a PMID is of digits, a DOI filed as one is moved, and rows with neither are left out."""
     i = col("doc_id")
@@ -451,7 +479,8 @@ def manifest_lines(k: Catalog) -> DataFrame:
 
 
 @query("""SELECT -1 AS at, '# rows: ' || count(*) AS line FROM documents UNION ALL SELECT 0, 'doc_id,lang,label' UNION ALL SELECT doc_id + 1, doc_id || ',' || lang || ',' ||
- CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN chr(34) || lang || ',' || source || chr(34) ELSE chr(34) || 'say ' || chr(34) || chr(34) || lang || chr(34) || chr(34) || chr(34) END FROM documents""")
+ CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN chr(34) || lang || ',' || source || chr(34)
+  ELSE chr(34) || 'say ' || chr(34) || chr(34) || lang || chr(34) || chr(34) || chr(34) END FROM documents""")
 def export_metadata(k: Catalog) -> DataFrame:
     """CSV lines under a header of provenance; a value is quoted only if it has a comma or a quotation mark."""
     d = k.table("documents")
@@ -462,7 +491,7 @@ def export_metadata(k: Catalog) -> DataFrame:
     return head.union(names).union(rows)
 
 
-@query("SELECT source, '## ' || source || ' (' || count(*) || ')' || string_agg(chr(10) || '- ' || left(lang || ' text of ' || n_chars || ' characters, number ' || doc_id, 30), '' ORDER BY doc_id) FILTER (r <= 8) AS page FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source")
+@query("""SELECT source, '## ' || source || ' (' || count(*) || ')' || string_agg(chr(10) || '- ' || left(lang || ' text of ' || n_chars || ' characters, number ' || doc_id, 30), '' ORDER BY doc_id) FILTER (r <= 8) AS page FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source""")
 def render_markdown(k: Catalog) -> DataFrame:
     """A section per source: its number of results and the first eight, cut titles."""
     title = F.left(F.concat("lang", lit(" text of "), text("n_chars"), lit(" characters, number "), text("doc_id")), lit(30))
@@ -484,7 +513,8 @@ def json_props(k: Catalog) -> DataFrame:
     return k.table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g') AS c, length(text) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('查找', (1 + length(text) // 8)::INTEGER) || text WHEN doc_id % 4 = 1 THEN '查找' || text ELSE text END AS text FROM documents))
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g') AS c, length(text) AS n FROM (SELECT doc_id, CASE
+  WHEN doc_id % 4 = 0 THEN repeat('查找', (1 + length(text) // 8)::INTEGER) || text WHEN doc_id % 4 = 1 THEN '查找' || text ELSE text END AS text FROM documents))
  SELECT doc_id, CASE WHEN length(c) > 0.1 * n THEN 'zh' ELSE 'en' END AS asked_in, length(c) > 0 AS any_cjk FROM t""")
 def question_language(k: Catalog) -> DataFrame:
     """Chinese if over a tenth of the characters are."""

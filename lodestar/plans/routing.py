@@ -14,9 +14,12 @@ col = F.col
 
 #: Samples with raw and curated annotations: raw text from the part's name, curated values from its type and brand.
 A = """{S}, a AS (SELECT s.pk, s.project_pk, s.series_pk, s.source_database, s.tissue, s.n_cells, s.publication_date, p.p_name AS disease,
- CASE WHEN s.pk % 3 = 0 THEN NULL ELSE p.p_type END AS disease_standard, p.p_brand AS disease_category, CASE WHEN p.p_partkey % 2 = 0 THEN replace(p.p_name, ' ', '+ ') ELSE p.p_name END AS cell_type,
- n.n_name AS organism, CASE WHEN n.n_nationkey < 20 THEN s.source_database END AS organism_common, s.disease_category AS sex, CASE s.disease_category WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END AS sex_normalized,
- c.c_mktsegment AS sample_type, c.c_name AS cell_line_name, p.p_size - 20 AS age_min, p.p_size - 10 AS age_max, CASE WHEN p.p_partkey % 4 = 0 THEN 'week' WHEN p.p_partkey % 4 <> 1 THEN 'year' END AS age_unit
+ CASE WHEN s.pk % 3 = 0 THEN NULL ELSE p.p_type END AS disease_standard, p.p_brand AS disease_category, CASE WHEN p.p_partkey % 2 = 0 THEN replace(p.p_name, ' ', '+ ')
+  ELSE p.p_name END AS cell_type,
+ n.n_name AS organism, CASE WHEN n.n_nationkey < 20 THEN s.source_database END AS organism_common, s.disease_category AS sex, CASE s.disease_category
+  WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END AS sex_normalized,
+ c.c_mktsegment AS sample_type, c.c_name AS cell_line_name, p.p_size - 20 AS age_min, p.p_size - 10 AS age_max, CASE WHEN p.p_partkey % 4 = 0 THEN 'week'
+  WHEN p.p_partkey % 4 <> 1 THEN 'year' END AS age_unit
  FROM samples s LEFT JOIN part p ON s.series_pk = p.p_partkey LEFT JOIN customer c ON s.project_pk = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 DISEASES = R.Vocabulary(specific={"bolt": "bolt"}, category={"first brand": "Brand#1", "bolt": "Brand#2"}, standard={"bolt": "PROMO", "small goods": "SMALL"})
 
@@ -53,18 +56,20 @@ def filter_cell_type_widened(k: Catalog) -> DataFrame:
     return _where(k, R.widened(["small+ ring", "gear", "urgent"], "cell_type", {"gear": ["%gear%", "%cog%"]}, {"urgent": "tissue"}))
 
 
-@query("""WITH {S}, m AS (SELECT p_partkey FROM part WHERE p_type ILIKE '%promo%' OR p_brand ILIKE '%promo%' OR p_type ILIKE '%promo v3%' OR p_brand ILIKE '%promo v3%' OR p_type ILIKE '%Brand#12%' OR p_brand ILIKE '%Brand#12%')
+@query("""WITH {S}, m AS (SELECT p_partkey FROM part WHERE p_type ILIKE '%promo%' OR p_brand ILIKE '%promo%' OR p_type ILIKE '%promo v3%' OR p_brand ILIKE '%promo v3%'
+  OR p_type ILIKE '%Brand#12%' OR p_brand ILIKE '%Brand#12%')
  SELECT pk FROM samples WHERE series_pk IN (SELECT p_partkey FROM m)""")
 def filter_assay_widened(k: Catalog) -> DataFrame:
     return k.samples().join(k.series().filter(R.assay_matches(["PROMO v3", "Brand#12"])).select("series_pk"), "series_pk", "left_semi").select("pk")
 
 
-@query("WITH {S} SELECT pk FROM samples WHERE series_pk IS NULL OR series_pk NOT IN (SELECT p_partkey FROM part WHERE p_type ILIKE '%eco%' OR p_brand ILIKE '%eco%')")
+@query("""WITH {S} SELECT pk FROM samples WHERE series_pk IS NULL OR series_pk NOT IN (SELECT p_partkey FROM part WHERE p_type ILIKE '%eco%' OR p_brand ILIKE '%eco%')""")
 def filter_assay_excluded(k: Catalog) -> DataFrame:
     return k.samples().join(k.series().filter(R.assay_matches(["eco"])).select("series_pk"), "series_pk", "left_anti").select("pk")
 
 
-@query("""SELECT p_partkey AS series_pk FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS a, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS p FROM part)
+@query("""SELECT p_partkey AS series_pk FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS a, CASE WHEN p_partkey % 5 = 0 THEN NULL
+  ELSE p_brand END AS p FROM part)
  WHERE NOT (coalesce(a, '') ILIKE '%eco%' OR coalesce(p, '') ILIKE '%eco%' OR coalesce(a, '') ILIKE '%#1%' OR coalesce(p, '') ILIKE '%#1%')""")
 def filter_assay_excluded_on_series(k: Catalog) -> DataFrame:
     gaps = k.series().withColumn("assay", F.when(col("series_pk") % 3 != 0, col("assay"))).withColumn("platform", F.when(col("series_pk") % 5 != 0, col("platform")))
@@ -93,13 +98,15 @@ def filter_year_in(k: Catalog) -> DataFrame:
     return k.table("orders").filter(F.substring(col("o_orderdate").cast("string"), 1, 4).isin("1996", "1999")).select(col("o_orderkey").alias("pk"))
 
 
-@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE source END AS doi FROM documents) SELECT doc_id FROM d WHERE doi IS NULL OR doi = ''")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE source END AS doi FROM documents) SELECT doc_id FROM d
+  WHERE doi IS NULL OR doi = ''""")
 def filter_absence(k: Catalog) -> DataFrame:
     d = k.table("documents").select("doc_id", F.when(col("doc_id") % 4 == 0, "").when(col("doc_id") % 4 != 1, col("source")).alias("doi"))
     return d.filter(col("doi").isNull() | (col("doi") == "")).select("doc_id")
 
 
-@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS h FROM part) SELECT p_partkey AS series_pk, 'without, or unknown' AS kind FROM f WHERE h IS NULL OR h = 0
+@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS h FROM part)
+  SELECT p_partkey AS series_pk, 'without, or unknown' AS kind FROM f WHERE h IS NULL OR h = 0
  UNION ALL SELECT p_partkey, 'known to be without' FROM f WHERE h = 0 UNION ALL SELECT p_partkey, 'with' FROM f WHERE h = 1""")
 def filter_tristate_both(k: Catalog) -> DataFrame:
     """A flag that is false: NULL counts as false on the explore page and not in the engine."""
@@ -126,7 +133,8 @@ def filter_freetext_only(k: Catalog) -> DataFrame:
 
 
 THEMES = {"moving parts": ([("disease", ["gear", "bolt", "rod"]), ("tissue", ["urgent", "high"])], True), "small or red": ([("disease", ["small", "red"]), ("disease_standard", ["small"])], False), "nothing": ([("disease", ["no such"])], True)}
-_THEMES = f"""WITH {A}, t AS (SELECT 'moving parts' AS theme, * FROM a WHERE (disease ILIKE '%gear%' OR disease ILIKE '%bolt%' OR disease ILIKE '%rod%') AND (tissue ILIKE '%urgent%' OR tissue ILIKE '%high%')
+_THEMES = f"""WITH {A}, t AS (SELECT 'moving parts' AS theme, * FROM a WHERE (disease ILIKE '%gear%' OR disease ILIKE '%bolt%' OR disease ILIKE '%rod%')
+  AND (tissue ILIKE '%urgent%' OR tissue ILIKE '%high%')
  UNION ALL SELECT 'small or red', * FROM a WHERE disease ILIKE '%small%' OR disease ILIKE '%red%' OR disease_standard ILIKE '%small%')"""
 
 
@@ -152,7 +160,8 @@ def theme_top3(k: Catalog) -> DataFrame:
     return per.withColumn("r", F.row_number().over(w)).filter("r <= 3")
 
 
-@query(f"""WITH {A} SELECT pk FROM a WHERE (coalesce(disease_standard IN ('PROMO', 'LARGE', 'SMALL'), false) OR (disease_standard IS NULL AND (disease ILIKE '%promo%' OR disease ILIKE '%large%' OR disease ILIKE '%small%')))
+@query(f"""WITH {A} SELECT pk FROM a WHERE (coalesce(disease_standard IN ('PROMO', 'LARGE', 'SMALL'), false) OR (disease_standard IS NULL AND (disease ILIKE '%promo%'
+  OR disease ILIKE '%large%' OR disease ILIKE '%small%')))
  AND coalesce(organism_common IN ('asia', 'europe'), false)""")
 def filter_entities(k: Catalog) -> DataFrame:
     entities = [R.Entity("disease", ["PROMO", "LARGE"]), R.Entity("disease", ["SMALL"]), R.Entity("organism", ["asia", "europe"]), R.Entity("disease", ["ECONOMY"], negated=True)]
@@ -184,7 +193,8 @@ def _levels(k: Catalog) -> DataFrame:
     return annotated(k).select("*", F.nullif("tissue", F.lit("4-NOT SPECIFIED")).alias("tissue_standard"), F.split_part("tissue", F.lit("-"), F.lit(1)).alias("tissue_level"))
 
 
-@query(f"""{_LEVELS} SELECT pk FROM t WHERE (disease_standard ILIKE '%bolt%' OR disease ILIKE '%bolt%' OR disease_category = 'Brand#1' OR disease_standard IN ('PROMO') OR disease_category = 'Brand#2'
+@query(f"""{_LEVELS} SELECT pk FROM t WHERE (disease_standard ILIKE '%bolt%' OR disease ILIKE '%bolt%' OR disease_category = 'Brand#1' OR disease_standard IN ('PROMO')
+  OR disease_category = 'Brand#2'
  OR disease_standard IN ('LARGE') OR disease ILIKE '%hot ring%' OR disease ILIKE '%steel%')
  AND (tissue_level = '1' OR tissue_standard IN ('3-MEDIUM') OR tissue_standard IN ('4-NOT SPECIFIED') OR tissue ILIKE '%spec%')""")
 def filter_entities_tiered(k: Catalog) -> DataFrame:
@@ -196,7 +206,8 @@ def filter_entities_tiered(k: Catalog) -> DataFrame:
     return x.filter(E.entities_condition(entities, {"disease": DISEASE, "tissue": TISSUE}, excluded={"tissue": ["5-low"]})).select("pk")
 
 
-@query(f"""{_LEVELS} SELECT pk FROM t WHERE (cell_type IN ('red ring', 'hot gear') OR cell_type ILIKE '%gear%' OR tissue ILIKE '%gear%' OR cell_type ILIKE '%small%bolt%' OR cell_type ILIKE '%plate%')
+@query(f"""{_LEVELS} SELECT pk FROM t WHERE (cell_type IN ('red ring', 'hot gear') OR cell_type ILIKE '%gear%' OR tissue ILIKE '%gear%' OR cell_type ILIKE '%small%bolt%'
+  OR cell_type ILIKE '%plate%')
  AND (tissue ILIKE '%1-urgent%' OR tissue ILIKE '%urgent%')""")
 def filter_entities_cells(k: Catalog) -> DataFrame:
     """Cell types by value and pattern; a tissue whose only value is excluded is searched for as text."""

@@ -15,7 +15,8 @@ from lodestar.sources.shared import new_path
 col, lit = F.col, F.lit
 
 #: Values in several spellings, and terms cut out of them: over the ends of words, in capitals, short ones.
-_LOOKUP = """v AS (SELECT value, count(*) AS n FROM (SELECT CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS value FROM part) GROUP BY 1),
+_LOOKUP = """v AS (SELECT value, count(*) AS n FROM (SELECT CASE p_size % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name ELSE p_name || ' ' || lower(p_type) END AS value
+  FROM part) GROUP BY 1),
  q AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN upper(t) ELSE t END AS term FROM (SELECT p_partkey, substr(p_name, 1 + p_partkey % 4, 3 + p_partkey % 6) AS t FROM part)),
  safe AS (SELECT term FROM q WHERE length(trim(term)) > 4 AND (upper(trim(term)) <> trim(term) OR contains(trim(term), ' '))),
  f AS (SELECT term, value, n FROM safe JOIN v ON contains(lower(value), lower(term)))"""
@@ -82,7 +83,8 @@ def fts_prefix(k: Catalog) -> DataFrame:
     return indexed(k, steps=2).prefixed("qu")
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents)
+  SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1""")
 def fts_index_stats(k: Catalog) -> DataFrame:
     """How often and in how many texts each word is, as the index has it."""
     return indexed(k).token_counts().select("token", "tf", "df")
@@ -93,10 +95,13 @@ def fts_index_stats(k: Catalog) -> DataFrame:
  every AS (SELECT term FROM asked UNION SELECT 'na' UNION SELECT '2' UNION SELECT 'r 1'),
  q AS (SELECT term, true AS any_, 1 AS words, unnest(list_distinct(flatten(list_transform(list_filter(string_split(term, ' '), lambda x: len(x) > 2), lambda x: regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+'))))) AS gram, false AS whole FROM every WHERE term NOT IN ('na', '2', 'r 1')
   UNION ALL SELECT * FROM (VALUES ('na', false, 1, 'na', false), ('2', false, 1, '2', false), ('r 1', false, 2, 'r', true), ('r 1', false, 2, '1', false))),
- tf AS (SELECT term, any_, words, gram, id, count(*) AS tf FROM q JOIN w ON word = gram OR (NOT whole AND starts_with(word, gram)) GROUP BY ALL), df AS (SELECT gram, term, count(*) AS df FROM tf GROUP BY ALL),
- z AS (SELECT term, id, any_, words, count(*) AS k, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+ tf AS (SELECT term, any_, words, gram, id, count(*) AS tf FROM q JOIN w ON word = gram OR (NOT whole AND starts_with(word, gram))
+  GROUP BY ALL), df AS (SELECT gram, term, count(*) AS df FROM tf GROUP BY ALL),
+ z AS (SELECT term, id, any_, words, count(*) AS k, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), CASE
+  WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
   FROM tf JOIN df USING (gram, term) JOIN l USING (id), s GROUP BY ALL)
- SELECT term, id, score, place::INTEGER AS place FROM (SELECT term, id, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, id NOT LIKE 'N:%', id) AS place FROM z WHERE any_ OR k = words) WHERE place <= 5""")
+ SELECT term, id, score, place::INTEGER AS place FROM (SELECT term, id, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, id NOT LIKE 'N:%', id) AS place
+  FROM z WHERE any_ OR k = words) WHERE place <= 5""")
 def onto_prefix_top(k: Catalog) -> DataFrame:
     """The five best terms by beginnings of words, those of one source first among equals."""
     every = asked(k).select("term").union(k.spark.createDataFrame([("na",), ("2",), ("r 1",)], "term string"))

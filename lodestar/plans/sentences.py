@@ -50,7 +50,8 @@ def conversation(sentences: list[str]) -> list[Question]:
 
 @query("""WITH {S}, t AS (SELECT 0 AS turn, * FROM samples WHERE tissue_standard = '1-URGENT' AND source_database = 'asia' AND year(publication_date) >= 1994
  UNION ALL SELECT 1, * FROM samples WHERE tissue_standard = '2-HIGH' AND source_database = 'asia' AND year(publication_date) >= 1994 AND disease_category IS DISTINCT FROM 'O'
- UNION ALL SELECT 2, * FROM samples WHERE tissue_standard = '2-HIGH' AND source_database IN ('asia', 'europe') AND year(publication_date) >= 1994 AND disease_category IS DISTINCT FROM 'O' AND n_cells >= 100000
+ UNION ALL SELECT 2, * FROM samples WHERE tissue_standard = '2-HIGH' AND source_database IN ('asia', 'europe') AND year(publication_date) >= 1994
+  AND disease_category IS DISTINCT FROM 'O' AND n_cells >= 100000
  UNION ALL SELECT 3, * FROM samples WHERE tissue_standard = '2-HIGH' AND source_database IN ('asia', 'europe') AND year(publication_date) BETWEEN 1994 AND 1996
  AND disease_category IS DISTINCT FROM 'O' AND disease_category IS DISTINCT FROM 'F' AND n_cells >= 100000)
  SELECT turn, source_database, count(*) AS n FROM t GROUP BY 1, 2""")
@@ -99,10 +100,12 @@ _STAGE_ROWS = ", ".join(f"('{w}', '{c}', {LIFE.next_to.get(c, []) or ['-']})" fo
 
 
 @query(f"""WITH kw AS (SELECT {list(LIFE.forms())} AS ws),
- d AS (SELECT doc_id, upper(ws[doc_id % len(ws) + 1]) || ' ' || CASE doc_id % 4 WHEN 0 THEN 'stem cells' WHEN 1 THEN 'calf serum' WHEN 2 THEN 'and adult tissue' ELSE 'of old' END || ', ' || coalesce(text, '') AS t FROM documents, kw),
+ d AS (SELECT doc_id, upper(ws[doc_id % len(ws) + 1]) || ' ' || CASE doc_id % 4 WHEN 0 THEN 'stem cells' WHEN 1 THEN 'calf serum' WHEN 2 THEN 'and adult tissue'
+  ELSE 'of old' END || ', ' || coalesce(text, '') AS t FROM documents, kw),
  w AS (SELECT doc_id, regexp_extract_all(lower(t), '[a-z]+') AS ws FROM d), p AS (SELECT doc_id, ws, unnest(ws) AS one, generate_subscripts(ws, 1) AS i FROM w),
  m(kw, cat, others) AS (VALUES {_STAGE_ROWS}),
- h AS (SELECT doc_id, cat, min(i) AS i FROM p JOIN m ON one = kw WHERE NOT coalesce(list_contains(others, ws[i + 1]), false) AND NOT (i > 1 AND coalesce(list_contains(others, ws[i - 1]), false)) GROUP BY 1, 2)
+ h AS (SELECT doc_id, cat, min(i) AS i FROM p JOIN m ON one = kw WHERE NOT coalesce(list_contains(others, ws[i + 1]), false) AND NOT (i > 1
+  AND coalesce(list_contains(others, ws[i - 1]), false)) GROUP BY 1, 2)
  SELECT doc_id, coalesce(string_agg(cat, ',' ORDER BY i), '') AS stages FROM w LEFT JOIN h USING (doc_id) GROUP BY 1""")
 def question_life_stages(k: Catalog) -> DataFrame:
     """Life stages named in whole texts. Stem cells and serum of a stage are not that stage."""
@@ -125,12 +128,14 @@ def scope(question: Column, aliases: dict[str, list[str]], values: dict[str, lis
 
 ALIASES = {"assay": ["assay", "technology"], "platform": ["platform", "brand", "pf"], "title": ["title", "name"]}
 _FREQUENT = 20
-_Q = """q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Samples by BRAND and pf' WHEN 1 THEN 'the Assay of parts' WHEN 2 THEN 'all promo goods in ' || lang WHEN 3 THEN 'made as brand#' || (doc_id % 60) ELSE 'name of ' || source END AS question FROM documents)"""
+_Q = """q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Samples by BRAND and pf' WHEN 1 THEN 'the Assay of parts' WHEN 2 THEN 'all promo goods in ' || lang
+  WHEN 3 THEN 'made as brand#' || (doc_id % 60) ELSE 'name of ' || source END AS question FROM documents)"""
 
 
 @query(f"""WITH {_Q}, v AS (SELECT * FROM (SELECT 'assay' AS field, p_type AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY n DESC, value LIMIT {_FREQUENT})
  UNION ALL SELECT * FROM (SELECT 'platform', p_brand AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY n DESC, value LIMIT {_FREQUENT})),
- words AS (SELECT field, lower(value) AS w FROM v WHERE length(value) >= 3 UNION ALL SELECT * FROM (VALUES ('assay', 'assay'), ('assay', 'technology'), ('platform', 'platform'), ('platform', 'brand'), ('title', 'title'), ('title', 'name')))
+ words AS (SELECT field, lower(value) AS w FROM v WHERE length(value) >= 3 UNION ALL SELECT *
+  FROM (VALUES ('assay', 'assay'), ('assay', 'technology'), ('platform', 'platform'), ('platform', 'brand'), ('title', 'title'), ('title', 'name')))
  SELECT doc_id, coalesce(string_agg(DISTINCT field, ',' ORDER BY field), '') AS fields FROM q LEFT JOIN words ON contains(lower(question), w) GROUP BY 1""")
 def question_scope(k: Catalog) -> DataFrame:
     """The fields that each question is about. Only the most frequent values of a field come to the driver, a fixed number."""
