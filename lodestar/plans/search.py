@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import substrings
 from lodestar.operators.textindex import TextIndex, prefix_ranked
 from lodestar.plans.binding import Catalog
-from lodestar.plans.ontology import _ASKED, _TERMS, asked, terms
+from lodestar.plans.ontology import _ASKED, _TERMS, _VALUES, asked, db_values, terms
 from lodestar.plans.queries import count, query
-from lodestar.sources.shared import new_path
+from lodestar.sources.shared import kept, new_path
 
 col, lit = F.col, F.lit
 
@@ -90,7 +92,7 @@ def fts_index_stats(k: Catalog) -> DataFrame:
     return indexed(k).token_counts().select("token", "tf", "df")
 
 
-@query(f"""WITH {_TERMS}, {_ASKED}, w AS (SELECT id, unnest(regexp_extract_all(lower(label || ' ' || array_to_string(synonyms, ' ')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM terms),
+_RANKED = f"""{_TERMS}, {_ASKED}, w AS (SELECT id, unnest(regexp_extract_all(lower(label || ' ' || array_to_string(synonyms, ' ')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM terms),
  l AS (SELECT id, count(*) AS dl FROM w GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS mean FROM l),
  every AS (SELECT term FROM asked UNION SELECT 'na' UNION SELECT '2' UNION SELECT 'r 1'),
  q AS (SELECT term, true AS any_, 1 AS words, unnest(list_distinct(flatten(list_transform(list_filter(string_split(term, ' '), lambda x: len(x) > 2), lambda x: regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+'))))) AS gram, false AS whole FROM every WHERE term NOT IN ('na', '2', 'r 1')
@@ -100,9 +102,46 @@ def fts_index_stats(k: Catalog) -> DataFrame:
  z AS (SELECT term, id, any_, words, count(*) AS k, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), CASE
   WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
   FROM tf JOIN df USING (gram, term) JOIN l USING (id), s GROUP BY ALL)
- SELECT term, id, score, place::INTEGER AS place FROM (SELECT term, id, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, id NOT LIKE 'N:%', id) AS place
+"""
+
+
+@query(f"""WITH {_RANKED} SELECT term, id, score, place::INTEGER AS place FROM (SELECT term, id, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, id NOT LIKE 'N:%', id) AS place
   FROM z WHERE any_ OR k = words) WHERE place <= 5""")
 def onto_prefix_top(k: Catalog) -> DataFrame:
     """The five best terms by beginnings of words, those of one source first among equals."""
     every = asked(k).select("term").union(k.spark.createDataFrame([("na",), ("2",), ("r 1",)], "term string"))
     return prefix_ranked(every, "term", terms(k), "id", [col("label"), F.array_join("synonyms", " ")], preferred=F.col("key").startswith("N:"))
+
+
+#: Terms asked for beside those of the documents: parts of values, abbreviations, unknown words.
+_MORE_TERMS = ["EFO_0001", "FO_00012", "000123", "zzz unknown", "ASIA", "Old World", "country 3", "EFO"]
+
+
+@query(f"""WITH {_RANKED}, {_VALUES}, v AS (SELECT value, count(*) AS n FROM db GROUP BY 1), every2 AS (SELECT DISTINCT term FROM asked UNION SELECT unnest({_MORE_TERMS})),
+ few AS (SELECT * FROM terms), q2 AS (SELECT term, unnest(list_distinct(flatten(list_transform(list_filter(string_split(term, ' '), lambda x: len(x) > 2), lambda x: regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+'))))) AS gram FROM every2),
+ tf2 AS (SELECT term, gram, id, count(*) AS tf FROM q2 JOIN w ON starts_with(word, gram) GROUP BY ALL), df2 AS (SELECT gram, term, count(*) AS df FROM tf2 GROUP BY ALL),
+ z2 AS (SELECT term, id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+  FROM tf2 JOIN df2 USING (gram, term) JOIN l USING (id), s GROUP BY ALL),
+ f AS (SELECT term, 0 AS step, unnest(['R:0', 'R:2', 'R:3']) AS answer FROM every2 WHERE lower(term) = 'old world' UNION ALL SELECT term, 1, id FROM every2 JOIN few ON lower(term) = label
+  UNION ALL SELECT term, 2, id FROM every2 JOIN (SELECT id, unnest(synonyms) AS y FROM few) ON lower(term) = y
+  UNION ALL SELECT term, 3, id FROM (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY score DESC, id) AS place FROM z2) WHERE place = 1
+  UNION ALL SELECT term, 4, value FROM (SELECT term, value, row_number() OVER (PARTITION BY term ORDER BY n DESC, value) AS place FROM every2 JOIN v ON contains(lower(value), lower(term))
+   WHERE length(trim(term)) > 4 AND (upper(trim(term)) <> trim(term) OR contains(trim(term), ' '))) WHERE place <= 20)
+ SELECT term, ['umbrella', 'exact', 'synonym', 'fuzzy', 'direct', 'none'][coalesce(least_step, 5) + 1] AS step, coalesce(string_agg(answer, '|' ORDER BY answer), '') AS answers
+ FROM every2 LEFT JOIN (SELECT *, min(step) OVER (PARTITION BY term) AS least_step FROM f) g USING (term) WHERE step IS NULL OR step = least_step GROUP BY term, least_step""")
+def onto_resolved(k: Catalog) -> DataFrame:
+    """Each term by the first step that finds something: umbrella words, labels, synonyms, the best term by beginnings of words,
+    and the most frequent values with the term inside."""
+    every = kept(asked(k).select("term").union(k.spark.createDataFrame([(t,) for t in _MORE_TERMS], "term string")).distinct(), "asked")
+    known = kept(terms(k), "terms")
+    low = every.select("term", F.lower("term").alias("low"))
+    umbrella = k.spark.createDataFrame([("old world", i) for i in ("R:0", "R:2", "R:3")], "low string, answer string")
+    labels, synonyms = known.select(col("label").alias("low"), col("id").alias("answer")), known.select(F.explode("synonyms").alias("low"), col("id").alias("answer"))
+    steps = [low.join(t, "low").select("term", "answer") for t in (umbrella, labels, synonyms)]
+    steps.append(prefix_ranked(every, "term", known, "id", [col("label"), F.array_join("synonyms", " ")], top=1).select("term", "id"))
+    values = kept(db_values(k).groupBy("value").agg(count()), "values")
+    steps.append(substrings.direct_values(every, values).select("term", "value"))
+    found = reduce(DataFrame.union, [x.toDF("term", "answer").withColumn("step", lit(i)) for i, x in enumerate(steps)])
+    best = found.groupBy("term", "step").agg(F.array_join(F.array_sort(F.collect_set("answer")), "|").alias("answers")).groupBy("term").agg(F.min(F.struct("step", "answers")).alias("b"))
+    names = F.array(*map(lit, ("umbrella", "exact", "synonym", "fuzzy", "direct")))
+    return every.join(best, "term", "left").select("term", F.coalesce(F.get(names, col("b.step")), lit("none")).alias("step"), F.coalesce("b.answers", lit("")).alias("answers"))
