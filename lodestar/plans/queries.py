@@ -496,9 +496,18 @@ def export_bibtex(k: Catalog) -> DataFrame:
     return k.series().filter(P.present("title")).select("series_pk", F.format_string("@misc{series%d, title={%s}, note={%s}}", "series_pk", "title", "assay").alias("entry"))
 
 
-@query("SELECT o_custkey AS project_pk, string_agg(o_orderkey::VARCHAR, chr(9) ORDER BY o_orderkey) AS line FROM orders GROUP BY 1")
+#: Keys in a line of a manifest.
+LINE = 1000
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS project_pk, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // {LINE} AS part FROM orders)
+ SELECT project_pk, part, string_agg(o_orderkey::VARCHAR, chr(9) ORDER BY o_orderkey) AS line FROM r GROUP BY 1, 2""")
 def manifest_tsv(k: Catalog) -> DataFrame:
-    return k.table("orders").groupBy(col("o_custkey").alias("project_pk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "\t").alias("line"))
+    """Lines of at most so many keys; a project of more has several."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    x = k.table("orders").select(col("o_custkey").alias("project_pk"), "o_orderkey", F.floor(place / LINE).alias("part"))
+    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda o: o.cast("string"))
+    return x.groupBy("project_pk", "part").agg(F.array_join(keys, "\t").alias("line"))
 
 
 # Feedback, sessions, streams

@@ -169,18 +169,33 @@ def quality_score(k: Catalog) -> DataFrame:
     return x.select("disease", "tissue", ranking.quality(["disease", "tissue", "sex", "n_cells", "age"], "sources", [("has_h5ad", 20), ("has_rds", 15), ("access_url", 10)], "citations").alias("score"))
 
 
-@query("""WITH d AS (SELECT text, source, doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS cells, CASE WHEN doc_id % 2 = 0 THEN ''
-  ELSE lang END AS tissue, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 0 ELSE 1 END AS rank FROM documents)
- SELECT md5(text) AS h, count(*) AS merged, count(DISTINCT source) AS source_count, coalesce(arg_min(nullif(cells, 0), (rank, doc_id)) FILTER (nullif(cells, 0) IS NOT NULL), 0) AS cells, coalesce(arg_min(nullif(tissue, ''), (rank, doc_id)) FILTER (nullif(tissue, '') IS NOT NULL), '') AS tissue,
- string_agg(doc_id || ' (' || source || ')', '; ' ORDER BY rank, doc_id) AS ids, max(doc_id % 50) AS citations FROM d GROUP BY text""")
+#: Records that a fused one names.
+NAMED = 20
+
+
+@query(f"""WITH d AS (SELECT text, source, doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS cells, CASE WHEN doc_id % 2 = 0 THEN ''
+  ELSE lang END AS tissue, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 0 ELSE 1 END AS rank FROM documents),
+ r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank, doc_id) AS place FROM d)
+ SELECT md5(text) AS h, count(*) AS merged, count(DISTINCT source) AS source_count, coalesce(arg_min(nullif(cells, 0), (rank, doc_id)) FILTER (nullif(cells, 0) IS NOT NULL), 0) AS cells,
+ coalesce(arg_min(nullif(tissue, ''), (rank, doc_id)) FILTER (nullif(tissue, '') IS NOT NULL), '') AS tissue,
+ string_agg(doc_id || ' (' || source || ')', '; ' ORDER BY rank, doc_id) FILTER (place <= {NAMED}) AS ids, max(doc_id % 50) AS citations FROM r GROUP BY text""")
 def fuse_records(k: Catalog) -> DataFrame:
-    """Each group's best source gives the fields; what it lacks ('' and 0 too) comes from the next; most citations win."""
-    d = k.table("documents").select(F.md5("text").alias("h"), "source", "doc_id", F.when(col("doc_id") % 3 == 0, 0).otherwise(col("n_chars")).alias("cells"), F.when(col("doc_id") % 2 == 0, "").otherwise(col("lang")).alias("tissue"))
+    """Each group's best source gives the fields; what it lacks ('' and 0 too) comes from the next; most citations win. The
+    first records are named, and all counted: each task keeps so many of a group before they meet."""
+    cells, tissue = F.when(col("doc_id") % 3 == 0, 0).otherwise(col("n_chars")), F.when(col("doc_id") % 2 == 0, "").otherwise(col("lang"))
+    d = k.table("documents").select(F.md5("text").alias("h"), "source", "doc_id", cells.alias("cells"), tissue.alias("tissue"))
     d = d.withColumn("rank", F.when(col("source").isin("src0", "src1", "src2"), 0).otherwise(1))
-    best = lambda c, falsy: F.coalesce(F.min_by(F.nullif(col(c), lit(falsy)), F.when(F.nullif(col(c), lit(falsy)).isNotNull(), F.struct("rank", "doc_id"))), lit(falsy)).alias(c)
-    named = F.struct("rank", "doc_id", F.concat(text("doc_id"), lit(" ("), "source", lit(")")).alias("name"))
-    x = d.groupBy("h").agg(count("merged"), F.countDistinct("source").alias("source_count"), best("cells", 0), best("tissue", ""), F.array_sort(F.collect_list(named)).alias("ids"), F.max(col("doc_id") % 50).alias("citations"))
-    return x.withColumn("ids", F.array_join(F.transform("ids", lambda i: i["name"]), "; "))
+
+    def best(c: str, falsy) -> Column:
+        value = F.nullif(col(c), lit(falsy))
+        return F.coalesce(F.min_by(value, F.when(value.isNotNull(), F.struct("rank", "doc_id"))), lit(falsy)).alias(c)
+
+    x = d.groupBy("h").agg(count("merged"), F.countDistinct("source").alias("source_count"), best("cells", 0), best("tissue", ""), F.max(col("doc_id") % 50).alias("citations"))
+    first = d.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("rank", "doc_id"))).filter(col("place") <= NAMED)
+    named = first.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("place", F.concat(text("doc_id"), lit(" ("), "source", lit(")")).alias("name")))).alias("ids"))
+    named = named.select("h", F.array_join(F.transform("ids", lambda i: i["name"]), "; ").alias("ids"))
+    same = x.h.eqNullSafe(named.h)
+    return x.join(named, same).select(x.h, "merged", "source_count", "cells", "tissue", "ids", "citations")
 
 
 @query("""WITH RECURSIVE t AS (SELECT doc_id, source, md5(text) AS h, CASE WHEN doc_id % 11 = 0 THEN '' ELSE coalesce(lang, '') || (n_chars // 10) END AS key FROM documents),
