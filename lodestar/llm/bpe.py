@@ -142,7 +142,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     """One row per row of docs: doc_id, ids (array of token ids of the whole text).
 
     vocabulary: path of the tokenizers file, readable on all executors. Null and empty texts have no ids; null
-    doc_ids and repeated rows come back as they are; other columns are not read."""
+    doc_ids and repeated rows come back as they are; very long texts are encoded whole, by fragments; other columns are not
+    read. Empty table: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)

@@ -130,7 +130,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     if a rule's value is over its certified cutoff in the document's stratum. Null and empty texts have no words and
     so fail the base rules. A null stratum is a stratum of its own, apart from the empty one. A label counts for every
     row with its doc_id; of several labels for a doc_id the least counts, a null label or doc_id does not count.
-    Columns not named are not read. Without labels only the base rules act. Windows are compared by 64-bit hashes."""
+    Columns not named are not read. Without labels only the base rules act. Windows are compared by 64-bit hashes, over
+    whole texts however long. Empty table: no rows."""
     values = written(measured(docs, doc_id, text, stratum, keep), "measures")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     cut = certified_cutoffs(values.drop("source_row"), known).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))

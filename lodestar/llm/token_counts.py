@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
     vocabulary: path of a sentencepiece model that all executors can read, with the 256 byte pieces. Each space is a mark, and
     one stands before the text; see TextCounter. Null and empty texts have 0 pieces. Long words cost time in proportion to their
-    length. Null doc_ids and repeated rows come back as they are. Other columns are not read."""
+    length. Null doc_ids and repeated rows come back as they are. Other columns are not read. Empty table: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)

@@ -259,3 +259,14 @@ def test_heavy_classes_same_as_a_join(spark, monkeypatch):
         monkeypatch.setattr(store, "BROADCAST_ROWS", most)
         got = store.heavy_first(rows, classes, ["k"], "n", heavy=100).collect()
         assert {r.i: r["first"] for r in got} == want and len(got) == len(want)
+
+
+def test_empty_tables_and_values_of_repeated_rows(spark, edge):
+    from lodestar.llm import bpe, token_counts
+
+    assert token_counts.token_counts(edge.limit(0), B).collect() == [] and bpe.bpe_encode(edge.limit(0), A).collect() == []
+    counts = token_counts.token_counts(edge, B).collect()
+    column = next(c for c in counts[0].asDict() if c != "doc_id")
+    assert len({r[column] for r in counts if r.doc_id in (1, 2, None)}) == 1 and {r[column] for r in counts if r.doc_id in (3, 4)} == {0}
+    ids = {r.doc_id: r.ids for r in bpe.bpe_encode(edge, A).collect()}
+    assert ids[1] == ids[2] == ids[None] and ids[3] == ids[4] == [] and len(ids[6]) > 30_000
