@@ -95,7 +95,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their gradients."""
-    order = np.argsort(rows)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # symbols are 16-bit numbers, which numpy sorts by digits
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], np.add.reduceat(grads[order], starts)
