@@ -26,11 +26,20 @@ def year_of(c: Column) -> Column:
 
 
 def human_size(c: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB, in steps of 1024, with one decimal from KB up; NULL for NULL."""
+    """Bytes as B, KB, MB, GB or TB, in steps of 1024, with one decimal from KB up; NULL for NULL. The decimal is rounded as
+    C does, on the exact value and halves to even, which format_string does not."""
+
+    def label(i: int, unit: str) -> Column:
+        n, size = c.cast("double").cast("long"), 1024**i
+        over = F.pmod(n, F.lit(size)) * 10
+        whole, rest = F.floor(n / size) * 10 + F.floor(over / size), F.pmod(over, F.lit(size)) * 2
+        tenths = (whole + F.when((rest > size) | ((rest == size) & (whole % 2 == 1)), 1).otherwise(0)).cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+
     steps = [F.when(c < 1024, F.format_string("%d B", c))]
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        steps.append(F.when(c < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", c / 1024**i)))
-    return F.coalesce(*steps, F.when(c.isNotNull(), F.format_string("%.1f TB", c / 1024**4)))
+        steps.append(F.when(c < 1024 ** (i + 1), label(i, unit)))
+    return F.coalesce(*steps, F.when(c.isNotNull(), label(4, "TB")))
 
 
 def unlisted(c: Column) -> Column:

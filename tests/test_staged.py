@@ -5,7 +5,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.functions import text
 from lodestar.plans.queries import closure
 from lodestar.sources import obo, release
 from lodestar.sources import staged as S
@@ -167,3 +169,17 @@ def test_workspaces_same_for_every_split(spark, tmp_path, size):
         os.utime(path, (1_000_000 + i, 1_000_000 + i))
     got = workspaces.kept_by_stream(spark, str(tmp_path), most=6, maxFilesPerTrigger=1)
     assert {tuple(r) for r in got.collect()} == replayed(rows, 6)
+
+
+def test_sizes_are_rounded_as_c_does(spark):
+    numbers = [0, 1023, 1024, 1075, 1280, 1331, 1792, 3328, 1048575, 1048576, 2359296, 1331 * 1024**2, 1024**4 * 9 // 4, 20000 * 1024**4 + 1024**4 // 20, 250_000 * 1024**4, None]
+    units = ["KB", "MB", "GB", "TB"]
+
+    def label(n):
+        if n is None or n < 1024:
+            return n if n is None else f"{n} B"
+        i = next((i for i in (1, 2, 3) if n < 1024 ** (i + 1)), 4)
+        return f"{n / 1024**i:.1f} {units[i - 1]}"
+
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert [r.x for r in df.select("n", text.human_size(F.col("n")).alias("x")).collect()] == [label(n) for n in numbers]
