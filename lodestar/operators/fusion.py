@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import kept, shared_dir
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -72,7 +72,9 @@ def merged_by_hash(groups: DataFrame) -> DataFrame:
     have no source in common, each into the first that fits. A null or empty hash merges nothing.
 
     Where all groups of a hash have a single source, the i-th of each source are merged: a row number, whatever the number
-    of groups. The others are walked through in order, hash by hash, in tasks that hold numbers alone."""
+    of groups. The others are walked through in order, hash by hash, in tasks that hold numbers alone. They are written
+    first: dealt by hash straight from the join, they would lose that order where the join turns into a broadcast at run
+    time, as Spark takes its partitions for those that are asked for."""
     hashed = groups.filter("hash <> ''")
     kind = hashed.groupBy("hash").agg(F.max(F.size("sources")).alias("most"), F.count("*").alias("n"))
     x = hashed.join(kind.filter("n > 1"), "hash")
@@ -80,7 +82,7 @@ def merged_by_hash(groups: DataFrame) -> DataFrame:
     first = single.groupBy("hash", "i").agg(F.min_by("group", F.struct("place", "group")).alias("into"))
     plain = single.join(first, ["hash", "i"]).select("group", "into")
     kinds = dict(groups.dtypes)
-    several = x.filter("most > 1").select("hash", "group", "place", F.array_sort("sources").alias("sources"))
+    several = kept(x.filter("most > 1").select("hash", "group", "place", F.array_sort("sources").alias("sources")), "several")
     walked = several.repartition("hash").sortWithinPartitions("hash", "place", "group").mapInPandas(_greedy, f"group {kinds['group']}, into {kinds['group']}")
     merged = plain.union(walked)
     return groups.select("group").join(merged, "group", "left").select("group", F.coalesce("into", "group").alias("into"))

@@ -78,3 +78,16 @@ def test_a_page_by_turns_keeps_a_page_of_each_source(spark):
     x = fusion.round_robin(df, "s", "id", 20)
     assert [r.id for r in x.collect()] == list(range(20))
     assert "WindowGroupLimit" in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_one_hash_are_dealt_by_a_shuffle_of_their_own(spark):
+    """The partitions of a join are not kept where it turns into a broadcast, so they are not enough for the walk."""
+    random.seed(5)
+    groups = [(i, i, random.choice("ab"), random.sample("uvwxyz", random.randint(1, 3))) for i in range(400)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fusion.merged_by_hash(spark.createDataFrame(groups, "group long, place long, hash string, sources array<string>").repartition(5))
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.group: r.into for r in got.collect()} == walked(groups)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
