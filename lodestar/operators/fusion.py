@@ -130,14 +130,17 @@ def canonical_key(c: Column) -> Column:
     return F.coalesce(*[F.when(number(names) != "", F.concat(F.lit(f"{family}:"), number(names))) for family, names in STUDIES.items()])
 
 
-def mirrors(df: DataFrame, key: str, source: str, ident: str, most: int) -> DataFrame:
-    """df with mirrors, the first `most` of 'source/id' of the other rows with the same key, in order, and n_mirrors, how many
-    there are. Each key has its first names once, however many rows it has, and they are joined to the rows."""
+def mirrors(df: DataFrame, key: str, source: str, ident: str, most: int | None = None) -> DataFrame:
+    """df with mirrors, 'source/id' of the other rows with the same key, in order (the first `most`, if given), and n_mirrors,
+    how many there are. Each key has its names once, however many rows it has, and they are joined to the rows."""
     name = F.concat_ws("/", F.col(source), F.col(ident))
     names = df.filter(F.col(key).isNotNull()).select(key, name.alias("name")).distinct()
-    numbered = names.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("name"))).filter(F.col("i") <= most + 1)
-    first = numbered.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("first"))
+    few = names
+    if most is not None:
+        few = names.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("name"))).filter(F.col("i") <= most + 1)
+    first = few.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("first"))
     per = names.groupBy(key).agg(F.count("*").alias("n"))
     x = df.join(first.join(per, key), key, "left")
-    others = F.slice(F.array_remove(F.coalesce("first", F.array().cast("array<string>")), name), 1, most)
+    others = F.array_remove(F.coalesce("first", F.array().cast("array<string>")), name)
+    others = others if most is None else F.slice(others, 1, most)
     return x.withColumn("mirrors", F.array_join(others, ",")).withColumn("n_mirrors", F.coalesce(F.col("n") - 1, F.lit(0))).drop("first", "n")

@@ -38,18 +38,13 @@ def ids(k: Catalog) -> DataFrame:
     return d.withColumn("id", F.concat(pick(col("doc_id") % 9, *map(lit, kinds)), F.floor(col("doc_id") / 18).cast("string")))
 
 
-#: Mirrors that a record names.
-MIRRORS = 20
-
-
 @query(f"""WITH {_IDS}, o AS (SELECT DISTINCT a.doc_id, b.source || '/' || b.id AS name FROM keys a JOIN keys b ON a.key = b.key AND a.source || '/' || a.id <> b.source || '/' || b.id),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS i FROM o),
- m AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) FILTER (i <= {MIRRORS}) AS mirrors, count(*) AS n FROM r GROUP BY 1)
+ m AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS mirrors, count(*) AS n FROM o GROUP BY 1)
  SELECT doc_id, id, key, coalesce(mirrors, '') AS mirrors, coalesce(n, 0) AS n_mirrors FROM keys LEFT JOIN m USING (doc_id)""")
 def mirrors(k: Catalog) -> DataFrame:
-    """The records of the same study under other accessions or in other sources: the first ones, and how many."""
+    """The records of the same study under other accessions or in other sources: all of them, and how many."""
     x = ids(k).select("doc_id", "source", "id").withColumn("key", fusion.canonical_key(col("id")))
-    return fusion.mirrors(x, "key", "source", "id", MIRRORS).select("doc_id", "id", "key", "mirrors", "n_mirrors")
+    return fusion.mirrors(x, "key", "source", "id").select("doc_id", "id", "key", "mirrors", "n_mirrors")
 
 
 @query(f"""WITH {_IDS} SELECT doc_id, CASE WHEN upper(id) LIKE 'GSE%' OR upper(id) LIKE 'PRJNA%' OR upper(id) LIKE 'E-%' THEN 'project'

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import fusion
+from lodestar.plans import records
+from lodestar.plans.binding import Replaced
 from lodestar.plans.queries import closure
 
 
@@ -91,3 +93,11 @@ def test_groups_of_one_hash_are_dealt_by_a_shuffle_of_their_own(spark):
         assert {r.group: r.into for r in got.collect()} == walked(groups)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_mirrors_name_all(spark):
+    rows = [(0, f"s{i:02}") for i in range(30)] + [(7, "x")]  # one study in 30 sources, and a sample
+    d = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1L as n_chars", "'en' as lang", "'x' as text")
+    got = {(r.mirrors, r.n_mirrors) for r in records.mirrors(Replaced(spark, "", {"documents": d})).collect()}
+    every = [f"s{i:02}/GSE0" for i in range(30)]
+    assert got == {(",".join(n for n in every if n != own), 29) for own in every} | {("", 0)}
