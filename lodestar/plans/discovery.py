@@ -11,6 +11,7 @@ from lodestar.plans import parsing
 from lodestar.plans.binding import Catalog
 from lodestar.plans.queries import col, count, inline, query
 from lodestar.sources import listings, sinks
+from lodestar.sources.shared import kept
 
 
 @query("""WITH {S}, u AS (SELECT * FROM (VALUES ('old world', 'asia'), ('old world', 'europe'), ('old world', 'africa'), ('new world', 'america')) t(term, child))
@@ -42,10 +43,12 @@ def cardinality_est(k: Catalog) -> DataFrame:
   FROM tf JOIN df USING (token) JOIN l USING (doc_id), s GROUP BY 1)
  SELECT doc_id, round(x, 6) AS score FROM z ORDER BY score DESC, doc_id LIMIT 20""")
 def fts_bm25_top(k: Catalog) -> DataFrame:
-    # BM25 with k1 = 1.2, b = 0.75. Lengths and term counts come from one scan, without exploding the texts.
+    # BM25 with k1 = 1.2, b = 0.75. Lengths and term counts come from one scan, without exploding the texts; they are written,
+    # since conditions and orders on a score would cut the texts into words again, once for each place that it is used in.
     terms = ("the", "that", "which")
-    x = k.table("documents").select("doc_id", T.tokens(col("text")).alias("w")).filter(F.size("w") > 0)
+    x = k.table("documents").select("doc_id", T.tokens(col("text")).alias("w"))
     x = x.select("doc_id", F.size("w").alias("dl"), *[(F.size("w") - F.size(F.array_remove("w", q))).alias(f"tf{i}") for i, q in enumerate(terms)])
+    x = kept(x, "counted").filter("dl > 0")
     s = x.agg(count(), (F.sum("dl") / F.count("*")).alias("mean"), *[F.count_if(col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()  # one row of totals
     length = 1.2 * (0.25 + 0.75 * col("dl") / F.lit(s.mean))
     parts = [F.log(1 + (F.lit(s.n) - F.lit(s[f"df{i}"]) + 0.5) / (F.lit(s[f"df{i}"]) + 0.5)) * col(f"tf{i}") * 2.2 / (col(f"tf{i}") + length) for i in range(len(terms))]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import substrings
 from lodestar.operators.textindex import TextIndex, prefix_ranked
+from lodestar.plans import discovery  # noqa: F401
+from lodestar.plans.queries import QUERIES
 
 TEXTS = {1: "The quick brown fox.", 2: "the QUICK-brown, quick brown dog", 3: "brown quick the", 4: None, 5: "", 6: "fox the quick the quick brown fox", 7: "Émile été 123 fox_trot"}
 
@@ -97,3 +99,8 @@ def test_prefixes_of_short_and_long_terms(spark):
     got = [(r.term, r.id) for r in prefix_ranked(asked, "term", labels, "id", [F.col("label")]).orderBy("term", "place").collect()]
     assert {k for t, k in got if t == "hea"} == {"a", "b", "c"} and {k for t, k in got if t == "of m"} == {"c"} and {k for t, k in got if t == "h"} == {"a", "b", "c"}
     assert not [k for t, k in got if t in ("x", "")]
+
+
+def test_scores_do_not_cut_texts_again(spark):
+    x = QUERIES["fts_bm25_top"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in x._jdf.queryExecution().optimizedPlan().toString()
