@@ -16,6 +16,8 @@ MOST_WORDS = 500_000
 #: What turns the meaning of the words behind it, and what ends its reach (fixed values).
 NEGATION = re.compile(r"\b(?:not|no|non|without|excluding|exclude|except)\b|排除|除了|不是|不要|没有|非")
 CLAUSE = re.compile(r"[.;!?,，。；！？]|\b(?:but|with|in|from|and also)\b|但是?|而")
+#: Sentences whose words are held at once.
+HELD = 200
 FOUND = "id {id}, at int, field string, word string, value string, negated boolean"
 
 
@@ -66,6 +68,17 @@ class Matcher:
         return [(i, name, word, value, any(a <= i < b for a, b in reach)) for i, word, meant in found for name, value in meant]
 
 
+def _read(matcher: Matcher, batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The words of (key, sentence) batches. They are many times as large as the sentences, so few sentences' are held."""
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    for batch in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
+        ids, out = batch.column(0), []
+        for i, sentence in enumerate(batch.column(1).to_pylist()):
+            out += [(i, *hit) for hit in matcher.read(sentence)]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=[key, "at", "field", "word", "value", "negated"])
+
+
 def matched(sentences: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, at, field, word, value, negated) for every word of the vocabulary (field, word, value) in the sentences, a row for
     each meaning. The vocabulary is counted, gathered once and sent to the tasks, which read the sentences in Arrow
@@ -76,14 +89,7 @@ def matched(sentences: DataFrame, key: str, text: str, vocabulary: DataFrame) ->
     held = sentences.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value)
-        for batch in batches:
-            ids, out = batch.column(0), []
-            for i, sentence in enumerate(batch.column(1).to_pylist()):
-                out += [(i, *hit) for hit in matcher.read(sentence)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=[key, "at", "field", "word", "value", "negated"])
+        return _read(Matcher(held.value), batches, key)
 
     kind = sentences.schema[key].dataType.simpleString()
     return sentences.select(key, text).mapInArrow(run, FOUND.format(id=kind).replace("id", key, 1))

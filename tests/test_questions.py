@@ -84,3 +84,11 @@ def test_too_large_a_vocabulary_is_an_error(spark, monkeypatch):
         assert re.search("more than 3", str(e))
     else:
         raise AssertionError
+
+
+def test_few_sentences_words_are_held():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["red bolt"] * 999 + [None])], names=["id", "t"])
+    got = list(matcher._read(matcher.Matcher([("f", "red", "r"), ("f", "bolt", "b")]), iter([batch, batch.slice(0, 0)]), "id"))
+    assert max(b.num_rows for b in got) <= 2 * matcher.HELD and [i for b in got for i in b.column(0).to_pylist()] == [i // 2 for i in range(1998)]
