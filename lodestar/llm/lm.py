@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +74,9 @@ class Stats:
         return int(self.rank[1 + self.words + zlib.crc32(key) % BUCKETS])
 
     def lookups(self) -> tuple[dict, np.ndarray, np.ndarray]:
-        """word key -> place, and per place its symbol and log10(count + 1). Made once a process."""
+        """word key -> place, and per place its symbol (one more for the place -1) and log10(count + 1). Made once a process."""
         if not self.made:
-            symbol = np.array([self.rank[1 + i] if i < self.words else self.bucket(w) for i, w in enumerate(self.known)], np.int32)
+            symbol = np.array([self.rank[1 + i] if i < self.words else self.bucket(w) for i, w in enumerate(self.known)] + [0], np.int32)
             self.made.update(of={w: i for i, w in enumerate(self.known)}, symbol=symbol, log=np.log10(self.counts + 1.0))
         return self.made["of"], self.made["symbol"], self.made["log"]
 
@@ -89,8 +89,17 @@ class Stats:
         return {"r": rng.normal(0, 0.3, (n, DIM)).astype(np.float32), "C": near, "q": made(n, self.share), "k": made(self.classes, self.class_share)}
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def cut(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, and of each word where it stands its text and its number among them."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.ascii_split_whitespace(trimmed)
+    size, flat = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+    none = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) == 0  # such a text is cut into one empty word
+    if none.any():
+        flat, size[none] = flat.filter(pa.array(np.repeat(~none, size))), 0
+    flat = flat.cast(pa.binary()).dictionary_encode()
+    distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary), b" ")[0].as_py().split()  # several times as fast as to_pylist
+    return distinct, np.repeat(np.arange(len(size)), size), flat.indices.to_numpy()
 
 
 def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +107,20 @@ def _merged(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # symbols are 16-bit numbers, which numpy sorts by digits
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[starts], np.add.reduceat(grads[order], starts)
+    times = np.diff(starts, append=len(rows))
+    out, more = grads.take(order[starts], 0), times > 1  # most rows come once; reduceat takes its time for each of them
+    if more.any():
+        times = times[more]
+        out[more] = np.add.reduceat(grads.take(order[np.repeat(more, np.diff(starts, append=len(rows)))], 0), np.cumsum(times) - times)
+    return rows[starts], out
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)) in the place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 #: Parameters, and the sums of their squared gradients.
@@ -121,23 +143,32 @@ class Trainer:
         self.draws = {"q": (np.cumsum(stats.share), np.log(NOISE * stats.share).astype(np.float32), NOISE), "k": (np.cumsum(stats.class_share), np.log(CLASS_NOISE * stats.class_share).astype(np.float32), CLASS_NOISE)}
 
     def _moved(self, name: str, rows, grad: np.ndarray) -> None:
-        total = self.sums[name][rows] + grad * grad
-        self.sums[name][rows] = total
-        self.p[name][rows] -= RATE * grad / np.sqrt(total)
+        """rows: distinct numbers, or all of them for None."""
+        x, sums = self.p[name], self.sums[name]
+        total = grad * grad
+        total += sums if rows is None else sums.take(rows, 0)
+        move = RATE * grad
+        move /= np.sqrt(total)
+        if rows is None:
+            sums[:], x[:] = total, x - move
+        else:
+            sums[rows], x[rows] = total, x.take(rows, 0) - move
 
     def gradients(self, name: str, h: np.ndarray, right: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a batch's loss, by h (with a column of ones), by the rows of the right symbols and by those of the noise.
 
         The loss is -log s(right) - sum log(1 - s(noise)), s the logistic function of score - log(noise tokens * share)."""
         table, shift = self.p[name], self.draws[name][1]
-        own, others = table[right], table[noise]
-        a = 1 / (1 + np.exp(-np.clip((h * own).sum(1) - shift[right], -30, 30))) - 1
-        b = 1 / (1 + np.exp(-np.clip(h @ others.T - shift[noise], -30, 30)))
-        return a[:, None] * own + b @ others, a[:, None] * h, b.T @ h
+        own, others = table.take(right, 0), table.take(noise, 0)
+        a = _logistic(np.einsum("ij,ij->i", h, own) - shift.take(right))[:, None] - 1
+        b = _logistic(h @ others.T - shift.take(noise))
+        own *= a
+        own += b @ others
+        return own, a * h, b.T @ h
 
     def step(self, context: np.ndarray, token: np.ndarray) -> None:
         p, n = self.p, len(token)
-        before = [p["r"][context[:, j]] for j in range(CONTEXT)]
+        before = [p["r"].take(context[:, j], 0) for j in range(CONTEXT)]
         h = np.ones((n, DIM + 1), np.float32)
         h[:, :DIM] = sum(x @ c for x, c in zip(before, p["C"], strict=True))
         dh = np.zeros_like(h)
@@ -151,7 +182,7 @@ class Trainer:
             self.met[name][rows] += 1
         dh = dh[:, :DIM]
         rows, grad = _merged(context.T.reshape(-1), np.concatenate([dh @ c.T for c in p["C"]]))
-        self._moved("C", slice(None), np.stack([x.T @ dh for x in before]))
+        self._moved("C", None, np.stack([x.T @ dh for x in before]))
         self._moved("r", rows, grad)
         self.met["r"][rows] += 1
         self.met["C"] += 1
@@ -199,7 +230,7 @@ def examples(symbols: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarra
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word key, count) of texts, given out whenever FLUSH keys have gathered."""
-    seen: Counter[bytes] = Counter()
+    seen: dict[bytes, int] = {}
 
     def given() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(map(word_key, seen), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
@@ -207,15 +238,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(_words(text))
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            words, _, number = cut(part.column(0))
+            for w, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                seen[w] = seen.get(w, 0) + n
             if len(seen) >= FLUSH:
                 yield given()
     yield given()
 
 
 def places(stats: Stats, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Of a text's words: places among the known words (-1 for none), symbols, and the keys of those without a place."""
+    """Of words: places among the known words (-1 for none), symbols, and the keys of those without a place."""
     of, symbol, _ = stats.lookups()
     at = np.fromiter(map(of.get, words, repeat(-1)), np.int64, len(words))
     far = np.flatnonzero(at < 0).tolist()
@@ -329,31 +362,40 @@ class Scorer:
         context = [np.pad(p["r"] @ c, ((0, 0), (0, 1)), constant_values=float(j == 0)) for j, c in enumerate(p["C"])]
         return Scorer(context, p["k"], q.reshape(n, WIDTH, DIM + 1))
 
-    def log10(self, context: np.ndarray, token: np.ndarray, chunk: int = 16384) -> np.ndarray:
+    def log10(self, context: np.ndarray, token: np.ndarray, chunk: int = 65536) -> np.ndarray:
         out = np.empty(len(token))
         for i in range(0, len(token), chunk):
             c, t = context[i : i + chunk], token[i : i + chunk]
-            h = sum(x[c[:, j]] for j, x in enumerate(self.context))
-            kind = t // WIDTH
+            kind = (t // WIDTH).astype(np.uint16)
             order = np.argsort(kind, kind="stable")
-            h, kind, t = h[order], kind[order], t[order]
-            got = _log_softmax(h @ self.classes.T, kind)
+            c, kind, t = c.take(order, 0), kind[order], t[order]
+            h = self.context[0].take(c[:, 0], 0)
+            for j, x in enumerate(self.context[1:], 1):
+                h += x.take(c[:, j], 0)
+            got = _log_softmax(h, self.classes, kind)
             starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
             for a, b in zip(starts, [*starts[1:], len(kind)], strict=True):
-                got[a:b] += _log_softmax(h[a:b] @ self.symbols[kind[a]].T, t[a:b] % WIDTH)
+                got[a:b] += _log_softmax(h[a:b], self.symbols[kind[a]], t[a:b] % WIDTH)
             out[i : i + chunk][order] = got
         return out / np.log(10)
 
 
-def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    own = scores[np.arange(len(at)), at]
-    with np.errstate(over="ignore", divide="ignore"):
-        total = np.log(np.exp(scores) @ np.ones(scores.shape[1], np.float32))
-    odd = ~np.isfinite(total)
-    if odd.any():  # scores too large or small for their exponentials
-        top = scores[odd].max(1)
-        total[odd] = top + np.log(np.exp(scores[odd] - top[:, None]).sum(1))
-    return own - total
+def _log_softmax(h: np.ndarray, table: np.ndarray, at: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Of the scores h @ table.T, the logarithms of the shares of those at the places `at`. A block's scores fit the cache."""
+    out, ones, turned = np.empty(len(at), h.dtype), np.ones(len(table), h.dtype), table.T
+    for i in range(0, len(at), block):
+        x = h[i : i + block]
+        scores = x @ turned
+        own = scores[np.arange(len(x)), at[i : i + block]]
+        with np.errstate(over="ignore", divide="ignore"):
+            total = np.log(np.exp(scores, out=scores) @ ones)
+        odd = ~np.isfinite(total)
+        if odd.any():  # scores too large or small for their exponentials
+            scores = x[odd] @ turned
+            top = scores.max(1)
+            total[odd] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        out[i : i + block] = own - total
+    return out
 
 
 def corpus_stats(texts: DataFrame) -> tuple[Stats, DataFrame]:
@@ -385,21 +427,22 @@ def _encoded(held):
         hashed, buckets = np.zeros(len(stats.rank), bool), stats.rank[1 + stats.words :]
         shared[buckets], hashed[buckets] = np.log10(stats.bucket_mass), True
         for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                out = []
-                for text in part.column(4).to_pylist():
-                    w = _words(text)
-                    at, s, rest = places(stats, w)
-                    there = at >= 0
-                    logs = np.zeros(len(w))
-                    logs[there] = log[at[there]]
-                    own = hashed[s]
-                    few = Counter(rest)
-                    more = logs[own].sum() - shared[s[own]].sum()
-                    out.append((len(w) + 1, int(there.sum()) + (stats.texts > 0), float(logs.sum() + end), float(more), list(few), list(few.values()), s.astype(np.uint16).tobytes()))
-                c = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
-                made = [pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)]
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                n, (words, row, number) = part.num_rows, cut(part.column(4))
+                at, s, rest = places(stats, words)
+                there, logs = at >= 0, np.zeros(len(words))
+                logs[there] = log[at[there]]
+                more = np.where(hashed[s], logs - shared[s], 0.0)
+                added = lambda x: np.bincount(row, x[number], n).astype(np.float64)  # noqa: B023, E731 (without words they are integers)
+                ends = lambda of: pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))), pa.int32())  # noqa: B023, E731
+                # The other words of a text, each once, and how often it has them.
+                far = ~there[number]
+                few, times = np.unique(row[far] * max(1, len(rest)) + (np.cumsum(~there) - 1)[number[far]], return_counts=True)
+                few_row, few = few // max(1, len(rest)), few % max(1, len(rest))
+                size = np.bincount(row, minlength=n)
+                symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.array(np.append(0, 2 * np.cumsum(size)), pa.int32()).buffers()[1], pa.py_buffer(s[number].astype(np.uint16))])
+                made = [pa.array(x) for x in (size + 1, added(there).astype(np.int64) + (stats.texts > 0), added(logs) + end, added(more))]
+                made += [pa.ListArray.from_arrays(ends(few_row), x) for x in (pa.array(rest, pa.binary()).take(pa.array(few)), pa.array(times, pa.int64()))] + [symbols]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=["rid", "doc_id", "held_out", "place", "n_tokens", "n_known", "logs", "more", "rest", "times", "symbols"])
 
     return run

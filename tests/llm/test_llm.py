@@ -6,6 +6,7 @@ import math
 import random
 import re
 import textwrap
+import types
 import zlib
 
 import duckdb
@@ -384,6 +385,40 @@ def test_lm_state_comes_back_from_its_rows():
     assert (times > 0).all() and all((p[k] == x).all() for k, x in trainer.p.items()) and all(np.allclose(sums[k], x, rtol=1e-5) for k, x in trainer.sums.items())
 
 
+def test_lm_words_are_cut_as_bytes_are():
+    rng = np.random.default_rng(4)
+    odd = ["", "  ", None, "\x0b", *("".join(rng.choice(list(" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\x00aAbÉé"), n)) for n in rng.integers(0, 40, 500))]
+    for texts in (odd, ["", None], []):
+        words, row, number = lm.cut(pa.array(texts, pa.string()))
+        got = [[] for _ in texts]
+        for r, n in zip(row, number, strict=True):
+            got[r].append(words[n])
+        assert got == [(t or "").encode().lower().split() for t in texts] and len(set(words)) == len(words)
+
+
+def test_lm_looks_each_distinct_word_up_once(monkeypatch):
+    stats, seen, own = lm.Stats([b"a"], np.array([3.0]), 1, np.ones(lm.BUCKETS), 9, 4, 3), [], lm.places
+    monkeypatch.setattr(lm, "places", lambda stats, words: seen.extend(words) or own(stats, words))
+    n = 50
+    ids, texts = pa.array(range(n)), pa.array(["a b A  c b " * 20, ""] * (n // 2))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([False] * n), ids, texts], names=["rid", "doc_id", "held_out", "place", "text"])
+    rows = pa.Table.from_batches(lm._encoded(types.SimpleNamespace(value=stats))([batch])).to_pylist()
+    assert sorted(seen) == [b"a", b"b", b"c"]
+    for i, r in enumerate(rows):
+        few = dict(zip(r["rest"], r["times"], strict=True))
+        assert (r["n_tokens"], r["n_known"], few) == ((101, 41, {b"b": 40, b"c": 20}) if i % 2 == 0 else (1, 1, {})) and len(r["symbols"]) == 2 * (r["n_tokens"] - 1)
+        assert r["logs"] == pytest.approx((r["n_known"] - 1) * math.log10(4) + math.log10(4))
+
+
+def test_lm_with_no_learned_words(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for rows in ([(i, "some words") for i in held], [(i, "some words" if i in held else " ") for i in range(40)]):
+        got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        learned = len(rows) - len(held)
+        assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got) == sorted((i, len(t.split()) + 1, int(learned > 0)) for i, t in rows)
+        assert all(math.isfinite(r.score) and r.train_tokens == learned for r in got)
+
+
 def test_lm_long_words_and_text_end(spark):
     rows = [(i, "x" * 300 + " a b a" if i % 2 else "y" * 70 + " a") for i in range(40)]
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
